@@ -283,39 +283,45 @@ def _strip_edges(area: Segments, low: np.ndarray, high: np.ndarray, closed: np.n
     return Segments(group, np.full(len(group), 2), xy, np.ones(len(group), int))
 
 
-def _next_parts(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Successor of each boundary part round its face, and vertex numbers of both ends.
+def _vertices(group: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for equal points of the same group."""
+    order = np.lexsort((points[:, 1], points[:, 0], group))
+    group, points = group[order], points[order]
+    fresh = np.r_[True, (group[1:] != group[:-1]) | (points[1:] != points[:-1]).any(axis=1)]
+    numbers = np.empty(len(order), int)
+    numbers[order] = np.cumsum(fresh) - 1
+    return numbers
+
+
+def successors(group: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each boundary part the next one round its face, and the number of its first vertex.
 
     Where several faces meet in a vertex, a part arriving there goes on with the departing
     part that is next to it on its interior side.
     """
-    ends = np.concatenate([xy[:, :2], xy[:, 2:]])
-    _, vertex = np.unique(ends, axis=0, return_inverse=True)
-    vertex = vertex.ravel()
     count = len(xy)
-    away = np.concatenate([xy[:, 2:] - xy[:, :2], xy[:, :2] - xy[:, 2:]])
-    angle = np.arctan2(away[:, 1], away[:, 0])
-    arrives = np.r_[np.zeros(count, int), np.ones(count, int)]
-    order = np.lexsort((arrives, angle, vertex))
-    ring_vertex = vertex[order]
-    first = np.r_[True, ring_vertex[1:] != ring_vertex[:-1]]
-    starts = np.flatnonzero(first)
-    stops = np.r_[starts[1:], len(order)] - 1
-    previous = np.r_[-1, np.arange(len(order) - 1)]
-    previous[starts] = stops
+    if not count:
+        return np.zeros(0, int), np.zeros(0, int)
+    vertex = _vertices(np.r_[group, group], np.concatenate([xy[:, :2], xy[:, 2:]]))
+    away = xy[:, 2:] - xy[:, :2]
+    angle = np.r_[np.arctan2(away[:, 1], away[:, 0]), np.arctan2(-away[:, 1], -away[:, 0])]
+    order = np.lexsort((angle, vertex))
+    starts = np.flatnonzero(np.r_[True, vertex[order[1:]] != vertex[order[:-1]]])
+    previous = np.arange(len(order)) - 1
+    previous[starts] = np.r_[starts[1:], len(order)] - 1
     follow = np.empty(count, int)
     arriving = order >= count
     follow[order[arriving] - count] = order[previous[arriving]]
-    return follow, vertex[:count], vertex[count:]
+    if (follow >= count).any():
+        raise ValueError("boundary does not close")
+    return follow, vertex[:count]
 
 
-def _rings(xy: np.ndarray) -> list[np.ndarray]:
+def _rings(xy: np.ndarray, follow: np.ndarray, tail: np.ndarray) -> list[np.ndarray]:
     """Closed rings of directed boundary parts, each passing a vertex at most once."""
-    follow, tail, _ = _next_parts(xy)
-    if (follow >= len(xy)).any():
-        raise ValueError("boundary does not close")
+    tail = tail - tail.min()
     unused = np.ones(len(xy), bool)
-    busy = np.bincount(tail, minlength=tail.max() + 1) > 1
+    busy = np.bincount(tail) > 1
     rings = []
     steps, vertices, shared = follow.tolist(), tail.tolist(), busy.tolist()
     for begin in range(len(steps)):
@@ -355,9 +361,9 @@ def _contains(ring: np.ndarray, point: np.ndarray) -> bool:
     return bool(np.count_nonzero(x < point[0]) % 2)
 
 
-def _polygons(xy: np.ndarray) -> list[list[np.ndarray]]:
+def _polygons(xy: np.ndarray, follow: np.ndarray, tail: np.ndarray) -> list[list[np.ndarray]]:
     """Polygons as [shell, holes...], sorted by their shells' first vertices."""
-    rings = [(signed_area(r), r) for r in _rings(xy)]
+    rings = [(signed_area(r), r) for r in _rings(xy, follow, tail)]
     shells = sorted(((abs(a), r) for a, r in rings if a > 0), key=lambda s: s[0])
     holes = [r for a, r in rings if a < 0]
     polygons = [[r] for _, r in shells]
@@ -418,7 +424,9 @@ def _bundle(members: list[bytes], many: int) -> bytes:
     return members[0] if len(members) == 1 else _pack(many, struct.pack("<I", len(members)) + b"".join(members))
 
 
-def link(area: np.ndarray, lines: np.ndarray, points: np.ndarray) -> bytes | None:
+def link(
+    area: np.ndarray, follow: np.ndarray, tail: np.ndarray, lines: np.ndarray, points: np.ndarray
+) -> bytes | None:
     """One WKB geometry from boundary parts, lines and points, in a canonical form."""
     found = []
     if len(points):
@@ -428,7 +436,8 @@ def link(area: np.ndarray, lines: np.ndarray, points: np.ndarray) -> bytes | Non
         found.append(_bundle([_pack(LINE, _coordinates(c)) for c in _chains(lines)], MULTILINE))
     if len(area):
         members = [
-            _pack(POLYGON, struct.pack("<I", len(p)) + b"".join(_coordinates(r) for r in p)) for p in _polygons(area)
+            _pack(POLYGON, struct.pack("<I", len(p)) + b"".join(_coordinates(r) for r in p))
+            for p in _polygons(area, follow, tail)
         ]
         found.append(_bundle(members, MULTIPOLYGON))
     return _bundle(found, COLLECTION) if found else None

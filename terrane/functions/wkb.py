@@ -162,6 +162,14 @@ def rectangle_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) ->
     return pd.Series([row.tobytes() for row in packed])
 
 
+@F.pandas_udf(BinaryType())
+def line_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    """Straight lines from their end points."""
+    header = struct.pack("<BII", 1, LINE, 2)
+    ends = np.stack([x0, y0, x1, y1], axis=1).astype("<f8")
+    return pd.Series([header + row.tobytes() for row in ends])
+
+
 def _number(value: float) -> str:
     return repr(int(value)) if float(value).is_integer() and abs(value) < 1e15 else repr(float(value))
 
@@ -260,6 +268,17 @@ def wkb_area(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else area(v)).astype("Float64")
 
 
+@F.pandas_udf(DoubleType())
+def wkb_length(values: pd.Series) -> pd.Series:
+    """Length of the lines of each value."""
+
+    def length(data: bytes) -> float:
+        lines = [arrays[0] for kind, arrays in Reader(data).geometry() if kind == LINE]
+        return float(sum(np.hypot(*np.diff(line, axis=0).T).sum() for line in lines if len(line)))
+
+    return values.map(lambda v: None if v is None else length(v)).astype("Float64")
+
+
 def extent(data: bytes) -> tuple[float, float, float, float] | None:
     """(min x, max x, min y, max y), None for an empty geometry."""
     coords = [a for _, arrays in Reader(data).geometry() for a in arrays if len(a)]

@@ -181,8 +181,7 @@ class DurationModel:
         inputs = [F.col(c) for c in [*NUMERIC_FEATURES, *SHAPE_FEATURES]] + one_hot(F.col("roles"), self.vocabulary)
         seconds = F.greatest(F.expm1(linear(self.intercept, self.coefficients, inputs)), F.lit(0.0))
         scored = featured.select(
-            *[F.col(c) for c in records.columns if c != "is_spatial"],
-            (F.col("is_spatial") > 0).alias("is_spatial"),
+            *[(F.col(c) > 0).alias(c) if c == "is_spatial" else F.col(c) for c in records.columns],
             lacks.alias("missing_fields"),
             seconds.alias("__seconds"),
         )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import col
-from terrane.functions.overlay import Segments, link, union_boundary
+from terrane.functions.overlay import Segments, link, successors, union_boundary
 from terrane.functions.wkb import COLLECTION, EMPTY_COLLECTION, segments, type_code
 
 KEY = "FEATURE_ID"
@@ -83,17 +83,24 @@ def merge_pieces(
 ) -> DataFrame:
     """Union of all pieces of each feature, by segments. Same result columns as :func:`union_features`."""
     net = net_segments(pieces)
-    parts = in_strips(net, strip_segments, cell_segments).repartition("k", "kn", "strip").sortWithinPartitions(
-        "k", "kn", "strip"
-    ).mapInArrow(_strip_boundaries, PART_SCHEMA)
-    geometries = parts.repartition("k", "kn", "part").sortWithinPartitions("k", "kn", "part").mapInArrow(
-        _link_parts, RESULT_SCHEMA
-    )
+    strips = clustered(in_strips(net, strip_segments, cell_segments), ["k", "kn", "strip"])
+    parts = strips.mapInArrow(_strip_boundaries, PART_SCHEMA)
+    geometries = clustered(parts, ["k", "kn", "part"]).mapInArrow(_link_parts, RESULT_SCHEMA)
     return geometries.select(
         F.when(F.col("kn") == 0, F.col("k")).alias(KEY), F.col("part").alias("GEOMETRY_PART"), "geometry"
     )
 
 
+def clustered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of equal keys together and in order, for a Python stage.
+
+    The number of partitions is set, as the stage's work is larger than its bytes suggest
+    and adaptive coalescing would put it into too few tasks.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+
+
 def net_segments(pieces: DataFrame) -> DataFrame:
     """Distinct undirected segments per feature with the net number of pieces on their left.
 
@@ -237,13 +244,26 @@ def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, kn, part = _numpy(table, "k", "kn", "part")
         starts = _group_starts([k, kn, part])
         stops = np.r_[starts[1:], len(k)]
-        columns = [table.column(n).to_pylist() for n in ("area", "lines", "points")]
+        groups = list(zip(starts, stops))
+        stacked = {
+            name: [np.frombuffer(b"".join(cells[a:b]), dtype="f8").reshape(-1, 4) for a, b in groups]
+            for name, cells in ((n, table.column(n).to_pylist()) for n in ("area", "lines", "points"))
+        }
+        sizes = np.array([len(xy) for xy in stacked["area"]])
+        follow, tail = successors(np.repeat(np.arange(len(groups)), sizes), np.concatenate(stacked["area"]))
+        bounds = np.r_[0, np.cumsum(sizes)]
         geometries = []
-        for start, stop in zip(starts, stops):
-            area, lines, points = [
-                np.frombuffer(b"".join(c[start:stop]), dtype="f8").reshape(-1, 4) for c in columns
-            ]
-            geometries.append(link(area, lines, points[:, :2]))
+        for g in range(len(groups)):
+            mine = slice(bounds[g], bounds[g + 1])
+            geometries.append(
+                link(
+                    stacked["area"][g],
+                    follow[mine] - bounds[g],
+                    tail[mine],
+                    stacked["lines"][g],
+                    stacked["points"][g][:, :2],
+                )
+            )
         # A strip with nothing in it has no row; part 0 stays so that every feature has one.
         keep = np.array([g is not None or part[s] == 0 for g, s in zip(geometries, starts)])
         yield pa.RecordBatch.from_arrays(

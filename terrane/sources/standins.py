@@ -172,10 +172,15 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ts, event_id, worker_id, status); each kind of event stands for one status."""
     user = F.col("user_id")
+    kinds = {"click": "FETCHING_TABLES", "signup": "JOINING_TABLES", "purchase": "COMPLETED", "error": "FAILED"}
+    status = F
+    for kind, meaning in kinds.items():
+        status = status.when(F.col("event_type") == kind, meaning)
     return read(spark, sf_dir, "events").select(
         "ts",
         "event_id",
         F.concat(F.lit("G"), (user % 20).cast("string"), F.lit("_"), user.cast("string")).alias("worker_id"),
-        F.col("event_type").alias("status"),
+        status.otherwise("IN_PROGRESS").alias("status"),
     )
