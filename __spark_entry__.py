@@ -403,9 +403,9 @@ def contiguous_fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def shuffled_fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
+def shuffled_fold_of_record(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = _model_rows(spark, sf)
-    return shuffled_folds(rows, "id", duration.FOLDS, duration.SEED).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    return shuffled_folds(rows, "id", duration.FOLDS, duration.SEED).select("id", "fold")
 
 
 def ridge_fold_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -424,25 +424,28 @@ def ridge_fold_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def ridge_fit(spark: SparkSession, sf: str) -> DataFrame:
     model = duration.fit(_training(spark, sf))
-    rows = [("intercept", model.intercept)] + list(
-        zip([*duration.NUMERIC_FEATURES, *duration.SHAPE_FEATURES, *model.vocabulary], model.coefficients)
-    )
-    return spark.createDataFrame(rows, "feature string, coefficient double")
+    names = ["intercept", *duration.NUMERIC_FEATURES, *duration.SHAPE_FEATURES, *model.vocabulary]
+    rows = list(zip(names, [model.intercept, *model.coefficients], strict=True))
+    fitted = spark.createDataFrame(rows, "feature string, coefficient double")
+    return fitted.withColumn("coefficient", F.round("coefficient", 6))
 
 
 def ridge_predict(spark: SparkSession, sf: str) -> DataFrame:
     model = duration.fit(_training(spark, sf))
-    return model.predict(standins.performance(spark, sf), strict=False).select("id", "predicted_seconds", "missing_fields")
+    predicted = model.predict(standins.performance(spark, sf), strict=False)
+    return predicted.select("id", F.round("predicted_seconds", 6).alias("predicted_seconds"), "missing_fields")
 
 
 def ridge_tune(spark: SparkSession, sf: str) -> DataFrame:
     best = duration.tune_alpha(_training(spark, sf))
-    return spark.createDataFrame([(float(best["best_alpha"]), best["best_mae"])], "best_alpha double, best_mae double")
+    row = (float(best["best_alpha"]), round(best["best_mae"], 6))
+    return spark.createDataFrame([row], "best_alpha double, best_mae double")
 
 
 def ridge_kfold_mae(spark: SparkSession, sf: str) -> DataFrame:
     scored = duration.evaluate_kfold(_training(spark, sf))
-    return spark.createDataFrame([tuple(scored.values())], "mae_seconds double, record_count bigint, folds int")
+    row = (round(scored["mae_seconds"], 6), scored["record_count"], scored["folds"])
+    return spark.createDataFrame([row], "mae_seconds double, record_count bigint, folds int")
 
 
 # Status events
@@ -485,7 +488,7 @@ _QUERIES: list[Query] = [
     feature_union_area, feature_union_overlap, feature_union_lines, collection_union, flagship_features,
     territory_own_geometry, decimal_narrow,
     exports_history, training_set, training_count, latest_model, models_packaged, actual_duration, run_log_state,
-    duration_features, role_one_hot, contiguous_fold_sizes, shuffled_fold_sizes, ridge_fold_stats, ridge_fit,
+    duration_features, role_one_hot, contiguous_fold_sizes, shuffled_fold_of_record, ridge_fold_stats, ridge_fit,
     ridge_predict, ridge_tune, ridge_kfold_mae,
     status_revisions, status_current, export_progress, downloads_per_group, session_downloads,
 ]
@@ -614,6 +617,49 @@ feats as (
   from {source})
 """
 
+_SHUFFLED = """
+shuffled as (
+  select *, cast((row_number() over (order by cast(concat('0x', substr(md5(concat('42:', id)), 1, 15)) as bigint), id)
+    - 1) % 5 as int) as fold from {source})
+"""
+
+# Ridge on standardized features: standardize each training set, add up the normal equations
+# and eliminate. ``hold`` is the fold left out; -1 leaves out none.
+_RIDGE = """
+long as (
+  select id, fold, y, unnest(range(12)) as i, unnest([f0, f1, f2, f3, f4, f5, f6, f7,
+    cast((id // 4) % 2 as double), cast((id // 2) % 2 as double), cast(id % 2 as double), 1.0::double]) as x
+  from {folded}),
+holds as (select unnest({holds}) as hold),
+part as (select * from long, holds where fold <> hold),
+scale as (
+  select hold, i, avg(x) as m, case when stddev_pop(x) < 1e-12 then 1 else stddev_pop(x) end as s, avg(y) as my
+  from part group by hold, i),
+z as (select p.hold, id, i, (x - m) / s as z, y - my as c from part p join scale using (hold, i)),
+gram as (
+  select a.hold, a.i, b.i as j, sum(a.z * b.z) as g from z a join z b on a.hold = b.hold and a.id = b.id
+  group by a.hold, a.i, b.i),
+alphas as (select unnest({alphas}) as alpha),
+system as (
+  select hold, alpha, list(cells order by i) as m from (
+    select hold, alpha, i, list_append(list(g + case when i = j then alpha else 0 end order by j), any_value(r)) as cells
+    from gram join (select hold, i, sum(z * c) as r from z group by hold, i) using (hold, i), alphas
+    group by hold, alpha, i) group by hold, alpha),
+steps as (
+  select hold, alpha, 1 as k, m from system
+  union all
+  select hold, alpha, k + 1, list_transform(m, lambda r, p: case when p = k
+      then list_transform(r, lambda v: v / m[k][k])
+      else list_transform(r, lambda v, c: v - r[k] * m[k][c] / m[k][k]) end)
+  from steps where k <= 12),
+weights as (
+  select hold, alpha, unnest(range(12)) as i, unnest(list_transform(m, lambda r: r[13])) as w
+  from steps where k = 13),
+models as (
+  select hold, alpha, any_value(my) - sum(w / s * m) as intercept, list(w / s order by i) as coefficients
+  from weights join scale using (hold, i) group by hold, alpha)
+"""
+
 _STATUS = """
 ev as (
   select ts, event_id, concat('G', user_id % 20, '_', user_id) as worker_id, user_id,
@@ -636,6 +682,11 @@ def oracle_sql() -> dict[str, str]:
     )
     feature_names = [*duration.NUMERIC_FEATURES, *duration.SHAPE_FEATURES]
     feature_list = ", ".join(f"round(f{i}, 6) as {n}" for i, n in enumerate(feature_names))
+    roles = ["NDM_table", "geometry_table", "name_table", "territory_primary_table"]
+    coefficient_names = ", ".join(f"'{n}'" for n in [*feature_names, *roles])
+    inputs = [f"f{i}" for i in range(8)] + ["(id // 4) % 2", "(id // 2) % 2", "id % 2", "1"]
+    linear = " + ".join(f"coefficients[{i + 1}] * ({x})" for i, x in enumerate(inputs))
+    alphas = "[" + ", ".join(f"{a}::double" for a in duration.ALPHAS) + "]"
     lists = ", ".join(f"coalesce(array_to_string({k}, ','), '') as {k}_tables" for k in catalog.TABLE_TYPES)
     return {
         "list_tables_like": f"with {_CATALOG} select table_name, created from cat where {_TABLES_SCHEMA} = 'APP' "
@@ -774,12 +825,38 @@ def oracle_sql() -> dict[str, str]:
             f as (select id, ntile(5) over (order by id) - 1 as fold from training)
             select cast(fold as int) as fold, count(*) as "rows", min(id) as first_id, max(id) as last_id
             from f group by fold""",
-        "shuffled_fold_sizes": f"""with {_EXPORTS}, n as (select count(*) as c from training)
-            select cast(i as int) as fold, c // 5 + case when i < c % 5 then 1 else 0 end as "rows"
-            from n, range(5) as r(i)""",
+        "shuffled_fold_of_record": f"""with {_EXPORTS}, {_SHUFFLED.format(source="training")}
+            select id, fold from shuffled""",
         "ridge_fold_stats": f"""with {_EXPORTS}, {_FEATURES.format(source="training")},
             f as (select *, cast(ntile(5) over (order by id) - 1 as int) as fold from feats)
             select fold, count(*) as n, {stats} from f group by fold""",
+        "ridge_fit": f"""with recursive {_EXPORTS}, {_FEATURES.format(source="training")},
+            folded as (select *, 0 as fold from feats),
+            {_RIDGE.format(folded="folded", holds="[-1]", alphas="[1.0::double]")}
+            select unnest(['intercept', {coefficient_names}]) as feature,
+              unnest(list_transform(list_prepend(intercept, coefficients), lambda c: round(c, 6))) as coefficient
+            from models""",
+        "ridge_predict": f"""with recursive {_EXPORTS}, {_FEATURES.format(source="training")},
+            folded as (select *, 0 as fold from feats),
+            {_RIDGE.format(folded="folded", holds="[-1]", alphas="[1.0::double]")},
+            scored as (select t.* from ({_FEATURES.format(source="perf").strip()[len("feats as ("):-1]}) t)
+            select id, case when rows_fetched is not null then round(greatest(exp(intercept + {linear}) - 1, 0), 6) end
+                as predicted_seconds,
+              case when rows_fetched is null then 'rows_fetched' else '' end as missing_fields
+            from scored, models""",
+        "ridge_tune": f"""with recursive {_EXPORTS}, {_FEATURES.format(source="training")},
+            folded as (select *, ntile(5) over (order by id) - 1 as fold from feats),
+            {_RIDGE.format(folded="folded", holds="[0, 1, 2, 3, 4]", alphas=alphas)},
+            errors as (select alpha, fold, avg(abs(exp(y) - exp(intercept + {linear}))) as mae
+              from folded join models on fold = hold group by alpha, fold),
+            means as (select alpha, avg(mae) as mae from errors group by alpha)
+            select alpha as best_alpha, round(mae, 6) as best_mae from means order by mae, alpha limit 1""",
+        "ridge_kfold_mae": f"""with recursive {_EXPORTS}, {_FEATURES.format(source="training")},
+            {_SHUFFLED.format(source="feats")},
+            {_RIDGE.format(folded="shuffled", holds="[0, 1, 2, 3, 4]", alphas="[1.0::double]")}
+            select round(avg(abs(exp(y) - exp(intercept + {linear}))), 6) as mae_seconds, count(*) as record_count,
+              5::int as folds
+            from shuffled join models on fold = hold""",
         "status_revisions": f"""with {_STATUS},
             changed as (select *, lag(status, 1, 'IDLE') over (partition by worker_id order by ts, event_id) as was from ev)
             select worker_id, ts, event_id, status,

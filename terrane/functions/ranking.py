@@ -36,9 +36,13 @@ def rank_in_buckets(df: DataFrame, order: Sequence[str], bucket: str) -> DataFra
 
 
 def shuffled_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rank in the order of a seeded hash of ``key``: a reproducible shuffle."""
-    hashed = df.withColumn("__hash", F.xxhash64(key, F.lit(seed))).withColumn(
-        "__bucket", F.shiftright("__hash", 64 - HASH_BUCKETS_LOG2)
+    """Rank in the order of a seeded digest of ``key``: a shuffle that any engine can repeat.
+
+    The digest is spread evenly, so its leading bits cut the order into equal buckets.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    hashed = df.withColumn("__hash", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")).withColumn(
+        "__bucket", F.shiftright("__hash", 60 - HASH_BUCKETS_LOG2)
     )
     return rank_in_buckets(hashed, ["__hash", key], "__bucket").drop("__hash")
 
