@@ -156,7 +156,7 @@ def wkb_validity(spark: SparkSession, sf: str) -> DataFrame:
                 ("trailing_bytes", F.concat(good, F.unhex(F.lit("00")))),
                 ("truncated", F.substring(good, 1, 60)),
                 ("bad_type", F.concat(F.unhex(F.lit("0163000000")), body)),
-                ("bad_order", F.concat(F.unhex(F.lit("05")), F.substring(good, 2, 92))),
+                ("odd_order", F.concat(F.unhex(F.lit("05")), F.substring(good, 2, 92))),
                 ("with_srid", F.concat(F.unhex(F.lit("0103000020E6100000")), body)),
                 ("open_ring", F.concat(F.substring(good, 1, 77), F.unhex(F.lit("000000000000F0C0000000000000F0C0")))),
             ]
@@ -742,7 +742,7 @@ def oracle_sql() -> dict[str, str]:
               count(v) > 0 and coalesce(bool_and(is_hex or is_bin), false) as looks_binary
             from f group by column_name""",
         "wkb_validity": """with v(variant, ok) as (values ('good', 1), ('trailing_bytes', 1), ('truncated', 0),
-              ('bad_type', 0), ('bad_order', 0), ('with_srid', 1), ('open_ring', 0)),
+              ('bad_type', 0), ('odd_order', 1), ('with_srid', 1), ('open_ring', 0)),
             n as (select count(*) as c from lineitem)
             select variant, c as "values", c * ok as valid_values, ok = 1 as all_valid from v, n""",
         "wkb_hex_profile": 'select count(*) as "values", count(*) as valid_values, true as all_valid from lineitem',

@@ -38,7 +38,7 @@ def _byte(wkb: Column, place: int) -> Column:
 
 
 def _little(wkb: Column) -> Column:
-    return _byte(wkb, 1) == 1
+    return _byte(wkb, 1) != 0
 
 
 def type_code(wkb: Column) -> Column:
@@ -85,9 +85,8 @@ class Reader:
 
     def geometry(self, expected: int | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
         """Primitives as (POINT | LINE | POLYGON, coordinate arrays); a polygon lists its rings."""
-        order = {0: ">", 1: "<"}.get(self._take(1)[0])
-        if order is None:
-            raise ValueError("byte order")
+        # Geometry libraries read any mark but 0 as little-endian.
+        order = ">" if self._take(1)[0] == 0 else "<"
         word = self._count(order)
         kind = (word & 0x1FFFFFFF) % 1000
         iso = (word & 0x1FFFFFFF) // 1000
@@ -206,14 +205,14 @@ def _text(reader: Reader) -> str:
 
 
 def _peek_type(reader: Reader) -> int:
-    order = "<" if reader.data[reader.at] == 1 else ">"
+    order = ">" if reader.data[reader.at] == 0 else "<"
     word = struct.unpack_from(order + "I", reader.data, reader.at + 1)[0]
     return (word & 0x1FFFFFFF) % 1000
 
 
 def _enter(reader: Reader) -> int:
     """Step over a collection's header; returns its member count."""
-    order = "<" if reader._take(1)[0] == 1 else ">"
+    order = ">" if reader._take(1)[0] == 0 else "<"
     if reader._count(order) & SRID_FLAG:
         reader._take(4)
     return reader._count(order)

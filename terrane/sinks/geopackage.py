@@ -13,6 +13,7 @@ from pathlib import Path, PurePosixPath
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -113,6 +114,9 @@ class GeoPackageWriter(DataSourceArrowWriter):
         with tempfile.TemporaryDirectory(prefix="gpkg-") as local:
             file = Path(local) / name
             rows = self._fill(file, iterator)
+            # Only the first partition leaves an empty file, so that an empty table still has its schema.
+            if not rows and TaskContext.get().partitionId() != 0:
+                return Written("", 0)
             system, root = self._target()
             staging = self._staging(root)
             system.create_dir(staging, recursive=True)
@@ -182,7 +186,7 @@ class GeoPackageWriter(DataSourceArrowWriter):
         """Publish the files of the tasks that succeeded; files of lost attempts go with the staging directory."""
         system, root = self._target()
         staging = self._staging(root)
-        done = [m for m in messages if m is not None]
+        done = [m for m in messages if m is not None and m.name]
         if self.single:
             if len(done) != 1:
                 raise ValueError(f"A single file needs one partition, got {len(done)}.")

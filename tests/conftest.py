@@ -41,7 +41,7 @@ class Jts:
         base = self.jvm.org.locationtech.jts
         self.reader = base.io.WKTReader()
         self.binary = base.io.WKBReader()
-        self.writer = base.io.WKBWriter()
+        self.writer = base.io.WKBWriter(2, 2)  # little-endian
         self.union_op = base.operation.union.UnaryUnionOp
         self.overlay = base.operation.overlayng.OverlayNGRobust
 
