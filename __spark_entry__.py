@@ -565,11 +565,10 @@ names as (
     l_linestatus as LOCALE_LIST_USE
   from lineitem),
 names_array as (
-  select FEATURE_ID, cast(to_json(list(struct_pack(UNPARSED_FULL_NAME, UNPARSED_NAME, LANGUAGE, NAME_TYPE, CODE_TYPE,
-      NAME_RANK, LOCALE_LIST_USE)
-    order by NAME_RANK, UNPARSED_FULL_NAME, UNPARSED_NAME nulls first, LANGUAGE nulls first, NAME_TYPE,
-      LOCALE_LIST_USE)) as varchar) as NAMES_ARRAY
-  from names group by FEATURE_ID)
+  select FEATURE_ID, concat('[', string_agg(j, ',' order by NAME_RANK, j), ']') as NAMES_ARRAY
+  from (select FEATURE_ID, NAME_RANK, cast(to_json(struct_pack(UNPARSED_FULL_NAME, UNPARSED_NAME, LANGUAGE, NAME_TYPE,
+    CODE_TYPE, NAME_RANK, LOCALE_LIST_USE)) as varchar) as j from names)
+  group by FEATURE_ID)
 """
 
 _NDM = """

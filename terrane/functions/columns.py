@@ -98,9 +98,12 @@ def first_row_per_key(
         return df.distinct()
     row = F.struct(*[col(c) for c in rest])
     sortable = [c for c in rest if orderable(df.schema[c].dataType)]
-    order = F.struct(*[col(c) for c in [*order_by, *sortable]] or [F.lit(0)])
+    if not order_by and len(sortable) == len(rest):
+        first = F.min(row)
+    else:
+        first = F.min_by(row, F.struct(*[col(c) for c in [*order_by, *sortable]] or [F.lit(0)]))
     return (
         df.groupBy(col(key).alias(key))
-        .agg(F.min_by(row, order).alias("__row"))
+        .agg(first.alias("__row"))
         .select(col(key), *[F.col("__row").getField(c).alias(c) for c in rest])
     )

@@ -61,33 +61,35 @@ def match_keys(keys: Sequence[str]) -> Column:
 def collect_in_parts(
     df: DataFrame,
     keys: Sequence[str],
-    fields: Sequence[str],
     limit: int = DEFAULT_CELL_ITEMS,
     items: str = "items",
     part: str = "PART",
+    item: Column | None = None,
 ) -> DataFrame:
-    """(keys, part, items): sorted arrays of structs of ``fields``, at most about ``limit`` long.
+    """(keys, part, items): sorted arrays of ``item``, at most about ``limit`` long.
 
-    ``items`` is ordered by the fields, nulls first. An ordinary key has the single
-    part 0. A heavy key is first reduced to distinct items with their number of copies
-    (map-side combine), then its items are dealt to parts by hash; part 0 always exists.
+    ``item`` is a struct of the columns of ``df`` other than the keys (default: all of
+    them), and ``items`` is in its order, nulls first. An ordinary key has the single
+    part 0. A heavy key is first reduced to distinct rows with their number of copies
+    (map-side combine), then its rows are dealt to parts by hash; part 0 always exists.
     """
-    item = F.struct(*[col(f) for f in fields])
+    fields = [c for c in df.columns if c not in keys]
+    key_cols, field_cols = [col(k) for k in keys], [col(f) for f in fields]
+    item = F.struct(*field_cols) if item is None else item
     heavy = heavy_keys(df, keys, limit)
     if heavy is None:
         return _collect(df, keys, item, items, part)
 
     flagged = df.alias("l").join(heavy.alias("r"), match_keys(keys), "left").select("l.*", "r.__parts")
     light = _collect(flagged.filter(F.col("__parts").isNull()), keys, item, items, part)
-    key_cols = [col(k) for k in keys]
     copies = (
         flagged.filter(F.col("__parts").isNotNull())
-        .groupBy(*key_cols, "__parts", *[col(f) for f in fields])
+        .groupBy(*key_cols, "__parts", *field_cols)
         .agg(F.count(F.lit(1)).alias("__copies"))
         .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__copies") - 1) / limit).cast("int"))))
         .select(
             *key_cols,
-            F.pmod(F.xxhash64(*[col(f) for f in fields], "__chunk"), F.col("__parts")).cast("int").alias(part),
+            F.pmod(F.xxhash64(*field_cols, "__chunk"), F.col("__parts")).cast("int").alias(part),
             F.array_repeat(
                 item, F.least(F.lit(limit), F.col("__copies") - F.col("__chunk") * limit).cast("int")
             ).alias("__run"),
@@ -104,6 +106,8 @@ def collect_in_parts(
 
 
 def _collect(df: DataFrame, keys: Sequence[str], item: Column, items: str, part: str) -> DataFrame:
-    return df.groupBy(*[col(k) for k in keys]).agg(
-        F.lit(0).alias(part), F.sort_array(F.collect_list(item)).alias(items)
-    ).select(*[col(k) for k in keys], part, items)
+    """One list per key. Rows are shuffled as they are: lists do not shrink in a map-side combine."""
+    key_cols = [col(k) for k in keys]
+    together = df.repartition(*key_cols).groupBy(*key_cols)
+    listed = together.agg(F.lit(0).alias(part), F.sort_array(F.collect_list(item)).alias(items))
+    return listed.select(*key_cols, part, items)

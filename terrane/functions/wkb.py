@@ -65,11 +65,10 @@ def srid(wkb: Column) -> Column:
 def is_hex_text(text: Column) -> Column:
     """Hex digits in pairs, with ASCII white space allowed between pairs; even in length."""
     blank = r"[ \t\n\x0B\f\r]"
-    return (
-        (F.length(text) % 2 == 0)
-        & ~text.rlike(r"[^0-9A-Fa-f \t\n\x0B\f\r]")
-        & F.forall(F.split(text, blank + "+"), lambda run: F.length(run) % 2 == 0)
-    )
+    # Possessive, so that long runs neither recurse nor backtrack.
+    odd_run = rf"(?:^|{blank})[0-9A-Fa-f](?:[0-9A-Fa-f]{{2}})*+(?:{blank}|$)"
+    other = r"[^0-9A-Fa-f \t\n\x0B\f\r]"
+    return (F.length(text) % 2 == 0) & ~text.rlike(other) & ~text.rlike(odd_run)
 
 
 def is_binary_text(text: Column) -> Column:
@@ -149,7 +148,16 @@ def is_valid(value: object) -> bool:
 @F.pandas_udf(BooleanType())
 def wkb_valid(values: pd.Series) -> pd.Series:
     """Whether each value (binary, or hex text) is WKB; null for null."""
-    return values.map(lambda v: None if v is None else is_valid(v)).astype("boolean")
+    found: list[bool | None] = [None] * len(values)
+    listed = values.tolist()
+    binary = [i for i, v in enumerate(listed) if isinstance(v, bytes)]
+    for at, _ in _simple_polygons([listed[i] for i in binary]):
+        for i in at:
+            found[binary[i]] = True
+    for i, value in enumerate(listed):
+        if found[i] is None and value is not None:
+            found[i] = is_valid(value)
+    return pd.Series(found, dtype="boolean")
 
 
 @F.pandas_udf(BinaryType())
@@ -290,26 +298,29 @@ def extent(data: bytes) -> tuple[float, float, float, float] | None:
     return float(xy[:, 0].min()), float(xy[:, 0].max()), float(xy[:, 1].min()), float(xy[:, 1].max())
 
 
+def _simple_polygons(values: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, rings) of the little-endian polygons of one closed ring, by size; decoded together."""
+    sizes = np.array([len(v) for v in values])
+    for size in np.unique(sizes[sizes >= 13 + 4 * 16]):
+        at = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join(values[i] for i in at), dtype="u1").reshape(len(at), size)
+        header = raw[:, 1:13].copy().view("<u4")
+        plain = (raw[:, 0] == 1) & (header[:, 0] == POLYGON) & (header[:, 1] == 1) & (header[:, 2] * 16 + 13 == size)
+        if plain.any():
+            at, rings = at[plain], raw[plain, 13:].copy().view("<f8").reshape(int(plain.sum()), -1, 2)
+            closed = (rings[:, 0] == rings[:, -1]).all(axis=1)
+            yield at[closed], rings[closed]
+
+
 def segments(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, dimension, x1 y1 x2 y2) of all segments of a batch of WKB values.
 
     Polygon segments run with the interior on their left. A point is a segment of no
-    length and dimension 0. Simple polygons of equal size are decoded together.
+    length and dimension 0.
     """
     rows, dims, coords = [], [], []
-    sizes = np.array([len(v) for v in values])
     alike = np.zeros(len(values), dtype=bool)
-    for size in np.unique(sizes[sizes >= 13 + 4 * 16]):
-        at = np.flatnonzero(sizes == size)
-        raw = np.frombuffer(b"".join(values[i] for i in at), dtype="u1").reshape(len(at), size)
-        header = raw[:, 1:13].copy().view("<u4")
-        plain = (raw[:, 0] == 1) & (header[:, 0] == POLYGON) & (header[:, 1] == 1) & (header[:, 2] * 16 + 13 == size)
-        at, raw = at[plain], raw[plain]
-        if not len(at):
-            continue
-        rings = raw[:, 13:].copy().view("<f8").reshape(len(at), -1, 2)
-        closed = (rings[:, 0] == rings[:, -1]).all(axis=1)
-        at, rings = at[closed], rings[closed]
+    for at, rings in _simple_polygons(values):
         alike[at] = True
         x, y = rings[..., 0] - rings[:, :1, 0], rings[..., 1] - rings[:, :1, 1]
         clockwise = np.sum(x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1], axis=1) < 0

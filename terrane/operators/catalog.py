@@ -114,7 +114,7 @@ def group_tables(prepared: DataFrame, cell_items: int = DEFAULT_CELL_ITEMS) -> D
         col(TYPE).alias("type"),
         col(CREATED).alias("created"),
     )
-    parts = collect_in_parts(members, [GROUP], ["age", "name", "type", "created"], cell_items, "members", "LIST_PART")
+    parts = collect_in_parts(members, [GROUP], cell_items, "members", "LIST_PART")
 
     def of_type(kind: str) -> Column:
         return F.filter("members", lambda m: m["type"] == kind)

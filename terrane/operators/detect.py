@@ -49,8 +49,11 @@ def checked_rows(df: DataFrame, fetched: int) -> DataFrame:
 
 def looks_binary(column: Column) -> Column:
     """Aggregate: there is a value, and all values are hex text or text with unprintable characters."""
-    fits = is_hex_text(column) | is_binary_text(column)
-    return (F.count(column) > 0) & F.coalesce(F.bool_and(fits), F.lit(False))
+    return _fits(is_hex_text(column), is_binary_text(column))
+
+
+def _fits(is_hex: Column, is_binary: Column) -> Column:
+    return (F.count(is_hex) > 0) & F.coalesce(F.bool_and(is_hex | is_binary), F.lit(False))
 
 
 def all_wkb(column: Column) -> Column:
@@ -61,14 +64,21 @@ def all_wkb(column: Column) -> Column:
 def text_profile(df: DataFrame) -> DataFrame:
     """(column_name, values, hex_values, binary_values, looks_binary) over all rows of all text columns."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    flags = df.agg(
+    # Each pattern is matched once per value; the aggregates share its result.
+    kinds = df.select(
+        *[
+            F.struct(is_hex_text(col(c)).alias("hex"), is_binary_text(col(c)).alias("binary")).alias(f"c{i}")
+            for i, c in enumerate(text)
+        ]
+    )
+    flags = kinds.agg(
         *[
             F.struct(
                 F.lit(c).alias("column_name"),
-                F.count(col(c)).alias("values"),
-                F.count_if(is_hex_text(col(c))).alias("hex_values"),
-                F.count_if(is_binary_text(col(c))).alias("binary_values"),
-                looks_binary(col(c)).alias("looks_binary"),
+                F.count(F.col(f"c{i}.hex")).alias("values"),
+                F.count_if(F.col(f"c{i}.hex")).alias("hex_values"),
+                F.count_if(F.col(f"c{i}.binary")).alias("binary_values"),
+                _fits(F.col(f"c{i}.hex"), F.col(f"c{i}.binary")).alias("looks_binary"),
             ).alias(f"c{i}")
             for i, c in enumerate(text)
         ]

@@ -8,11 +8,13 @@ the feature list, so a grid search does not go back to the data for each fit.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,11 @@ def duration_features(records: DataFrame) -> DataFrame:
 
 def role_vocabulary(records: DataFrame) -> list[str]:
     """Sorted distinct roles of all records."""
-    roles = records.select(F.explode(roles_joined(F.col("joined_tables"))).alias("role")).distinct()
+    return _vocabulary(records.select(roles_joined(F.col("joined_tables")).alias("roles")))
+
+
+def _vocabulary(listed: DataFrame) -> list[str]:
+    roles = listed.select(F.explode("roles").alias("role")).distinct()
     found = [r["role"] for r in roles.limit(MAX_ROLES + 1).collect()]
     if len(found) > MAX_ROLES:
         raise ValueError(f"More than {MAX_ROLES} distinct roles; joined_tables must hold role names, not table names.")
@@ -90,17 +96,37 @@ def feature_names(vocabulary: Sequence[str]) -> list[str]:
 
 def training_rows(records: DataFrame, vocabulary: Sequence[str], key: str = "id") -> DataFrame:
     """(key, log_seconds, features...) of the records with a known duration."""
+    return _encoded(_timed(records, key), vocabulary, key)
+
+
+def _timed(records: DataFrame, key: str) -> DataFrame:
+    """(key, log_seconds, numeric features, roles) of the records with a known duration."""
     timed = duration_features(records.filter(F.col("duration").isNotNull()))
+    return timed.select(key, F.log1p("duration").alias(TARGET), *NUMERIC_FEATURES, *SHAPE_FEATURES, "roles")
+
+
+def _encoded(timed: DataFrame, vocabulary: Sequence[str], key: str) -> DataFrame:
     hot = one_hot(F.col("roles"), vocabulary)
     return timed.select(
-        key,
-        F.log1p("duration").alias(TARGET),
-        *NUMERIC_FEATURES,
-        *SHAPE_FEATURES,
-        *[h.alias(f"role_{i}") for i, h in enumerate(hot)],
+        key, TARGET, *NUMERIC_FEATURES, *SHAPE_FEATURES, *[h.alias(f"role_{i}") for i, h in enumerate(hot)]
     )
 
 
+@contextmanager
+def _training(records: DataFrame, key: str) -> Iterator[tuple[DataFrame, list[str]]]:
+    """Encoded training rows and the role vocabulary, kept while several passes read them.
+
+    The rows are cached with replication off, to disk if need be; a lost executor's share is
+    computed again.
+    """
+    timed = _timed(records, key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        vocabulary = _vocabulary(timed)
+        yield _encoded(timed, vocabulary, key), vocabulary
+    finally:
+        timed.unpersist()
+
+
 @dataclass(frozen=True)
 class Moments:
     """Row count, means and centred cross-product sums of the features and the target (last)."""
@@ -214,10 +240,8 @@ class DurationModel:
 
 def fit(records: DataFrame, alpha: float = 1.0, key: str = "id") -> DurationModel:
     """Ridge on log1p of the duration. ``training_records`` counts all records given."""
-    vocabulary = role_vocabulary(records.filter(F.col("duration").isNotNull()))
-    names = feature_names(vocabulary)
-    rows = training_rows(records, vocabulary, key).withColumn("fold", F.lit(0))
-    moments = collect_moments(rows, names)
+    with _training(records, key) as (rows, vocabulary):
+        moments = collect_moments(rows.withColumn("fold", F.lit(0)), feature_names(vocabulary))
     if not moments:
         raise ValueError("No record with a duration to train on.")
     intercept, weights = solve_ridge(moments[0], alpha)
@@ -256,24 +280,23 @@ def evaluate_kfold(
     records: DataFrame, alpha: float = 1.0, n_splits: int = FOLDS, random_state: int = SEED, key: str = "id"
 ) -> dict:
     """Pooled mean absolute error over all out-of-fold predictions of shuffled folds."""
-    vocabulary = role_vocabulary(records.filter(F.col("duration").isNotNull()))
-    names = feature_names(vocabulary)
-    rows = shuffled_folds(training_rows(records, vocabulary, key), key, n_splits, random_state)
-    moments = _cross_moments(rows, names, n_splits)
-    scored = rows.agg(mae_seconds(F.col(TARGET), _out_of_fold(moments, alpha, names)).alias("mae")).head()
+    with _training(records, key) as (rows, vocabulary):
+        names = feature_names(vocabulary)
+        folded = shuffled_folds(rows, key, n_splits, random_state)
+        moments = _cross_moments(folded, names, n_splits)
+        scored = folded.agg(mae_seconds(F.col(TARGET), _out_of_fold(moments, alpha, names)).alias("mae")).head()
     return {"mae_seconds": scored["mae"], "record_count": sum(m.n for m in moments.values()), "folds": n_splits}
 
 
 def tune_alpha(records: DataFrame, alphas: Iterable[float] | None = None, key: str = "id") -> dict:
     """Best alpha by the mean of per-fold errors over contiguous folds; the first best wins."""
     candidates = list(alphas or []) or ALPHAS
-    vocabulary = role_vocabulary(records.filter(F.col("duration").isNotNull()))
-    names = feature_names(vocabulary)
-    rows = contiguous_folds(training_rows(records, vocabulary, key), key, FOLDS)
-    moments = _cross_moments(rows, names, FOLDS)
-    scores = rows.groupBy("fold").agg(
-        *[mae_seconds(F.col(TARGET), _out_of_fold(moments, a, names)).alias(f"mae_{i}") for i, a in enumerate(candidates)]
-    ).collect()
+    with _training(records, key) as (rows, vocabulary):
+        names = feature_names(vocabulary)
+        folded = contiguous_folds(rows, key, FOLDS)
+        moments = _cross_moments(folded, names, FOLDS)
+        errors = [mae_seconds(F.col(TARGET), _out_of_fold(moments, a, names)).alias(f"mae_{i}") for i, a in enumerate(candidates)]
+        scores = folded.groupBy("fold").agg(*errors).collect()
     means = [float(np.mean([row[f"mae_{i}"] for row in scores])) for i in range(len(candidates))]
     best = int(np.argmin(means))
     return {"best_alpha": candidates[best], "best_mae": means[best]}

@@ -30,26 +30,24 @@ NDM_RENAMED = {"LENGTH": "LENGTH_NDM", "AREA": "AREA_NDM", "PERIMETER": "PERIMET
 
 def first_language(language: Column) -> Column:
     """First entry of a JSON list of languages; null when empty or not a list."""
-    return F.get(F.from_json(language, "array<string>"), 0)
+    return F.get_json_object(language, "$[0]")
 
 
 def names_array(names: DataFrame, cell_items: int = DEFAULT_CELL_ITEMS) -> DataFrame:
     """(FEATURE_ID, NAMES_PART, NAMES_ARRAY): the names of each feature as a JSON array.
 
-    Records are ordered by NAME_RANK and then by all fields. A feature with more than
+    Records are ordered by NAME_RANK and then by their JSON text. A feature with more than
     about ``cell_items`` names has several rows, NAMES_PART 0, 1, 2, ...
+
+    The fields travel through the shuffle; JSON is made after it, where it is read.
     """
     require_columns(names, [KEY, *NAME_FIELDS])
-    clean = names.select(
-        col(KEY).cast("long").alias(KEY),
-        *[first_language(col(f)).alias(f) if f == "LANGUAGE" else col(f) for f in NAME_FIELDS],
-    )
-    ordered = ["NAME_RANK", *[f for f in NAME_FIELDS if f != "NAME_RANK"]]
-    parts = collect_in_parts(clean, [KEY], ordered, cell_items, "items", "NAMES_PART")
-    records = F.transform("items", lambda n: F.struct(*[n[f].alias(f) for f in NAME_FIELDS]))
-    return parts.select(
-        KEY, "NAMES_PART", F.to_json(records, {"ignoreNullFields": "false"}).alias("NAMES_ARRAY")
-    )
+    fields = names.select(col(KEY).cast("long").alias(KEY), *[col(f) for f in NAME_FIELDS])
+    record = F.struct(*[first_language(col(f)).alias(f) if f == "LANGUAGE" else col(f) for f in NAME_FIELDS])
+    item = F.struct(col("NAME_RANK").alias("rank"), F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
+    parts = collect_in_parts(fields, [KEY], cell_items, "items", "NAMES_PART", item)
+    array = F.concat(F.lit("["), F.array_join(F.col("items")["json"], ","), F.lit("]"))
+    return parts.select(KEY, "NAMES_PART", array.alias("NAMES_ARRAY"))
 
 
 def json_payload_columns(ndm: DataFrame) -> list[str]:

@@ -28,9 +28,13 @@ STATUS_TEXT = {
 INITIAL = "IDLE"
 
 
-def status_revisions(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def status_revisions(
+    events: DataFrame, bucket_seconds: int = 3600, carry: DataFrame | None = None
+) -> DataFrame:
     """Events that change their worker's status, numbered 1, 2, 3, ... per worker.
 
+    ``carry`` (worker_id, status, revision) is where each worker stood before these events.
+
     ``events`` has ts, event_id, worker_id and status; a worker starts out IDLE. A worker
     may hold most of the events, so none is sorted in one piece: rows are windowed per
     (worker, time bucket), and only one summary row per bucket meets in the worker's own
@@ -58,9 +62,20 @@ def status_revisions(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame
     )
     worker = W.partitionBy("worker_id").orderBy("bucket")
     before = worker.rowsBetween(W.unboundedPreceding, -1)
+    if carry is None:
+        start = F.struct(F.lit(INITIAL).alias("status"), F.lit(0).cast("bigint").alias("revision"))
+        summary = summary.withColumn("__start", start)
+    else:
+        known = carry.select("worker_id", F.struct("status", F.col("revision").cast("bigint").alias("revision")).alias("__carry"))
+        fresh = F.struct(F.lit(INITIAL).alias("status"), F.lit(0).cast("bigint").alias("revision"))
+        summary = summary.join(known, "worker_id", "left").withColumn("__start", F.coalesce("__carry", fresh))
+    # A status may be null, so the one before is looked at as a struct: no struct means no bucket before.
+    previous = F.lag(F.struct(F.col("__last").alias("status"))).over(worker)
+    entering = F.when(previous.isNull(), F.col("__start.status")).otherwise(previous["status"])
+    earlier = F.sum(F.col("__changes") + F.col("__entry").cast("long")).over(before)
     carried = (
-        summary.withColumn("__entry", ~F.lag("__last", 1, INITIAL).over(worker).eqNullSafe(F.col("__first")))
-        .withColumn("__offset", F.coalesce(F.sum(F.col("__changes") + F.col("__entry").cast("long")).over(before), F.lit(0)))
+        summary.withColumn("__entry", ~entering.eqNullSafe(F.col("__first")))
+        .withColumn("__offset", F.coalesce(earlier, F.lit(0)) + F.col("__start.revision"))
         .select("worker_id", "bucket", "__entry", "__offset")
     )
     kept = local.join(carried, ["worker_id", "bucket"]).filter(
@@ -75,6 +90,19 @@ def status_revisions(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame
     )
 
 
+def carry_after(events: DataFrame, revisions: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """(worker_id, status, revision) after ``events``, whose revisions are given."""
+    numbered = revisions.groupBy("worker_id").agg(F.max("revision").alias("__revision"))
+    latest = current_status(events).select("worker_id", F.struct("status").alias("__latest"))
+    moved = latest.join(numbered, "worker_id", "left")
+    if carry is None:
+        return moved.select("worker_id", "__latest.status", F.coalesce("__revision", F.lit(0)).cast("bigint").alias("revision"))
+    both = carry.withColumnRenamed("status", "__before").join(moved, "worker_id", "full")
+    status = F.when(F.col("__latest").isNull(), F.col("__before")).otherwise(F.col("__latest.status"))
+    revision = F.coalesce("__revision", "revision", F.lit(0)).cast("bigint")
+    return both.select("worker_id", status.alias("status"), revision.alias("revision"))
+
+
 def current_status(events: DataFrame) -> DataFrame:
     """Latest status per worker."""
     return events.groupBy("worker_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))

@@ -24,9 +24,11 @@ STRIP_SEGMENTS = 4_000
 # Segments a single result cell may come from (about 64 MB); beyond it every strip is a row.
 CELL_SEGMENTS = 2_000_000
 
-SEGMENT_SCHEMA = "k bigint, kn int, dim int, x1 double, y1 double, x2 double, y2 double, w bigint"
-PART_SCHEMA = "k bigint, kn int, part int, area binary, lines binary, points binary"
-RESULT_SCHEMA = "k bigint, kn int, part int, geometry binary"
+# The keys are never null (kn = 1 marks the null key), which keeps the plan free of null filters
+# that would stop Spark from sharing the segment shuffle between its two readers.
+SEGMENT_SCHEMA = "k bigint not null, kn int not null, dim int, x1 double, y1 double, x2 double, y2 double, w bigint"
+PART_SCHEMA = "k bigint not null, kn int not null, part int, area binary, lines binary, points binary"
+RESULT_SCHEMA = "k bigint not null, kn int not null, part int, geometry binary"
 
 
 def union_features(
@@ -42,29 +44,36 @@ def union_features(
     more than ``cell_segments`` segments has one row per strip, GEOMETRY_PART 0, 1, 2, ...,
     whose polygons do not overlap and together are the union.
     """
-    pieces = pieces.select(col(KEY).cast("long").alias(KEY), "geometry")
-    per_feature = pieces.groupBy(KEY).agg(F.min("geometry").alias("__low"), F.max("geometry").alias("__high"))
+    pieces = keyed(pieces)
+    per_feature = pieces.groupBy("k", "kn").agg(F.min("geometry").alias("__low"), F.max("geometry").alias("__high"))
     single = (F.col("__low") == F.col("__high")) & (type_code(F.col("__low")) != COLLECTION)
     judged = per_feature.withColumn("__split", ~F.coalesce(single, F.lit(True)))
 
-    several = judged.filter("__split").select(F.col(KEY).alias("__key"))
-    of_several = pieces.filter(F.col("geometry").isNotNull()).join(
-        several, F.col(KEY).eqNullSafe(F.col("__key")), "left_semi"
-    )
-    merged = merge_pieces(of_several, strip_segments, cell_segments)
+    of_several = pieces.join(judged.filter("__split"), ["k", "kn"], "left_semi")
+    merged = merge_keyed(of_several, strip_segments, cell_segments).withColumnRenamed("geometry", "__union")
     # A split feature without any segment has only empty pieces.
-    whole = judged.join(
-        merged.withColumnsRenamed({KEY: "__key", "geometry": "__union"}),
-        F.col("__split") & F.col(KEY).eqNullSafe(F.col("__key")),
-        "left",
-    )
-    return whole.select(
-        KEY,
-        F.coalesce("GEOMETRY_PART", F.lit(0)).alias("GEOMETRY_PART"),
-        F.when(F.col("__split"), F.coalesce("__union", F.lit(EMPTY_COLLECTION))).otherwise(F.col("__low")).alias("geometry"),
+    merged_or_empty = F.coalesce("__union", F.lit(EMPTY_COLLECTION))
+    return judged.join(merged, ["k", "kn"], "left").select(
+        _key(),
+        F.coalesce("part", F.lit(0)).alias("GEOMETRY_PART"),
+        F.when(F.col("__split"), merged_or_empty).otherwise(F.col("__low")).alias("geometry"),
     )
 
 
+def keyed(pieces: DataFrame) -> DataFrame:
+    """(k, kn, geometry) with a key that is never null: ``kn`` is 1 for the null key.
+
+    All later steps group and join on these two columns, so the plan needs no null-safe
+    joins, which would shuffle again by another expression.
+    """
+    key = col(KEY).cast("long")
+    return pieces.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().cast("int").alias("kn"), "geometry")
+
+
+def _key() -> Column:
+    return F.when(F.col("kn") == 0, F.col("k")).alias(KEY)
+
+
 def dissolve_collections(df: DataFrame, geometry: str = "geometry", row_key: str = "ROW_ID") -> DataFrame:
     """Replace each geometry collection by the union of its members; other rows stay as they are.
 
@@ -82,13 +91,16 @@ def merge_pieces(
     pieces: DataFrame, strip_segments: int = STRIP_SEGMENTS, cell_segments: int = CELL_SEGMENTS
 ) -> DataFrame:
     """Union of all pieces of each feature, by segments. Same result columns as :func:`union_features`."""
+    merged = merge_keyed(keyed(pieces), strip_segments, cell_segments)
+    return merged.select(_key(), F.col("part").alias("GEOMETRY_PART"), "geometry")
+
+
+def merge_keyed(pieces: DataFrame, strip_segments: int, cell_segments: int) -> DataFrame:
+    """(k, kn, part, geometry): the union of the pieces of each key."""
     net = net_segments(pieces)
     strips = clustered(in_strips(net, strip_segments, cell_segments), ["k", "kn", "strip"])
     parts = strips.mapInArrow(_strip_boundaries, PART_SCHEMA)
-    geometries = clustered(parts, ["k", "kn", "part"]).mapInArrow(_link_parts, RESULT_SCHEMA)
-    return geometries.select(
-        F.when(F.col("kn") == 0, F.col("k")).alias(KEY), F.col("part").alias("GEOMETRY_PART"), "geometry"
-    )
+    return clustered(parts, ["k", "kn", "part"]).mapInArrow(_link_parts, RESULT_SCHEMA)
 
 
 def clustered(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,9 +119,7 @@ def net_segments(pieces: DataFrame) -> DataFrame:
     Shared edges of neighbouring pieces add up to zero and go; copies of a piece add up to
     one segment. Sums combine on the map side.
     """
-    raw = pieces.select(
-        F.coalesce(F.col(KEY), F.lit(0)).alias("k"), F.col(KEY).isNull().cast("int").alias("kn"), "geometry"
-    ).mapInArrow(_decode, SEGMENT_SCHEMA)
+    raw = pieces.mapInArrow(_decode, SEGMENT_SCHEMA)
     return (
         raw.groupBy("k", "kn", "dim", "x1", "y1", "x2", "y2")
         .agg(F.sum("w").alias("w"))
@@ -167,6 +177,7 @@ def _numpy(table: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(batch.column("geometry").is_valid())
         k, kn = _numpy(batch, "k", "kn")
         row, dim, xy = segments(batch.column("geometry").to_pylist())
         whole = Segments(row, dim, xy, np.where(dim == 2, 1, 0)).directed()

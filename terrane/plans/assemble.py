@@ -105,7 +105,7 @@ def assemble(
     present = next((c for c in result.columns if c.lower() == GEOMETRY), None)
     if present is not None:
         result = result.withColumnRenamed(present, PREVIOUS)
-    result = _attach_geometry(result, unions)
+    result = _attach_geometry(result, unions, null_key=not found_in)
     ordered = [KEY, GEOMETRY] + [c for c in result.columns if c not in (KEY, GEOMETRY)]
     return FeatureTable(result.select(*[col(c) for c in ordered]), True, chosen, tuple(inputs))
 
@@ -133,15 +133,20 @@ def _join_all(
     return result
 
 
-def _attach_geometry(result: DataFrame, unions: DataFrame) -> DataFrame:
-    """LEFT JOIN the unions; a continued names array does not repeat the geometry."""
+def _attach_geometry(result: DataFrame, unions: DataFrame, null_key: bool) -> DataFrame:
+    """LEFT JOIN the unions; a continued names array does not repeat the geometry.
+
+    Only a territory with its own geometry has a union for the null key. Otherwise the
+    join is on plain equality, which leaves the rows where the joins before put them.
+    """
     unions, _ = suffix_clashes(result, unions, KEY, "_right")
     right = unions.withColumnRenamed(KEY, "__key")
-    match = col(KEY).eqNullSafe(F.col("__key"))
-    if "NAMES_PART" not in result.columns:
-        joined = result.join(right, match, "left")
-    else:
-        joined = result.join(right.withColumn("__part", F.lit(0)), match & (F.col("NAMES_PART") == F.col("__part")), "left")
+    match = col(KEY).eqNullSafe(F.col("__key")) if null_key else col(KEY) == F.col("__key")
+    if "NAMES_PART" in result.columns:
+        # The part decides inside the condition, not as a join key: rows stay partitioned by feature.
+        match = match & (F.col("NAMES_PART") == 0)
+    joined = result.join(right, match, "left")
+    if "NAMES_PART" in result.columns:
         first = F.coalesce("GEOMETRY_PART", F.lit(0)) == 0
-        joined = joined.withColumn("NAMES_ARRAY", F.when(first, F.col("NAMES_ARRAY"))).drop("__part")
+        joined = joined.withColumn("NAMES_ARRAY", F.when(first, F.col("NAMES_ARRAY")))
     return joined.drop("__key").withColumn("GEOMETRY_PART", F.coalesce("GEOMETRY_PART", F.lit(0)))

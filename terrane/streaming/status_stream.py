@@ -1,15 +1,22 @@
-"""Status changes as a stream: the streaming form of ``status_revisions``."""
+"""Status changes as a stream: the streaming form of ``status_revisions``.
+
+:func:`status_changes` keeps a worker's state in Spark's state store and takes a worker's
+rows of one micro-batch in one task. :class:`RevisionLog` runs the batch operator on each
+micro-batch instead, which splits a worker's rows by time, for streams where one worker
+may bring most of the events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terrane.operators.status import INITIAL
+from terrane.operators.status import INITIAL, carry_after, status_revisions
 
 EVENT_SCHEMA = "ts timestamp, event_id bigint, worker_id string, status string"
 REVISION_SCHEMA = "worker_id string, ts timestamp, event_id bigint, status string, revision bigint"
@@ -47,3 +54,29 @@ def _keep_changes(
     kept["revision"] = range(revision + 1, revision + 1 + len(kept))
     state.update((rows["status"].iloc[-1], revision + len(kept)))
     yield kept[["worker_id", "ts", "event_id", "status", "revision"]]
+
+
+class RevisionLog:
+    """``foreachBatch`` target: revisions and the workers' standing, both per epoch.
+
+    The standing after an epoch is made from the one before it and written under its own
+    epoch, so an epoch that runs again after a failure writes the same rows again.
+    """
+
+    def __init__(self, path: str, bucket_seconds: int = 3600) -> None:
+        self.path, self.bucket_seconds = path, bucket_seconds
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        carry = spark.read.parquet(f"{self.path}/standing/epoch={epoch - 1}") if epoch else None
+        events = batch.select("ts", "event_id", "worker_id", "status").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            target = f"{self.path}/revisions/epoch={epoch}"
+            status_revisions(events, self.bucket_seconds, carry).write.mode("overwrite").parquet(target)
+            after = carry_after(events, spark.read.parquet(target), carry)
+            after.write.mode("overwrite").parquet(f"{self.path}/standing/epoch={epoch}")
+        finally:
+            events.unpersist()
+
+    def revisions(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/revisions").drop("epoch")

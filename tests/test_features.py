@@ -53,7 +53,7 @@ def test_parts_of_null_and_compound_keys(spark):
     df = spark.range(60).select(
         F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"), F.lit(1).alias("j"), (F.col("id") % 7).alias("v")
     )
-    found = collect_in_parts(df, ["k", "j"], ["v"], limit=4).collect()
+    found = collect_in_parts(df, ["k", "j"], limit=4).collect()
     for key in ("a", None):
         values = sorted(i["v"] for r in found if r["k"] == key for i in r["items"])
         assert values == sorted(i % 7 for i in range(60) if (i % 2 == 0) == (key == "a"))

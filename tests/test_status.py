@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import status
-from terrane.streaming.status_stream import read_events, status_changes
+from terrane.streaming.status_stream import RevisionLog, read_events, status_changes
 
 EVENTS = "ts timestamp_ntz, event_id bigint, worker_id string, status string"
 START = datetime.datetime(2024, 1, 1)
@@ -45,12 +45,17 @@ def test_hot_worker_is_windowed_in_pieces(spark):
     assert "hashpartitioning(worker_id" in plan and "bucket" in plan
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def written_events(spark, path):
     rows = sorted(random_events(400, seed=9), key=lambda r: (r[0], r[1]))
-    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     for i in range(4):
         part = spark.createDataFrame(rows[i * 100 : (i + 1) * 100], EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return [(w, e, s, r) for w, _, e, s, r in brute_force(rows)]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    expected = written_events(spark, source)
     query = (
         status_changes(read_events(spark, source, max_files_per_trigger=1))
         .writeStream.format("parquet")
@@ -62,10 +67,32 @@ def test_stream_equals_batch(spark, tmp_path):
     )
     query.awaitTermination(120)
     found = spark.read.parquet(sink).select("worker_id", "event_id", "status", "revision").collect()
-    expected = [(w, e, s, r) for w, _, e, s, r in brute_force(rows)]
     assert sorted(map(tuple, found), key=lambda r: r[1]) == expected
 
 
+def test_stream_by_batches_splits_hot_workers_and_can_be_repeated(spark, tmp_path):
+    source = str(tmp_path / "in")
+    expected = written_events(spark, source)
+    log = RevisionLog(str(tmp_path / "log"), bucket_seconds=100)
+    query = (
+        read_events(spark, source, max_files_per_trigger=1)
+        .writeStream.foreachBatch(log)
+        .option("checkpointLocation", str(tmp_path / "check"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination(180)
+
+    def found():
+        rows = log.revisions(spark).select("worker_id", "event_id", "status", "revision").collect()
+        return sorted(map(tuple, rows), key=lambda r: r[1])
+
+    assert found() == expected
+    files = sorted(spark.read.parquet(source).selectExpr("_metadata.file_path f", "ts").groupBy("f").agg(F.min("ts")).collect(), key=lambda r: r[1])
+    log(spark.read.parquet(files[3][0]), 3)
+    assert found() == expected
+
+
 def test_current_progress_and_groups(spark):
     rows = [
         (START, 1, "A_1_7", "IN_PROGRESS"),
