@@ -141,10 +141,10 @@ def test_hot_feature_is_spread_over_strips(spark):
         F.floor(F.col("id") / 100).cast("double").alias("y"),
     )
     from terrane.functions.wkb import rectangle_wkb
-    from terrane.operators.union import in_strips, net_segments
+    from terrane.operators.union import in_strips, keyed, net_segments
 
     pieces = cells.select("FEATURE_ID", rectangle_wkb("x", "y", F.col("x") + 1.5, F.col("y") + 1.0).alias("geometry"))
-    strips = in_strips(net_segments(pieces), 500, 10**9).filter("k = -1").groupBy("strip").count().collect()
+    strips = in_strips(net_segments(keyed(pieces)), 500, 10**9).filter("k = -1").groupBy("strip").count().collect()
     assert len(strips) > 50
     assert max(r["count"] for r in strips) < 3000
     area = union_features(pieces, strip_segments=500).filter("FEATURE_ID = -1").select(wkb_area("geometry")).head()[0]
