@@ -75,7 +75,7 @@ def suffix_clashes(
 
 
 def orderable(dtype: T.DataType) -> bool:
-    if isinstance(dtype, (T.MapType, T.VariantType)):
+    if isinstance(dtype, (T.MapType, T.VariantType, T.GeographyType, T.GeometryType)):
         return False
     if isinstance(dtype, T.ArrayType):
         return orderable(dtype.elementType)

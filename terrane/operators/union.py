@@ -130,13 +130,24 @@ def net_segments(pieces: DataFrame) -> DataFrame:
 def in_strips(net: DataFrame, strip_segments: int, cell_segments: int) -> DataFrame:
     """Segments with the strip they reach into and its bounds; small features have one strip.
 
+    Strips run along the axis on which the feature's segments are shorter; where that is x,
+    the feature is mirrored (``flip``: x and y change places, which turns directions round).
     The table of large features has at most one row per ``strip_segments`` segments, and is
     usually empty; the join lets Spark choose by the size it finds at run time.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rise, run = F.sum(high - low), F.sum(F.abs(F.col("x2") - F.col("x1")))
+    tallness = rise / (F.max(high) - F.min(low))
+    wideness = run / (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")))
+    flip = F.coalesce(tallness > wideness, F.lit(False))
     large = (
         net.groupBy("k", "kn")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(low).alias("bottom"), F.max(high).alias("top"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            flip.alias("flip"),
+            F.when(flip, F.min(F.least("x1", "x2"))).otherwise(F.min(low)).alias("bottom"),
+            F.when(flip, F.max(F.greatest("x1", "x2"))).otherwise(F.max(high)).alias("top"),
+        )
         .filter(F.col("n") > strip_segments)
         .withColumn("strips", F.ceil(F.col("n") / strip_segments).cast("int"))
         .withColumn("height", (F.col("top") - F.col("bottom")) / F.col("strips"))
@@ -155,8 +166,19 @@ def in_strips(net: DataFrame, strip_segments: int, cell_segments: int) -> DataFr
         F.greatest(F.lit(0), F.least(strip_of(low) - 1, last)), F.least(last, F.greatest(strip_of(high) + 1, F.lit(0)))
     )
     infinity = F.lit(float("inf"))
+    mirrored = F.coalesce("flip", F.lit(False))
     placed = (
         net.join(large, ["k", "kn"], "left")
+        .withColumns(
+            {
+                "x1": F.when(mirrored, F.col("y1")).otherwise(F.col("x1")),
+                "y1": F.when(mirrored, F.col("x1")).otherwise(F.col("y1")),
+                "x2": F.when(mirrored, F.col("y2")).otherwise(F.col("x2")),
+                "y2": F.when(mirrored, F.col("x2")).otherwise(F.col("y2")),
+                "w": F.when(mirrored, -F.col("w")).otherwise(F.col("w")),
+                "flip": mirrored.cast("int"),
+            }
+        )
         .withColumn("strip", F.explode(F.when(F.col("strips").isNull(), F.array(F.lit(0))).otherwise(reached)))
         .withColumns(
             {
@@ -167,7 +189,7 @@ def in_strips(net: DataFrame, strip_segments: int, cell_segments: int) -> DataFr
         )
     )
     return placed.filter((high >= F.col("lo")) & (low <= F.col("hi"))).select(
-        "k", "kn", "strip", "dim", "x1", "y1", "x2", "y2", "w", "lo", "hi", "closed"
+        "k", "kn", "strip", "dim", "x1", "y1", "x2", "y2", "w", "lo", "hi", "closed", "flip"
     )
 
 
@@ -222,13 +244,16 @@ def _group_starts(columns: list[np.ndarray]) -> np.ndarray:
 
 def _strip_boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["k", "kn", "strip"]):
-        k, kn, strip, dim, w, lo, hi, closed = _numpy(table, "k", "kn", "strip", "dim", "w", "lo", "hi", "closed")
+        k, kn, strip, dim, w = _numpy(table, "k", "kn", "strip", "dim", "w")
+        lo, hi, closed, flip = _numpy(table, "lo", "hi", "closed", "flip")
         starts = _group_starts([k, kn, strip])
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(k)]))
         xy = np.column_stack(_numpy(table, "x1", "y1", "x2", "y2"))
         bound = union_boundary(
             Segments(group, dim, xy, w), lo[starts], hi[starts], closed[starts].astype(bool)
         )
+        # Undo the mirroring: coordinates back in place, directions back round.
+        bound.xy = np.where((flip[starts] == 1)[bound.group][:, None], bound.xy[:, ::-1], bound.xy)
         order = np.argsort(bound.group, kind="stable")
         bound = bound.take(order)
         firsts = np.searchsorted(bound.group, np.arange(len(starts) + 1))

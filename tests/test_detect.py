@@ -156,3 +156,17 @@ def test_metrics_of_a_table_set(spark, square):
     assert looks_spatial(rows(spark, square, name="WKB"))
     assert not looks_spatial(rows(spark, square, name="wkb"))
     assert looks_spatial(territory, declared={"A": "GEOGRAPHY"}) and looks_spatial(territory, geometry=names)
+
+
+def test_geography_type(spark, square):
+    spark.conf.set("spark.sql.geospatial.enabled", "true")
+    try:
+        df = spark.createDataFrame([(1, square, "a"), (2, square, "b")], "FEATURE_ID bigint, g binary, A string")
+        df = df.selectExpr("FEATURE_ID", "st_geogfromwkb(g) as SHAPE", "A")
+        assert detect_geometry(df) == Detection("SNOWFLAKE_GEOGRAPHY", "SHAPE", "SNOWFLAKE")
+        table, column = prepare_spatial(df)
+        assert column == "geometry" and dict(table.dtypes)["geometry"] == "binary"
+        texts = {wkb.to_text(r["geometry"]) for r in table.collect()}
+        assert texts == {"POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))"}
+    finally:
+        spark.conf.unset("spark.sql.geospatial.enabled")

@@ -156,6 +156,29 @@ def test_hot_feature_is_spread_over_strips(spark):
     assert area == pytest.approx(len(covered) / 2)
 
 
+@pytest.mark.parametrize("upright", [True, False])
+@pytest.mark.parametrize("cell_segments", [10**9, 500])
+def test_long_segments_are_cut_across(spark, jts, upright, cell_segments):
+    """A fence of long bars: strips follow the axis on which each bar is in few of them."""
+    from terrane.operators.union import in_strips, keyed, net_segments
+
+    def bar(i):
+        text = "POLYGON (({a} 0, {b} 0, {b} 100, {a} 100, {a} 0))" if upright else "POLYGON ((0 {a}, 100 {a}, 100 {b}, 0 {b}, 0 {a}))"
+        return jts.wkb(text.format(a=i, b=i + (0.5 if i % 3 else 1.25)))
+
+    bars = [bar(i) for i in range(300)]
+    df = frame(spark, [(1, b) for b in bars])
+    strips = in_strips(net_segments(keyed(df)), 100, cell_segments).groupBy("strip").count().collect()
+    assert len(strips) >= 12 and max(r["count"] for r in strips) < 250
+    found = unions(union_features(df, strip_segments=100, cell_segments=cell_segments))[1]
+    if cell_segments > 10**6:
+        assert jts.same(found[0][1], bars) == ""
+    else:
+        parts = [jts.read(g) for _, g in found]
+        assert len(parts) > 5 and all(p.isValid() for p in parts)
+        assert sum(p.getArea() for p in parts) == pytest.approx(jts.union(bars).getArea(), rel=1e-9)
+
+
 def test_null_keys_null_and_empty_geometries(spark, jts):
     square = jts.wkb("POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))")
     beside = jts.wkb("POLYGON ((1 0, 2 0, 2 1, 1 1, 1 0))")
