@@ -14,9 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.columns import col, quoted
+from terrane.functions.columns import col, orderable, quoted
 
 DEFAULT_CELL_ITEMS = 100_000
+# A join key with more rows than this on the left is split over several tasks.
+JOIN_KEY_ROWS = 1_000_000
 # A list of heavy keys up to this length is broadcast; a longer one is joined normally.
 MAX_BROADCAST_KEYS = 10_000
 
@@ -52,6 +54,35 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> Data
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def spread_hot_keys(
+    left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a left join and the columns to join on, with the left's hot keys split up.
+
+    ``heavy`` comes from :func:`heavy_keys`. The left rows of a heavy key are dealt to
+    slots, and the right rows of that key are repeated once per slot. The slot comes from the row and its
+    partition number, so copies of a row spread too and a task that runs again deals the
+    same way. The null key matches nothing, but is spread all the same.
+    """
+    if heavy is None:
+        return left, right, [key]
+    row = [col(f.name) for f in left.schema.fields if orderable(f.dataType)]
+    dealt = F.pmod(F.xxhash64(*row, F.spark_partition_id()), F.col("__parts")).cast("int")
+    slotted = (
+        left.alias("l")
+        .join(heavy.alias("r"), match_keys([key]), "left")
+        .select("l.*", "r.__parts")
+        .withColumn("__slot", F.coalesce(dealt, F.lit(0)))
+        .drop("__parts")
+    )
+    repeated = (
+        right.alias("l")
+        .join(heavy.alias("r"), match_keys([key]), "left")
+        .select("l.*", F.explode(F.sequence(F.lit(0), F.coalesce("r.__parts", F.lit(1)) - 1)).alias("__slot"))
+    )
+    return slotted, repeated, [key, "__slot"]
+
+
 def match_keys(keys: Sequence[str]) -> Column:
     """Null-safe equality of ``l.key`` and ``r.key`` for all keys."""
     terms = [F.col(f"l.{quoted(k)}").eqNullSafe(F.col(f"r.{quoted(k)}")) for k in keys]

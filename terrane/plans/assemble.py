@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.functions.columns import col, first_row_per_key, left_join_suffixed, suffix_clashes
-from terrane.functions.skew import DEFAULT_CELL_ITEMS
+from terrane.functions.columns import col, first_row_per_key, suffix_clashes
+from terrane.functions.skew import DEFAULT_CELL_ITEMS, JOIN_KEY_ROWS, heavy_keys, spread_hot_keys
 from terrane.operators.detect import prepare_spatial
 from terrane.operators.features import names_array, ndm_attributes
 from terrane.operators.union import CELL_SEGMENTS, STRIP_SEGMENTS, union_features
@@ -51,6 +51,7 @@ def assemble(
     cell_names: int = DEFAULT_CELL_ITEMS,
     strip_segments: int = STRIP_SEGMENTS,
     cell_segments: int = CELL_SEGMENTS,
+    hot_rows: int = JOIN_KEY_ROWS,
 ) -> FeatureTable:
     """Territory LEFT JOIN names LEFT JOIN geometry LEFT JOIN NDM on FEATURE_ID.
 
@@ -58,7 +59,8 @@ def assemble(
     the result has one row per feature: FEATURE_ID, the union of its geometries, and the
     first values of everything else. Each table is brought down to one row per feature
     before it is joined, so a split feature never multiplies. Without a geometry the rows
-    stay as the joins give them.
+    stay as the joins give them; a feature with more than ``hot_rows`` territory rows is
+    joined in several tasks.
 
     ``declared`` describes the table searched for the geometry. NAMES_PART and
     GEOMETRY_PART number the rows of a feature too large for one cell; both are 0 in
@@ -88,7 +90,9 @@ def assemble(
 
     chosen = found_in or found
     if chosen is None:
-        result = _join_all(base, grouped_names, shapes, shaped_ndm)
+        alone = names is None and geometry is None and ndm is None
+        heavy = None if alone else heavy_keys(base, [KEY], hot_rows)
+        result = _join_all(base, grouped_names, shapes, shaped_ndm, heavy)
         return FeatureTable(result, False, None, tuple(inputs))
 
     source = shapes if found_in else base
@@ -119,17 +123,25 @@ def _first_rows(df: DataFrame) -> DataFrame:
 
 
 def _join_all(
-    base: DataFrame, names: DataFrame | None, geometry: DataFrame | None, ndm: DataFrame | None
+    base: DataFrame,
+    names: DataFrame | None,
+    geometry: DataFrame | None,
+    ndm: DataFrame | None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
-    """The joins in their fixed order, with each table's own suffix for clashing columns."""
+    """The joins in their fixed order, with each table's own suffix for clashing columns.
+
+    ``heavy`` lists features that the territory holds very often; their rows are split up.
+    """
     result = base
+    for right, suffix in ((names, "_right"), (geometry, "_GEOMETRY"), (ndm, "_right")):
+        if right is None:
+            continue
+        right, _ = suffix_clashes(result, right, KEY, suffix)
+        left, spread, keys = spread_hot_keys(result, right, KEY, heavy)
+        result = left.join(spread, keys, "left").drop("__slot")
     if names is not None:
-        result = left_join_suffixed(result, names, KEY)
         result = result.withColumn("NAMES_PART", F.coalesce("NAMES_PART", F.lit(0)))
-    if geometry is not None:
-        result = left_join_suffixed(result, geometry, KEY, "_GEOMETRY")
-    if ndm is not None:
-        result = left_join_suffixed(result, ndm, KEY)
     return result
 
 

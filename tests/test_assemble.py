@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from terrane.functions.skew import heavy_keys, spread_hot_keys
 from terrane.plans.assemble import assemble
 
 NAMES = (
@@ -105,3 +106,21 @@ def test_large_cells_continue_in_further_rows(spark, jts, territory, shapes):
     areas = [jts.read(r["geometry"]).getArea() for r in rows if r["geometry"] is not None]
     assert len(areas) > 1 and sum(areas) == pytest.approx(2 * 20.5)
     assert len({(r["NAMES_PART"], r["GEOMETRY_PART"]) for r in rows}) == len(rows)
+
+
+def test_hot_features_are_split_in_the_joins(spark, names):
+    """A third of the territory on one feature, half of that copies of one row, and many null keys."""
+    rows = [(1, "copy" if i % 2 else f"row{i}") for i in range(400)] + [(None, f"none{i}") for i in range(300)]
+    rows += [(i + 10, f"cold{i}") for i in range(500)]
+    territory = spark.createDataFrame(rows, "FEATURE_ID bigint, NAME string").repartition(6)
+    notes = spark.createDataFrame([(1, "x"), (1, "y"), (12, "z")], "FEATURE_ID bigint, NOTE string")
+    key = lambda r: str(tuple(r))
+    plain = sorted(assemble(territory, names, notes).dataframe.collect(), key=key)
+    split = assemble(territory, names, notes, hot_rows=40).dataframe
+    assert "__slot" not in split.columns
+    assert sorted(split.collect(), key=key) == plain
+    assert len(plain) == 2 * 400 + 300 + 500
+    heavy = heavy_keys(territory, ["FEATURE_ID"], 40)
+    left, right, keys = spread_hot_keys(territory, notes, "FEATURE_ID", heavy)
+    sizes = [r["count"] for r in left.filter("FEATURE_ID = 1 or FEATURE_ID is null").groupBy(*keys).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 120
