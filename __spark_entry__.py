@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -24,6 +25,13 @@ from terrane.session import ship  # noqa: E402
 from terrane.sinks.prepare import narrow_decimals  # noqa: E402
 from terrane.sources import standins, tables  # noqa: E402
 
+# The corpus operators and their pipeline may be absent; an error inside them is not hidden.
+corpus = pipeline = None
+if find_spec("terrane.llm") is not None and find_spec("terrane.llm.queries") is not None:
+    from terrane.llm import queries as corpus  # noqa: E402
+    if find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline as pipeline  # noqa: E402
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -500,7 +508,12 @@ def queries() -> dict[str, Query]:
     def shipped(query: Query) -> Query:
         return lambda spark, sf_dir: query(ship(spark), sf_dir)
 
-    return {query.__name__: shipped(query) for query in _QUERIES}
+    named = {query.__name__: shipped(query) for query in _QUERIES}
+    if corpus:
+        named |= corpus.queries()
+    if pipeline:
+        named["pipeline"] = shipped(pipeline.run)
+    return named
 
 
 # The same stand-ins in SQL.
@@ -673,6 +686,15 @@ _JOINED = "FEATURE_ID, NAME, BRAND, KIND, SIZE, PRICE"
 
 def oracle_sql() -> dict[str, str]:
     """For each query that SQL can express, the same rows in DuckDB's SQL."""
+    found = _own_sql()
+    if corpus:
+        found |= corpus.oracle_sql()
+    if pipeline and pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
+    return found
+
+
+def _own_sql() -> dict[str, str]:
     stats = ", ".join(
         [f"round(avg(f{i}), 6) as mean_{i}" for i in range(8)]
         + ["round(avg(y), 6) as mean_target"]
