@@ -21,7 +21,10 @@ BUCKET_BITS = 12
 
 def tokens_of(text: Column) -> Column:
     """Words between white space, one at least, so that every row weighs something."""
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("long")
+    whole = F.coalesce(text, F.lit(""))
+    blank = lambda c: c.rlike(r"^\s$").cast("int")
+    parts = F.size(F.split(whole, r"\s+")) - blank(F.substring(whole, 1, 1)) - blank(F.substring(whole, -1, 1))
+    return F.greatest(parts, F.lit(1)).cast("long")
 
 
 def exponent(shares: str, target: str, value: float) -> str:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import chat, mixing, sharding, syncmers
+import public_tokenizers
+
+from terrane.llm import chat, langid, mixing, piece, sharding, syncmers, topk
 from terrane.llm.common import whole_text
 from terrane.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+PIECE_MODEL = "piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,11 +33,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece.digests(docs, piece.read_model(public_tokenizers.path(PIECE_MODEL))).drop("text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, target="repetition", value=2.0).select("doc_id", "source", "n_tokens", "block", "order_key")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), whole_text().alias("content")).alias("row")
@@ -76,10 +89,23 @@ def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edit_and_next(table(spark, sf_dir, "documents"))
 
 
-_QUERIES: list[Query] = [op2_sharding, op4_mixing, op8_chat, op9_syncmers]
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+_QUERIES: list[Query] = [op2_sharding, op3_pieces, op4_mixing, op7_topk, op8_chat, op9_syncmers, op10_langid]
 
 _CONTROL = r"(?:/?INST|/?SYS|/?s)"
 SQL = {
+    "op7_topk": """with q as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
+          where embedding is not null
+            and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+        scored as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score
+          from q a join q b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+        ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank,
+          vec_id, score from scored)
+        select * from ranked where rank <= 5""",
     "op4_mixing": """with recursive counted as (
           select doc_id, source, coalesce('s' || source, 'n') as g,
             greatest(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')), 1) as n_tokens from documents),

@@ -6,43 +6,51 @@ one. The choice depends on the k-mer alone, so a passage keeps its anchors where
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.llm.common import without
 
-K, S = 5, 2
+K, S = 5, 1
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """32-bit hashes of the anchors of a text in order of place; a text of fewer than k words is one k-mer."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    windows = k - s + 1
+    words = F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"\s+")
+    hashed = F.transform(words, lambda w: F.hash(w))
 
-    def of_words(h: Column) -> Column:
-        last = F.size(h) - s
-        inner = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
-        return _pick(h, inner)
+    def picked(h: Column, inner: Column) -> Column:
+        def at_edge(i: Column) -> Column:
+            smallest = F.least(*[F.get(inner, i + j) for j in range(k - s + 1)])
+            return smallest.isin(F.get(inner, i), F.get(inner, i + (k - s)))
 
-    def _pick(h: Column, inner: Column) -> Column:
-        def picked(m: Column) -> Column:
-            at = F.sequence(F.lit(0), F.size(h) - k)
-            edge = lambda i: F.least(*[F.get(m, i + j) for j in range(windows)])
-            kept = F.filter(at, lambda i: edge(i).isin(F.get(m, i), F.get(m, i + windows - 1)))
-            return F.transform(kept, lambda i: F.hash(*[F.get(h, i + j) for j in range(k)]))
+        kept = F.filter(F.sequence(F.lit(0), F.size(h) - k), at_edge)
+        return F.transform(kept, lambda i: F.hash(*[F.get(h, i + j) for j in range(k)]))
 
-        return F.element_at(F.transform(F.array(inner), picked), 1)
+    def chosen(h: Column) -> Column:
+        if s == 1:
+            found = picked(h, h)
+        else:
+            places = F.sequence(F.lit(0), F.size(h) - s)
+            inner = F.transform(places, lambda i: F.hash(*[F.get(h, i + j) for j in range(s)]))
+            found = _let(inner, lambda m: picked(h, m))
+        return F.when(F.size(h) < k, F.array(F.hash(h))).otherwise(found)
 
-    short = lambda h: F.when(F.size(h) == 0, F.array().cast("array<int>")).otherwise(F.array(F.hash(h)))
-    both = lambda h: F.when(F.size(h) < k, short(h)).otherwise(of_words(h))
-    return F.element_at(F.transform(F.array(hashed), both), 1)
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r")) == ""
+    return F.when(bare, F.array().cast("array<int>")).otherwise(_let(hashed, chosen))
 
 
 def printed(found: Column) -> Column:
-    """The anchors as text: eight hexadecimal digits each, in order."""
-    return F.array_join(F.transform(found, lambda a: F.lpad(F.hex(a.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
+    """The anchors as text, in order."""
+    return F.array_join(found.cast("array<string>"), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
