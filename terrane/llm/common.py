@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -50,13 +51,46 @@ def running_total(
     )
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session names none, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under the session's checkpoint folder; one is set only where the session has none, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and its lineage cut."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of ``links`` (columns ``a`` and ``b``, long): rows (``node``, ``component``), the smallest node.
+
+    Large-star and small-star steps: each node's links are moved to the smallest node it knows until
+    nothing changes. Every step is written to the shared folder. No links give no rows.
+    """
+    edges = written(links.select("a", "b").where("a <> b").distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Large star: larger neighbours of a node are linked to the smallest of its neighbourhood.
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        large = both.join(least, "a").where("b > a and b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        large = large.distinct()
+        # Small star: a node and its smaller neighbours are linked to the smallest of these.
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        lowest = down.groupBy("a").agg(F.min("b").alias("least"))
+        moved = down.join(lowest, "a").select(F.col("b").alias("x"), "least").where("x <> least")
+        small = moved.unionByName(lowest.select(F.col("a").alias("x"), "least")).select(F.col("x").alias("a"), F.col("least").alias("b"))
+        edges = written(small.distinct())
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = nodes.select(F.col("component").alias("node"), "component")
+    return nodes.unionByName(roots).distinct()

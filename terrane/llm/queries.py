@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from terrane.llm import chat, langid, mixing, piece, sharding, syncmers, topk
+from terrane.llm import chat, langid, mixing, ngram_join, piece, sharding, syncmers, topk
 from terrane.llm.common import whole_text
 from terrane.session import ship
 
@@ -43,6 +43,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, target="repetition", value=2.0).select("doc_id", "source", "n_tokens", "block", "order_key")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -94,13 +98,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
-_QUERIES: list[Query] = [op2_sharding, op3_pieces, op4_mixing, op7_topk, op8_chat, op9_syncmers, op10_langid]
+_QUERIES: list[Query] = [op2_sharding, op3_pieces, op4_mixing, op6_ngram_join, op7_topk, op8_chat, op9_syncmers, op10_langid]
 
 _CONTROL = r"(?:/?INST|/?SYS|/?s)"
 SQL = {
-    "op7_topk": """with q as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
+    "op7_topk": """with q as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
           where embedding is not null
-            and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
         scored as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score
           from q a join q b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
         ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank,
