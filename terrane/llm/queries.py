@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from terrane.llm import chat, langid, mixing, ngram_join, piece, sharding, syncmers, topk
+from terrane.llm import chat, langid, lm_scoring, mixing, ngram_join, piece, sharding, suffix_dedup, syncmers, topk
 from terrane.llm.common import whole_text
 from terrane.session import ship
 
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.score(docs, lm_scoring.fit(docs, good)).drop("text")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -43,6 +49,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, target="repetition", value=2.0).select("doc_id", "source", "n_tokens", "block", "order_key")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans_removed(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -98,7 +108,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
-_QUERIES: list[Query] = [op2_sharding, op3_pieces, op4_mixing, op6_ngram_join, op7_topk, op8_chat, op9_syncmers, op10_langid]
+_QUERIES: list[Query] = [op1_lm_scoring, op2_sharding, op3_pieces, op4_mixing, op5_suffix_dedup, op6_ngram_join, op7_topk, op8_chat, op9_syncmers, op10_langid]
 
 _CONTROL = r"(?:/?INST|/?SYS|/?s)"
 SQL = {
