@@ -10,7 +10,7 @@ between classes that are not connected yet, so large groups of near copies make
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import components, written
 
-SIGNATURE_BITS = 1_024
+#: Signatures have about a bit for each n-gram, between these bounds; a longer one folds to any shorter one.
+LEAST_BITS, MOST_BITS = 1_024, 16_384
 #: N-grams are taken for common on a sample of so many documents: they come last in the order of prefixes. The
 #: order decides how large tiles get, never which pairs meet.
 SAMPLE = 4_000
@@ -80,11 +81,20 @@ def needed(size: int, percent: int) -> int:
 
 
 def signature(held: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE_BITS, dtype=bool)
-    bits[(held >> np.uint64(7)) % np.uint64(SIGNATURE_BITS)] = True
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (len(held) - 1).bit_length()))
+    bits = np.zeros(size, dtype=bool)
+    bits[(held >> np.uint64(7)) % np.uint64(size)] = True
     return np.packbits(bits).tobytes()
 
 
+def folded(signatures: Sequence[bytes], width: int) -> np.ndarray:
+    """Signatures as rows of ``width`` bytes, longer ones with their parts laid over each other."""
+    out = np.empty((len(signatures), width), dtype=np.uint8)
+    for i, x in enumerate(signatures):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, width), axis=0)
+    return out.view(np.uint64)
+
+
 def overlap_bound(sizes_a, sizes_b, signatures_a: np.ndarray, signatures_b: np.ndarray) -> np.ndarray:
     """Overlap at most: every differing bit stands for an element that one of the two sets has alone."""
     differing = np.bitwise_count(signatures_a ^ signatures_b).sum(axis=-1, dtype=np.int64)
@@ -194,9 +204,14 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def passes(a_n: pd.Series, b_n: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
         if not len(a_n):
             return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(v), dtype=np.uint64).reshape(len(v), -1) for v in (sa, sb))
         na, nb = a_n.to_numpy(), b_n.to_numpy()
-        return pd.Series(links(overlap_bound(na, nb, x, y), na, nb, percent))
+        width = np.minimum(sa.map(len), sb.map(len)).to_numpy()
+        out = np.zeros(len(na), dtype=bool)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            x, y = (folded([v.iat[i] for i in at], w) for v in (sa, sb))
+            out[at] = links(overlap_bound(na[at], nb[at], x, y), na[at], nb[at], percent)
+        return pd.Series(out)
 
     return both.where(passes("a_n", "b_n", "sa", "sb")).select("a", "b")
 
@@ -245,7 +260,7 @@ def _second_pairs(tiles: DataFrame, classes: DataFrame, found: DataFrame, percen
 
     def compared(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n, kind, label, part = (rows[c].to_numpy() for c in ("n", "kind", "label", "part"))
-        held = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint64).reshape(len(rows), -1)
+        held = folded(rows["signature"].tolist(), min(map(len, rows["signature"])))
         cross = rows["i"].iloc[0] != rows["j"].iloc[0]
         reach = np.searchsorted(percent * n, 100 * n, side="right")
         a, b = [], []
@@ -287,6 +302,12 @@ def _second_pairs(tiles: DataFrame, classes: DataFrame, found: DataFrame, percen
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose classes are not connected yet."""
+    both = pairs.join(found.toDF("a", "la"), "a", "left").join(found.toDF("b", "lb"), "b", "left")
+    return both.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``df``: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
 
@@ -307,13 +328,15 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
         .select("kind", "first", "n", "signature", "prefix")
     )
     tiles = written(_tiles(classes, percent))
-    near = _bounded(_first_pairs(tiles, percent), classes, percent)
-    linked = written(_verified(written(near), classes, texts, n, percent))
+    near = written(_bounded(_first_pairs(tiles, percent), classes, percent))
+    # One partner for each class first, so that a set travels about once; then what that left apart.
+    linked = written(_verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, texts, n, percent))
     found = components(linked)
-    more = written(_second_pairs(tiles, classes, found, percent))
-    if not more.isEmpty():
-        linked = linked.unionByName(_verified(more, classes, texts, n, percent))
-        found = components(linked)
+    for later in (lambda: _apart(near, found), lambda: _second_pairs(tiles, classes, found, percent)):
+        more = written(later())
+        if not more.isEmpty():
+            linked = written(linked.unionByName(_verified(more, classes, texts, n, percent)))
+            found = components(linked)
     smallest = found.join(narrow.select(F.col("kind").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
     placed = found.join(smallest, "component").select(F.col("node").alias("kind"), "component_id")
     of_kind = narrow.join(placed, "kind", "left").select("kind", F.coalesce("component_id", "first").alias("component_id"))
