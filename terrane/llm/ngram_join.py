@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import components, written
 
-#: Signatures have about a bit for each n-gram, between these bounds; a longer one folds to any shorter one.
-LEAST_BITS, MOST_BITS = 1_024, 16_384
+#: Signatures have about a bit for each n-gram, between these bounds; a longer one folds to any shorter one. Pairs
+#: that pass meet wide ones, with so many times the bits, before their sets are fetched.
+LEAST_BITS, MOST_BITS, WIDER = 1_024, 16_384, 4
 #: N-grams are taken for common on a sample of so many documents: they come last in the order of prefixes. The
 #: order decides how large tiles get, never which pairs meet.
 SAMPLE = 4_000
@@ -80,8 +81,8 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def signature(held: np.ndarray) -> bytes:
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (len(held) - 1).bit_length()))
+def signature(held: np.ndarray, wider: int = 1) -> bytes:
+    size = wider * min(MOST_BITS, max(LEAST_BITS, 1 << (len(held) - 1).bit_length()))
     bits = np.zeros(size, dtype=bool)
     bits[(held >> np.uint64(7)) % np.uint64(size)] = True
     return np.packbits(bits).tobytes()
@@ -114,15 +115,15 @@ def _described(df: DataFrame, n: int, percent: int, common: np.ndarray) -> DataF
             for key, text in zip(batch["__key"], batch["__text"], strict=True):
                 held = shingles(text, n)
                 if not len(held):
-                    rows.append((key, None, 0, None, None))
+                    rows.append((key, None, 0, None, None, None))
                     continue
                 last = np.isin(held, common, assume_unique=True)
                 prefix = np.concatenate([held[~last], held[last]])[: len(held) - needed(len(held), percent) + 1]
                 kind = int.from_bytes(hashlib.blake2b(held.tobytes(), digest_size=8).digest(), "big", signed=True)
-                rows.append((key, kind, len(held), signature(held), prefix.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "kind", "n", "signature", "prefix"])
+                rows.append((key, kind, len(held), signature(held), signature(held, WIDER), prefix.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["key", "kind", "n", "signature", "wide", "prefix"])
 
-    return df.mapInPandas(run, "key long, kind long, n long, signature binary, prefix array<long>")
+    return df.mapInPandas(run, "key long, kind long, n long, signature binary, wide binary, prefix array<long>")
 
 
 def _common(df: DataFrame, n: int) -> np.ndarray:
@@ -195,10 +196,10 @@ def _first_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return turned.distinct()
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, column: str) -> DataFrame:
     """Pairs whose signatures allow enough overlap."""
-    held = classes.select("kind", "signature")
-    both = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
+    a, b = (classes.select(F.col("kind").alias(x), F.col("n").alias(f"{x}_n"), F.col(column).alias(f"s{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
 
     @F.pandas_udf("boolean")
     def passes(a_n: pd.Series, b_n: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
@@ -321,18 +322,19 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
     kinds = described.where("kind is not null")
     narrow = kinds.groupBy("kind").agg(F.min("key").alias("first"), F.min("n").alias("n"))
     classes = written(
-        kinds.select("kind", F.col("key").alias("first"), "signature", "prefix")
+        kinds.select("kind", F.col("key").alias("first"), "signature", "wide", "prefix")
         .join(narrow, ["kind", "first"], "left_semi")
         .dropDuplicates(["kind"])
         .join(narrow, ["kind", "first"])
-        .select("kind", "first", "n", "signature", "prefix")
+        .select("kind", "first", "n", "signature", "wide", "prefix")
     )
     tiles = written(_tiles(classes, percent))
-    near = written(_bounded(_first_pairs(tiles, percent), classes, percent))
+    passed = written(_bounded(_first_pairs(tiles, percent), classes, percent, "signature"))
+    near = written(_bounded(passed, classes, percent, "wide"))
     # One partner for each class first, so that a set travels about once; then what that left apart.
     linked = written(_verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, texts, n, percent))
     found = components(linked)
-    for later in (lambda: _apart(near, found), lambda: _second_pairs(tiles, classes, found, percent)):
+    for later in (lambda: _apart(near, found), lambda: _bounded(written(_second_pairs(tiles, classes, found, percent)), classes, percent, "wide")):
         more = written(later())
         if not more.isEmpty():
             linked = written(linked.unionByName(_verified(more, classes, texts, n, percent)))
