@@ -121,9 +121,12 @@ def _described(df: DataFrame, n: int, percent: int, common: np.ndarray) -> DataF
                 prefix = np.concatenate([held[~last], held[last]])[: len(held) - needed(len(held), percent) + 1]
                 kind = int.from_bytes(hashlib.blake2b(held.tobytes(), digest_size=8).digest(), "big", signed=True)
                 rows.append((key, kind, len(held), signature(held), signature(held, WIDER), prefix.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "kind", "n", "signature", "wide", "prefix"])
+            # Objects: a column of integers and nulls would pass through floats.
+            yield pd.DataFrame(rows, columns=["key", "kind", "n", "signature", "wide", "prefix"], dtype=object).astype({"kind": "Int64", "n": "int64"})
 
-    return df.mapInPandas(run, "key long, kind long, n long, signature binary, wide binary, prefix array<long>")
+    keyed = df.select(F.col("__key").cast("string").alias("__key"), "__text")
+    made = keyed.mapInPandas(run, "key string, kind long, n long, signature binary, wide binary, prefix array<long>")
+    return made.withColumn("key", F.col("key").cast("long"))
 
 
 def _common(df: DataFrame, n: int) -> np.ndarray:

@@ -205,8 +205,10 @@ def _repeats(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = [(None, None, t, a, b, None) for t, a, b in ranges] + [(k, v, t, s, s, g) for k, v, t, s, g in rest]
             ranges.clear(), rest.clear()
             if rows:
-                made = pd.DataFrame(rows, columns=["rank", "value", "tid", "low", "high", "again"])
-                yield made.astype({"rank": "Int64", "value": "Int64", "again": "boolean"})
+                # Objects: a column of integers and nulls would pass through floats.
+                made = pd.DataFrame(rows, columns=["rank", "value", "tid", "low", "high", "again"], dtype=object)
+                whole = {"rank": "Int64", "value": "Int64", "tid": "int64", "low": "int64", "high": "int64", "again": "boolean"}
+                yield made.astype(whole)
 
         def close() -> None:
             if len(group) > 1 or group and group[0][2] > 1:
@@ -268,7 +270,9 @@ def texts_cleaned(df: DataFrame, text: str = "text", length: int = 400) -> DataF
 
     left = written(_anchors(long_enough, length, _common(long_enough, length)))
     parts = left.groupBy("first", "second").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("long").alias("parts"))
-    sized = left.join(parts, ["first", "second"]).groupBy("tid").agg(F.collect_list(F.struct("anchor", "parts")).alias("left"))
+    # Only groups in several parts are joined: few rows, and the rows of a hot group may be split.
+    dealt = left.join(parts.where("parts > 1"), ["first", "second"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    sized = dealt.groupBy("tid").agg(F.collect_list(F.struct("anchor", "parts")).alias("left"))
     # Texts that every copy of goes are done; of the others one copy a text comes along.
     held = written(long_enough.join(sized, "tid").dropDuplicates(["tid"]))
     ranges, met = _repeats(_starts(held, length))
