@@ -72,7 +72,8 @@ def vocabulary_of(df: DataFrame, text: str) -> list[str]:
             if len(counts) > REMEMBERED:
                 yield shown()
                 counts.clear()
-        yield shown()
+        if counts:
+            yield shown()
 
     counted = df.select(F.col(text).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
