@@ -30,10 +30,10 @@ class Limits:
 
     rows: int = 10_000  # about so many labelled rows are fitted on, chosen by a hash of the key
     languages: int = 400
-    words: int = 20_000  # commonest words kept of each language
-    grams: int = 20_000  # commonest n-grams kept of each language and length
+    words: int = 10_000  # commonest words kept of each language
+    grams: int = 5_000  # commonest n-grams kept of each language and length
     longest: int = 4
-    cached: int = 200_000  # words whose scores a worker remembers
+    cached: int = 100_000  # words whose scores a worker remembers
 
 
 @dataclass(frozen=True)

@@ -28,9 +28,9 @@ from terrane.llm.common import without
 
 SPACE = "▁"
 #: A worker keeps twice so many stretches, none longer than the limit, and so many tested pairs.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
-PAIRS_REMEMBERED = 800_000
+PAIRS_REMEMBERED = 300_000
 
 
 class Pieces:
@@ -187,6 +187,12 @@ class Pieces:
             self.encoded[text] = found
         return found
 
+    def forget(self) -> None:
+        """Drop what was remembered: a worker may live on with other work."""
+        self.encoded, self._older = {}, {}
+        self.follow.clear()
+        self._tested = 0
+
     def whole(self, text: str) -> tuple[int, str, str]:
         """The same for a whole text: the blank put before it is taken off again."""
         if not text:
@@ -234,6 +240,7 @@ def encode(df: DataFrame, proto: bytes, text: str = "text") -> DataFrame:
         held = pieces_of(proto)
         for series in texts:
             yield pd.DataFrame([held.whole(x or "") for x in series], columns=["n_tokens", "ids", "decoded"])
+        held.forget()
 
     made = F.pandas_udf(run, "n_tokens long, ids string, decoded string")
     return plain.withColumn("__made", made(F.col(text))).select(*[F.col(f"`{c}`") for c in plain.columns], "__made.*")
@@ -251,6 +258,7 @@ def digests(df: DataFrame, proto: bytes, text: str = "text") -> DataFrame:
                 n, ids, shown = held.whole(x or "")
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode("utf-8")).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        held.forget()
 
     made = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return plain.withColumn("__made", made(F.col(text))).select(*[F.col(f"`{c}`") for c in plain.columns], "__made.*")
