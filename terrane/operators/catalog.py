@@ -133,6 +133,8 @@ def group_tables(prepared: DataFrame, cell_items: int = DEFAULT_CELL_ITEMS) -> D
         F.coalesce(firsts["territory"]["created"], newest).alias("territory_table_creation_date"),
         F.coalesce(*[firsts[k]["name"] for k in fallback]).alias("territory_table_primary"),
         F.coalesce(source_first, firsts["geometry_source"])["name"].alias("geometry_source_primary"),
+        firsts["ndm_source"]["name"].alias("ndm_primary"),
+        firsts["name"]["name"].alias("name_primary"),
         *[F.transform(of_type(kind), lambda m: m["name"]).alias(kind) for kind in TABLE_TYPES],
         "LIST_PART",
     )
@@ -167,8 +169,8 @@ def table_sets(groups: DataFrame) -> DataFrame:
         col(GROUP).alias("group_key"),
         F.col("territory_table_primary").alias("territory_table"),
         F.col("geometry_source_primary").alias("geometry_table"),
-        F.get("ndm_source", 0).alias("ndm_table"),
-        F.get("name", 0).alias("name_table"),
+        F.col("ndm_primary").alias("ndm_table"),
+        F.col("name_primary").alias("name_table"),
     )
 
 

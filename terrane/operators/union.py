@@ -23,6 +23,8 @@ KEY = "FEATURE_ID"
 STRIP_SEGMENTS = 4_000
 # Segments a single result cell may come from (about 64 MB); beyond it every strip is a row.
 CELL_SEGMENTS = 2_000_000
+# For unions that are one cell whatever their size.
+ONE_CELL = 1 << 62
 
 # The keys are never null (kn = 1 marks the null key), which keeps the plan free of null filters
 # that would stop Spark from sharing the segment shuffle between its two readers.
@@ -77,11 +79,12 @@ def _key() -> Column:
 def dissolve_collections(df: DataFrame, geometry: str = "geometry", row_key: str = "ROW_ID") -> DataFrame:
     """Replace each geometry collection by the union of its members; other rows stay as they are.
 
-    ``row_key`` is a bigint column that identifies the rows of ``df``.
+    ``row_key`` is a bigint column that identifies the rows of ``df``. A collection is one cell, so its union is made
+    as one cell too, however large.
     """
     is_collection = F.coalesce(type_code(col(geometry)) == COLLECTION, F.lit(False))
     members = df.filter(is_collection).select(col(row_key).alias(KEY), col(geometry).alias("geometry"))
-    unions = merge_pieces(members).groupBy(KEY).agg(F.min_by("geometry", "GEOMETRY_PART").alias("__union"))
+    unions = merge_pieces(members, cell_segments=ONE_CELL).select(KEY, F.col("geometry").alias("__union"))
     joined = df.join(unions.withColumnRenamed(KEY, "__key"), col(row_key) == F.col("__key"), "left")
     value = F.when(is_collection, F.coalesce("__union", F.lit(EMPTY_COLLECTION))).otherwise(col(geometry))
     return joined.withColumn(geometry, value).select(*[col(c) for c in df.columns])

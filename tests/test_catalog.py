@@ -128,3 +128,14 @@ def test_bad_identifiers(name):
 
 def test_good_identifier():
     assert quote_identifier("_A1$") == "`_A1$`"
+
+
+def test_table_sets_do_not_depend_on_the_size_of_parts(spark):
+    kinds = ["territory", "geometry_source", "name", "ndm_source", "other"]
+    rows = [(f"A_{i:03d}", DAY + datetime.timedelta(days=i % 7)) for i in range(64)]
+    df = tables(spark, rows).withColumn("Group Key", F.lit("A"))
+    df = df.withColumn("Table Type", F.element_at(F.array(*map(F.lit, kinds)), F.substring("Table Name", 3, 3).cast("int") % 5 + 1))
+    whole = catalog.table_sets(catalog.group_tables(df)).collect()
+    assert whole[0]["ndm_table"] and whole[0]["name_table"]
+    for cell_items in (3, 5, 8, 16):
+        assert catalog.table_sets(catalog.group_tables(df, cell_items=cell_items)).collect() == whole

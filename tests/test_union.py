@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions.wkb import Reader, to_text, wkb_area
+from terrane.operators import union
 from terrane.operators.union import dissolve_collections, merge_pieces, union_features
 
 CASES = {
@@ -245,3 +246,14 @@ def test_bad_bytes_fail_the_union(spark):
 def test_reader_reads_nested_collections(jts):
     value = jts.wkb("GEOMETRYCOLLECTION (GEOMETRYCOLLECTION (POINT (1 2)), LINESTRING (0 0, 1 1))")
     assert [kind for kind, _ in Reader(value).geometry()] == [1, 2]
+
+
+def test_large_collection_keeps_all_of_its_area(spark, jts, monkeypatch):
+    squares = [f"POLYGON (({3 * i} {i}, {3 * i + 1} {i}, {3 * i + 1} {i + 1}, {3 * i} {i + 1}, {3 * i} {i}))" for i in range(200)]
+    collection = jts.wkb(f"GEOMETRYCOLLECTION ({', '.join(squares)})")
+    monkeypatch.setattr(union, "STRIP_SEGMENTS", 50)
+    monkeypatch.setattr(union, "CELL_SEGMENTS", 100)
+    monkeypatch.setattr(union.merge_pieces, "__defaults__", (50, 100))
+    df = spark.createDataFrame([(1, collection)], "ROW_ID bigint, geometry binary")
+    rows = union.dissolve_collections(df).collect()
+    assert len(rows) == 1 and jts.read(rows[0]["geometry"]).getArea() == pytest.approx(200.0)
