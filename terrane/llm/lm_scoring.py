@@ -1,8 +1,14 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
 Two bigram models of the same order, smoothing and vocabulary are counted over whole tables, one on the target
-rows and one on all rows. A document's score is the mean over its tokens of target loss minus background
-loss, in nats: the lower, the more it reads like the target.
+rows and one on all rows. Every word of the corpus is in the vocabulary, so what is counted grows with it. The
+commonest words are symbols of their own, the others share hashed symbols, and
+
+    P(word | word before) = P(symbol | symbol before) * P(word | its symbol).
+
+The first factor is a table of fixed size, which is sent to the tasks; the second is a row a word, which stays
+distributed and is joined to the words of the texts. A document's score is the mean over its tokens of target
+loss minus background loss, in nats: the lower, the more it reads like the target.
 """
 
 from __future__ import annotations
@@ -14,13 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import without
+from terrane.llm.common import without, written
 
-#: The commonest words have symbols of their own, all others share hashed ones: the pair tables have a fixed size
-#: (1,025 x 1,024 entries), which bounds what is sent to the executors. Counts cover all rows.
+#: Symbols of single words and symbols that words share: the pair tables have 1,025 x 1,024 entries at any size.
 WORDS = 768
 SHARED = 256
 #: Weight of the unigram model in the bigram model, in tokens.
@@ -55,28 +60,58 @@ def words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Models:
-    vocabulary: list[str]
+    vocabulary: list[str]  # words with symbols of their own
     target: np.ndarray  # losses by code of a pair
     background: np.ndarray
+    words: DataFrame  # (word, target_word_loss, background_word_loss): loss of a word under its shared symbol
+    unseen_target: list[float]  # the same for words never counted, by shared symbol
+    unseen_background: list[float]
 
 
-def vocabulary_of(df: DataFrame, text: str) -> list[str]:
-    """The commonest words of all rows, by count and then by word."""
+def count_words(marked: DataFrame) -> DataFrame:
+    """(word, every, wanted): counts of each word in all rows and in target rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        shown = lambda: pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        every: Counter[str] = Counter()
+        wanted: Counter[str] = Counter()
+
+        def shown() -> pd.DataFrame:
+            return pd.DataFrame({"word": list(every), "every": list(every.values()), "wanted": [wanted[w] for w in every]})
+
         for batch in batches:
-            for value in batch["text"]:
-                counts.update(words(value))
-            if len(counts) > REMEMBERED:
+            for value, inside in zip(batch["text"], batch["__in"], strict=True):
+                found = words(value)
+                every.update(found)
+                if inside is True:
+                    wanted.update(found)
+            if len(every) > REMEMBERED:
                 yield shown()
-                counts.clear()
-        if counts:
+                every.clear()
+                wanted.clear()
+        if every:
             yield shown()
 
-    counted = df.select(F.col(text).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    found = marked.select("text", "__in").mapInPandas(run, "word string, every long, wanted long")
+    return found.groupBy("word").agg(F.sum("every").alias("every"), F.sum("wanted").alias("wanted"))
+
+
+def shared_symbol(word: str = "word") -> Column:
+    """Place of a word among the shared symbols."""
+    return (F.crc32(F.col(word).cast("binary")) % SHARED).cast("int")
+
+
+def word_losses(counted: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, list[float], list[float]]:
+    """Losses of words under their shared symbol in both models, add-one over the words of the symbol and one unseen word."""
+    others = counted.where(~F.col("word").isin(vocabulary)) if vocabulary else counted
+    sums = others.groupBy(shared_symbol().alias("s")).agg(*[F.sum(c).alias(c) for c in ("every", "wanted")], F.count(F.lit(1)).alias("n"))
+    totals = {c: [1.0] * SHARED for c in ("wanted", "every")}
+    for r in sums.collect():  # at most SHARED rows
+        for c, held in totals.items():
+            held[r["s"]] += r[c] + r["n"]
+    array = lambda held: F.array(*[F.lit(x) for x in held])
+    of = lambda c: F.log(F.element_at(array(totals[c]), shared_symbol() + 1)) - F.log(F.col(c) + 1)
+    losses_ = counted.select("word", of("wanted").alias("target_word_loss"), of("every").alias("background_word_loss"))
+    return losses_, *[np.log(totals[c]).tolist() for c in ("wanted", "every")]
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
@@ -89,10 +124,11 @@ def losses(counts: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> Models:
     """Count both models: background on all rows of ``df``, target on those whose key is in ``target``."""
-    vocabulary = vocabulary_of(df, text)
     size = WORDS + SHARED
     chosen = target.select(F.col(key).alias("__key")).distinct().withColumn("__in", F.lit(True))
     marked = df.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(chosen, "__key", "left")
+    counted = written(count_words(marked))
+    vocabulary = [r["word"] for r in counted.orderBy(F.desc("every"), "word").limit(WORDS).collect()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbols = Symbols(vocabulary)
@@ -117,7 +153,37 @@ def fit(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text
         counts = np.zeros((size + 1) * size, dtype=np.int64)
         counts[code] = summed[name].to_numpy()
         tables.append(losses(counts))
-    return Models(vocabulary, *tables)
+    return Models(vocabulary, *tables, *word_losses(counted, vocabulary))
+
+
+def _same_text(text: Column) -> list[Column]:
+    """Two columns that tell texts apart: 96 bits of hashes."""
+    return [F.xxhash64(text).alias("__t1"), (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("__t2")]
+
+
+def _shared_words(df: DataFrame, vocabulary: list[str], text: str) -> DataFrame:
+    """(__t1, __t2, word, n): how often a text has each word without a symbol of its own. Copies may come once or more often."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = frozenset(vocabulary)
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for a, b, value in zip(batch["__t1"], batch["__t2"], batch["__text"], strict=True):
+                if (a, b) in seen:
+                    continue
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.add((a, b))
+                counts = Counter(words(value))
+                found = [w for w in counts if w not in own]
+                for held, more in zip(out, ([a] * len(found), [b] * len(found), found, [counts[w] for w in found]), strict=True):
+                    held.extend(more)
+            if out[0]:
+                yield pd.DataFrame(dict(zip(("__t1", "__t2", "word", "n"), out, strict=True)))
+
+    plain = df.where(F.col(text).isNotNull()).select(*_same_text(F.col(text)), F.col(text).alias("__text"))
+    return plain.mapInPandas(run, "__t1 long, __t2 int, word string, n int")
 
 
 def score(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
@@ -127,25 +193,41 @@ def score(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
     null for the rest. Input columns of the four names are replaced.
     """
     plain = without(df, "n_tokens", "target_loss", "background_loss", "score")
-    shared = df.sparkSession.sparkContext.broadcast(models)  # of fixed size
+    tables = (models.vocabulary, models.target, models.background)
+    shared = df.sparkSession.sparkContext.broadcast(tables)  # of fixed size
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        held = shared.value
-        symbols = Symbols(held.vocabulary)
+        vocabulary, target, background = shared.value
+        symbols = Symbols(vocabulary)
         for series in texts:
             rows = []
             for value in series:
                 codes = symbols.pairs(value)
                 if not len(codes):
-                    rows.append((0, None, None))
+                    rows.append((0, 0, None, None))
                     continue
-                means = [float(t[codes].mean(dtype=np.float64)) for t in (held.target, held.background)]
-                rows.append((len(codes), *means))
-            yield pd.DataFrame(rows, columns=["n_tokens", "target_loss", "background_loss"])
-
-    made = F.pandas_udf(run, "n_tokens long, target_loss double, background_loss double")
+                means = [float(t[codes].mean(dtype=np.float64)) for t in (target, background)]
+                rows.append((len(codes), int((codes % (WORDS + SHARED) >= WORDS).sum()), *means))
+            yield pd.DataFrame(rows, columns=["n_tokens", "shared", "target", "background"])
+
+    made = F.pandas_udf(run, "n_tokens long, shared long, target double, background double")
+
+    unseen = lambda held: F.element_at(F.array(*[F.lit(x) for x in held]), shared_symbol() + 1)
+    priced = _shared_words(plain, models.vocabulary, text).join(models.words, "word", "left")
+    # Means of equal texts are equal however many copies came.
+    of_text = priced.groupBy("__t1", "__t2").agg(
+        (F.sum(F.col("n") * F.coalesce("target_word_loss", unseen(models.unseen_target))) / F.sum("n")).alias("__target"),
+        (F.sum(F.col("n") * F.coalesce("background_word_loss", unseen(models.unseen_background))) / F.sum("n")).alias("__background"),
+    )
+    of_symbols = plain.withColumns({"__made": made(F.col(text)), **dict(zip(("__t1", "__t2"), _same_text(F.col(text)), strict=True))})
+    mean = lambda c: F.col(f"__made.{c}") + F.coalesce(F.col(f"__{c}") * F.col("__made.shared") / F.col("__made.n_tokens"), F.lit(0.0))
     return (
-        plain.withColumn("__made", made(F.col(text)))
-        .select(*[F.col(f"`{c}`") for c in plain.columns], "__made.*")
+        of_symbols.join(of_text, ["__t1", "__t2"], "left")
+        .select(
+            *[F.col(f"`{c}`") for c in plain.columns],
+            F.col("__made.n_tokens").alias("n_tokens"),
+            mean("target").alias("target_loss"),
+            mean("background").alias("background_loss"),
+        )
         .withColumn("score", F.col("target_loss") - F.col("background_loss"))
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -259,7 +260,7 @@ def test_language_is_learned(spark, docs, nothing, sf):
     assert langid.identify(nothing).count() == 0
 
 
-def test_target_scores_lower(spark, docs, nothing, sf):
+def test_target_scores_lower(spark, docs, nothing, rows, sf):
     held = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     found = lm_scoring.score(held, lm_scoring.fit(held, labels.where("quality = 1"))).join(labels, "doc_id")
@@ -280,4 +281,24 @@ def test_target_scores_lower(spark, docs, nothing, sf):
     assert np.allclose(np.exp(-models.target.reshape(size + 1, size)).sum(axis=1), 1, atol=1e-3)
     scored = {r["doc_id"]: r for r in lm_scoring.score(docs, models).collect()}
     assert scored[5]["n_tokens"] == 0 and scored[5]["score"] is None
+    # All words of a shared symbol, and one never seen, have probability 1 together; a score is recounted word by word.
+    every, target = (Counter(w for r in rows if r[0] == 1 or not i for w in lm_scoring.words(r[1])) for i in (0, 1))
+    few = lm_scoring.Models(models.vocabulary[:2], models.target, models.background, *lm_scoring.word_losses(lm_scoring.count_words(
+        docs.select("text", (F.col("doc_id") == 1).alias("__in"))), models.vocabulary[:2]))
+    groups = defaultdict(list)
+    for w in every:
+        if w not in few.vocabulary:
+            groups[zlib.crc32(w.encode()) % lm_scoring.SHARED].append(w)
+    held = {r["word"]: r for r in few.words.collect()}
+    for s, members in groups.items():
+        for counts, column, unseen in ((target, "target_word_loss", few.unseen_target), (every, "background_word_loss", few.unseen_background)):
+            whole = sum(counts[w] for w in members) + len(members) + 1
+            assert all(np.isclose(held[w][column], np.log(whole / (counts[w] + 1))) for w in members)
+            assert np.isclose(unseen[s], np.log(whole))
+    symbols, new = lm_scoring.Symbols(few.vocabulary), docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(999).cast("long"), "text": F.lit("never heard of alpha1")}))
+    for r in lm_scoring.score(new, few).where("n_tokens > 0").collect():
+        codes, said = symbols.pairs(r["text"]), lm_scoring.words(r["text"])
+        for table, column, unseen, got in ((few.target, "target_word_loss", few.unseen_target, "target_loss"), (few.background, "background_word_loss", few.unseen_background, "background_loss")):
+            of_words = sum(held[w][column] if w in held else unseen[zlib.crc32(w.encode()) % lm_scoring.SHARED] for w in said if w not in few.vocabulary)
+            assert np.isclose(r[got], (float(table[codes].sum(dtype=np.float64)) + of_words) / len(said))
     assert lm_scoring.score(nothing, lm_scoring.fit(nothing, nothing)).count() == 0
