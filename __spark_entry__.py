@@ -419,14 +419,16 @@ def shuffled_fold_of_record(spark: SparkSession, sf: str) -> DataFrame:
 def ridge_fold_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = _model_rows(spark, sf)
     moments = duration.fold_moments(contiguous_folds(rows, "id", duration.FOLDS), names)
-    target = len(names)
+    width, target = len(names) + 1, len(names)
+    mean = lambda i: F.round(F.col("mean")[i], 6)
+    cov = lambda i, j: F.round(F.col("cross")[i * width + j] / F.col("n"), 6)
     return moments.select(
         "fold",
         "n",
-        *[F.round(f"mean_{i}", 6).alias(f"mean_{i}") for i in range(8)],
-        F.round(f"mean_{target}", 6).alias("mean_target"),
-        *[F.round(f"cov_{target}_{i}", 6).alias(f"cov_target_{i}") for i in range(8)],
-        *[F.round(f"cov_{i}_{i}", 6).alias(f"var_{i}") for i in range(8)],
+        *[mean(i).alias(f"mean_{i}") for i in range(8)],
+        mean(target).alias("mean_target"),
+        *[cov(target, i).alias(f"cov_target_{i}") for i in range(8)],
+        *[cov(i, i).alias(f"var_{i}") for i in range(8)],
     )
 
 

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,27 +146,59 @@ class Moments:
         )
 
 
+_MOMENTS = "fold int, n long, mean array<double>, cross array<double>"
+# Statistics of tasks are added up in so many groups a fold first, then per fold.
+_FIRST_GROUPS = 64
+
+
+def _as_rows(held: dict[int, Moments]) -> pd.DataFrame:
+    rows = [(fold, m.n, m.mean, m.cross.ravel()) for fold, m in held.items()]
+    return pd.DataFrame(rows, columns=["fold", "n", "mean", "cross"])
+
+
 def fold_moments(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Per fold: n, the mean of each column and the covariance of each pair, in one aggregation."""
+    """Rows (fold, n, mean, cross): statistics of the features and, last, the target; ``cross`` is a flat square matrix.
+
+    Each task reduces its rows to one matrix a fold, and Spark brings the matrices of a fold together, so the work
+    for a row is one matrix product however many features there are. Rows that lack a feature do not count.
+    """
     names = [*features, TARGET]
-    return rows.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(names)],
-        *[F.covar_pop(a, b).alias(f"cov_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i],
-    )
+    width = len(names)
+
+    def of_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, Moments] = {}
+        for batch in batches:
+            values, folds = batch[names].to_numpy(dtype=np.float64), batch["fold"].to_numpy()
+            whole = np.isfinite(values).all(axis=1)
+            values, folds = values[whole], folds[whole]
+            for fold in np.unique(folds).tolist():
+                x = values[folds == fold]
+                gap = x - (mean := x.mean(axis=0))
+                found = Moments(len(x), mean, gap.T @ gap)
+                held[fold] = held[fold] + found if fold in held else found
+        yield _as_rows(held)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, Moments] = {}
+        for batch in batches:
+            for fold, n, mean, cross in batch[["fold", "n", "mean", "cross"]].itertuples(index=False):
+                found = Moments(n, mean, cross.reshape(width, width))
+                held[fold] = held[fold] + found if fold in held else found
+        yield _as_rows(held)
+
+    of_task = rows.select(F.col("fold").cast("int"), *names).mapInPandas(of_rows, _MOMENTS)
+    group = F.pmod(F.spark_partition_id(), F.lit(_FIRST_GROUPS)).alias("__group")
+    first = of_task.select("*", group).repartition("fold", "__group").mapInPandas(added, _MOMENTS)
+    return first.repartition("fold").mapInPandas(added, _MOMENTS)
 
 
 def collect_moments(rows: DataFrame, features: Sequence[str]) -> dict[int, Moments]:
     """The fold statistics on the driver: one row per fold."""
     width = len(features) + 1
-    found = {}
-    for row in fold_moments(rows, features).collect():
-        cross = np.zeros((width, width))
-        for i in range(width):
-            for j in range(i + 1):
-                cross[i, j] = cross[j, i] = row[f"cov_{i}_{j}"] * row["n"]
-        found[row["fold"]] = Moments(row["n"], np.array([row[f"mean_{i}"] for i in range(width)]), cross)
-    return found
+    return {
+        r["fold"]: Moments(r["n"], np.array(r["mean"]), np.array(r["cross"]).reshape(width, width))
+        for r in fold_moments(rows, features).collect()
+    }
 
 
 def solve_ridge(moments: Moments, alpha: float) -> tuple[float, list[float]]:

@@ -26,6 +26,9 @@ NAME_FIELDS = [
 NDM_DROPPED = ["REPRESENTATIVE_POINT", "ISO_COUNTRY_CODE", "FEATURE_TYPE", "VENDOR_ID"]
 # Measures that are renamed so that they do not look like the territory's.
 NDM_RENAMED = {"LENGTH": "LENGTH_NDM", "AREA": "AREA_NDM", "PERIMETER": "PERIMETER_NDM"}
+# Payload columns of an NDM table, and what the third one's name ends with.
+PAYLOAD = ["FEATURE_PROTO", "METADATA"]
+EDITS = "_EDITS"
 
 
 def first_language(language: Column) -> Column:
@@ -51,8 +54,15 @@ def names_array(names: DataFrame, cell_items: int = DEFAULT_CELL_ITEMS) -> DataF
 
 
 def json_payload_columns(ndm: DataFrame) -> list[str]:
-    """The payload columns of an NDM table: FEATURE_PROTO, METADATA and every ``*_EDITS``."""
-    return [c for c in ndm.columns if c in ("FEATURE_PROTO", "METADATA") or c.endswith("_EDITS")]
+    """The three payload columns of an NDM table: FEATURE_PROTO, METADATA and its one ``*_EDITS``, in the table's order.
+
+    A table that lacks one of them, or has several ``*_EDITS``, needs the list of its payload columns instead.
+    """
+    require_columns(ndm, PAYLOAD)
+    edits = [c for c in ndm.columns if c.endswith(EDITS)]
+    if len(edits) != 1:
+        raise ValueError(f"NDM payload needs exactly one *{EDITS} column, found {edits or 'none'}; name the columns in json_cols.")
+    return [c for c in ndm.columns if c in PAYLOAD or c in edits]
 
 
 def ndm_attributes(
@@ -67,6 +77,7 @@ def ndm_attributes(
     attributes, as it never matches itself. ``pair_duplicates`` joins the payloads to the
     attributes instead, which gives n*n rows for a key held by n rows.
     """
+    require_columns(ndm, sorted(NDM_RENAMED))
     payload = list(json_cols if json_cols is not None else json_payload_columns(ndm))
     require_columns(ndm, [KEY, *payload])
     excluded = set(exclude_cols if exclude_cols is not None else [*payload, *NDM_DROPPED])

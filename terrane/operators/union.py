@@ -8,6 +8,8 @@ a feature, not by feature, so a feature with a huge number of pieces is many tas
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +49,30 @@ def union_features(
     whose polygons do not overlap and together are the union.
     """
     pieces = keyed(pieces)
-    per_feature = pieces.groupBy("k", "kn").agg(F.min("geometry").alias("__low"), F.max("geometry").alias("__high"))
-    single = (F.col("__low") == F.col("__high")) & (type_code(F.col("__low")) != COLLECTION)
-    judged = per_feature.withColumn("__split", ~F.coalesce(single, F.lit(True)))
+    known = F.col("geometry").isNotNull()
+    # Numbers that tell geometries apart, so that this is a hash aggregate and no geometry is sorted.
+    told = {
+        "hash": F.xxhash64("geometry"),
+        "check": F.crc32("geometry"),
+        "bytes": F.octet_length("geometry"),
+        "collection": (type_code(F.col("geometry")) == COLLECTION).cast("int"),
+    }
+    per_feature = pieces.select("k", "kn", *[F.when(known, value).alias(name) for name, value in told.items()]).groupBy("k", "kn")
+    ranges = per_feature.agg(*[f(name).alias(f"{f.__name__}_{name}") for name in told for f in (F.min, F.max)])
+    alike = reduce(and_, [F.col(f"min_{name}") == F.col(f"max_{name}") for name in ("hash", "check", "bytes")])
+    single = alike & (F.col("max_collection") == 0)
+    judged = ranges.select("k", "kn", (~F.coalesce(single, F.lit(True))).alias("__split"))
 
     of_several = pieces.join(judged.filter("__split"), ["k", "kn"], "left_semi")
     merged = merge_keyed(of_several, strip_segments, cell_segments).withColumnRenamed("geometry", "__union")
+    of_one = pieces.filter(known).join(judged.filter("not __split"), ["k", "kn"], "left_semi")
+    alone = of_one.groupBy("k", "kn", "geometry").agg(F.count(F.lit(1)).alias("__copies")).drop("__copies").withColumnRenamed("geometry", "__one")
     # A split feature without any segment has only empty pieces.
     merged_or_empty = F.coalesce("__union", F.lit(EMPTY_COLLECTION))
-    return judged.join(merged, ["k", "kn"], "left").select(
+    return judged.join(merged, ["k", "kn"], "left").join(alone, ["k", "kn"], "left").select(
         _key(),
         F.coalesce("part", F.lit(0)).alias("GEOMETRY_PART"),
-        F.when(F.col("__split"), merged_or_empty).otherwise(F.col("__low")).alias("geometry"),
+        F.when(F.col("__split"), merged_or_empty).otherwise(F.col("__one")).alias("geometry"),
     )
 
 

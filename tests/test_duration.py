@@ -178,3 +178,14 @@ def test_roles_must_be_few(spark):
     df = spark.range(duration.MAX_ROLES + 1).select(F.create_map(F.lit("main"), F.col("id").cast("string")).alias("joined_tables"))
     with pytest.raises(ValueError, match="distinct roles"):
         duration.role_vocabulary(df)
+
+
+def test_moments_equal_the_covariances(spark):
+    names = ["a", "b"]
+    df = spark.range(500).selectExpr("cast(id % 3 as int) as fold", "cast(id as double) as a", "cast(id * id % 17 as double) as b", f"sqrt(id) as {duration.TARGET}")
+    lacking = df.limit(3).selectExpr("fold", "cast(null as double) as a", "b", duration.TARGET)
+    found = duration.collect_moments(df.unionByName(lacking).repartition(5), names)
+    for r in df.groupBy("fold").agg(F.count("a"), F.avg("b"), F.covar_pop("a", "b"), F.covar_pop("b", duration.TARGET)).collect():
+        m = found[r[0]]
+        assert (m.n, m.mean[1], m.cross[0, 1] / m.n, m.cross[2, 1] / m.n) == pytest.approx(tuple(r)[1:])
+    assert duration.collect_moments(df.where("false"), names) == {}

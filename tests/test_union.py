@@ -257,3 +257,13 @@ def test_large_collection_keeps_all_of_its_area(spark, jts, monkeypatch):
     df = spark.createDataFrame([(1, collection)], "ROW_ID bigint, geometry binary")
     rows = union.dissolve_collections(df).collect()
     assert len(rows) == 1 and jts.read(rows[0]["geometry"]).getArea() == pytest.approx(200.0)
+
+
+def test_single_pieces_are_told_without_sorting_geometries(spark):
+    square = "010300000001000000050000000000000000000000000000000000000000000000000000000000000000f03f000000000000f03f000000000000f03f000000000000f03f000000000000000000000000000000000000000000000000"
+    wkb = bytes.fromhex(square)
+    pieces = spark.createDataFrame([(1, wkb), (1, wkb), (1, None), (2, None), (None, wkb)], "FEATURE_ID long, geometry binary")
+    found = union_features(pieces)
+    assert sorted(((r[0], r[2] and bytes(r[2])) for r in found.collect()), key=str) == sorted([(1, wkb), (2, None), (None, wkb)], key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "min(geometry" not in plan and "max(geometry" not in plan and "SortAggregate" not in plan
