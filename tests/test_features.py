@@ -74,17 +74,6 @@ NDM = (
 )
 
 
-def test_ndm_payload_is_strict(spark):
-    df = spark.createDataFrame([], NDM)
-    for column in ("FEATURE_PROTO", "METADATA", "X_EDITS"):
-        with pytest.raises(ValueError, match=column.removeprefix("X")):
-            ndm_attributes(df.drop(column))
-    two = df.withColumn("Y_EDITS", df["METADATA"])
-    with pytest.raises(ValueError, match="Y_EDITS"):
-        ndm_attributes(two)
-    assert "Y_EDITS" in ndm_attributes(two, ["FEATURE_PROTO", "METADATA", "X_EDITS"]).columns
-
-
 def test_ndm_columns(spark):
     df = spark.createDataFrame([(1, "{}", "m", "e", "p", 1, 2, 3, "o"), (None, "{}", "m", "e", "p", 1, 2, 3, "o")], NDM)
     found = ndm_attributes(df)
