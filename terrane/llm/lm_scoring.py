@@ -1,14 +1,21 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
 Two bigram models of the same order, smoothing and vocabulary are counted over whole tables, one on the target
-rows and one on all rows. Every word of the corpus is in the vocabulary, so what is counted grows with it. The
-commonest words are symbols of their own, the others share hashed symbols, and
+rows and one on all rows. Every word and every pair of words of the corpus is counted, so what is counted grows with it:
 
-    P(word | word before) = P(symbol | symbol before) * P(word | its symbol).
+    P(word | word before) = (count(word before, word) + PRIOR * prior(word | word before)) / (count(word before) + PRIOR).
 
-The first factor is a table of fixed size, which is sent to the tasks; the second is a row a word, which stays
-distributed and is joined to the words of the texts. A document's score is the mean over its tokens of target
-loss minus background loss, in nats: the lower, the more it reads like the target.
+The prior is a bigram model of symbols: the commonest words are symbols of their own, the others share hashed symbols, and
+
+    prior(word | word before) = P(symbol | symbol before) * P(word | its symbol).
+
+Its first factor is a table of fixed size, which is sent to the tasks and holds pairs of two commonest words as counted.
+All else is a row a word and a row a pair; these stay distributed and are joined to the words and pairs of the texts, as
+
+    loss = loss of the prior + log(1 + count(word before) / PRIOR) - log(1 + count(word before, word) / (PRIOR * prior)).
+
+A document's score is the mean over its tokens of target loss minus background loss, in nats: the lower, the more it
+reads like the target.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from terrane.llm.common import without, written
 #: Symbols of single words and symbols that words share: the pair tables have 1,025 x 1,024 entries at any size.
 WORDS = 768
 SHARED = 256
-#: Weight of the unigram model in the bigram model, in tokens.
+#: Weight of the unigram model in the model of symbols, and of that in the bigram model of words, in tokens.
 PRIOR = 50.0
 REMEMBERED = 300_000
 
@@ -66,33 +73,82 @@ class Models:
     words: DataFrame  # (word, target_word_loss, background_word_loss): loss of a word under its shared symbol
     unseen_target: list[float]  # the same for words never counted, by shared symbol
     unseen_background: list[float]
+    pairs: DataFrame | None = None  # as words, for "before word": what the count of a pair takes off; without it the prior is the model
+    target_seen: np.ndarray | None = None  # target and background with the counts of pairs of words with symbols of their own
+    background_seen: np.ndarray | None = None
 
 
 def count_words(marked: DataFrame) -> DataFrame:
-    """(word, every, wanted): counts of each word in all rows and in target rows."""
+    """(word, every, wanted, every_before, wanted_before): counts of each word in all rows and in target rows, and of those before another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every: Counter[str] = Counter()
         wanted: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
+        wanted_ends: Counter[str] = Counter()
 
         def shown() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(every), "every": list(every.values()), "wanted": [wanted[w] for w in every]})
+            of = {"every": every, "wanted": wanted, "every_before": every - ends, "wanted_before": wanted - wanted_ends}
+            return pd.DataFrame({"word": list(every), **{c: [held[w] for w in every] for c, held in of.items()}})
 
         for batch in batches:
             for value, inside in zip(batch["text"], batch["__in"], strict=True):
                 found = words(value)
                 every.update(found)
+                ends.update(found[-1:])
                 if inside is True:
                     wanted.update(found)
+                    wanted_ends.update(found[-1:])
             if len(every) > REMEMBERED:
                 yield shown()
-                every.clear()
-                wanted.clear()
+                for held in (every, wanted, ends, wanted_ends):
+                    held.clear()
+        if every:
+            yield shown()
+
+    names = ("every", "wanted", "every_before", "wanted_before")
+    found = marked.select("text", "__in").mapInPandas(run, "word string, " + ", ".join(f"{c} long" for c in names))
+    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def rarer_pairs(found: list[str], own: frozenset[str]) -> list[str]:
+    """"before word" for each word, if one of both has no symbol of its own; before the first comes an empty word."""
+    return [f"{a} {b}" for a, b in zip(["", *found], found) if b not in own or a and a not in own]
+
+
+def count_pairs(marked: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(pair, code, word, every, wanted): counts of all pairs but those of two words with symbols of their own.
+
+    The rows of a word that shares its symbol lie together, the others are spread.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, symbols, size = frozenset(vocabulary), Symbols(vocabulary), WORDS + SHARED
+        every: Counter[str] = Counter()
+        wanted: Counter[str] = Counter()
+
+        def shown() -> pd.DataFrame:
+            sides = [pair.split(" ") for pair in every]
+            codes = [(symbols[a] if a else size) * size + symbols[b] for a, b in sides]
+            rows = {"pair": list(every), "code": codes, "word": [None if b in own else b for _, b in sides]}
+            return pd.DataFrame({**rows, "every": list(every.values()), "wanted": [wanted[p] for p in every]})
+
+        for batch in batches:
+            for value, inside in zip(batch["text"], batch["__in"], strict=True):
+                found = rarer_pairs(words(value), own)
+                every.update(found)
+                if inside is True:
+                    wanted.update(found)
+                if len(every) > REMEMBERED:
+                    yield shown()
+                    every.clear()
+                    wanted.clear()
         if every:
             yield shown()
 
-    found = marked.select("text", "__in").mapInPandas(run, "word string, every long, wanted long")
-    return found.groupBy("word").agg(F.sum("every").alias("every"), F.sum("wanted").alias("wanted"))
+    found = marked.select("text", "__in").mapInPandas(run, "pair string, code int, word string, every long, wanted long")
+    dealt = found.withColumn("at", F.coalesce("word", "pair")).repartition("at")
+    return dealt.groupBy("at", "pair", "code", "word").agg(F.sum("every").alias("every"), F.sum("wanted").alias("wanted"))
 
 
 def shared_symbol(word: str = "word") -> Column:
@@ -110,7 +166,14 @@ def word_losses(counted: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, l
             held[r["s"]] += r[c] + r["n"]
     array = lambda held: F.array(*[F.lit(x) for x in held])
     of = lambda c: F.log(F.element_at(array(totals[c]), shared_symbol() + 1)) - F.log(F.col(c) + 1)
-    losses_ = counted.select("word", of("wanted").alias("target_word_loss"), of("every").alias("background_word_loss"))
+    before = lambda c: F.log1p(F.col(c) / F.lit(PRIOR))
+    losses_ = counted.select(
+        "word",
+        of("wanted").alias("target_word_loss"),
+        of("every").alias("background_word_loss"),
+        before("wanted_before").alias("target_before"),
+        before("every_before").alias("background_before"),
+    )
     return losses_, *[np.log(totals[c]).tolist() for c in ("wanted", "every")]
 
 
@@ -122,6 +185,38 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log((table + PRIOR * single) / (table.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32).reshape(-1)
 
 
+def seen_losses(counts: np.ndarray, table: np.ndarray, own: int) -> np.ndarray:
+    """``table`` with the counts of what follows each of the ``own`` words and the mark, and of their pairs among each other."""
+    size = WORDS + SHARED
+    counted, out = counts.reshape(size + 1, size), table.astype(np.float64).reshape(size + 1, size)
+    gain = np.log1p(counted[:, :own] / (PRIOR * np.exp(-out[:, :own])))
+    known = [*range(own), size]
+    out[known] += np.log1p(counted[known].sum(axis=1, keepdims=True) / PRIOR)
+    out[known, :own] -= gain[known]
+    return out.astype(np.float32).reshape(-1)
+
+
+def pair_losses(counted: DataFrame, priced: DataFrame, target: np.ndarray, background: np.ndarray) -> DataFrame:
+    """Rows like those of ``priced`` (from word_losses) for the pairs of count_pairs: minus what their counts add to the prior."""
+    shared = counted.sparkSession.sparkContext.broadcast((target, background))  # of fixed size
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            code = batch["code"].to_numpy()
+            made = {"word": batch["pair"]}
+            for name, count, table in (("target", "wanted", shared.value[0]), ("background", "every", shared.value[1])):
+                prior = np.exp(-(table[code].astype(np.float64) + batch[f"{name}_word_loss"].to_numpy()))
+                made[f"{name}_word_loss"] = -np.log1p(batch[count].to_numpy() / (PRIOR * prior))
+            yield pd.DataFrame({**made, "target_before": 0.0, "background_before": 0.0})
+
+    of_word = priced.select(F.col("word").alias("at"), "target_word_loss", "background_word_loss")
+    zero = F.lit(0.0)  # a word with a symbol of its own is all of it
+    known = counted.join(of_word, "at", "left").select(
+        "pair", "code", "every", "wanted", *[F.coalesce(c, zero).alias(c) for c in ("target_word_loss", "background_word_loss")]
+    )
+    return known.mapInPandas(run, priced.schema)
+
+
 def fit(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> Models:
     """Count both models: background on all rows of ``df``, target on those whose key is in ``target``."""
     size = WORDS + SHARED
@@ -148,12 +243,15 @@ def fit(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text
     # At most (WORDS + SHARED + 1) * (WORDS + SHARED) rows.
     summed = found.groupBy("code").agg(F.sum("every").alias("every"), F.sum("wanted").alias("wanted")).toArrow()
     code = summed["code"].to_numpy()
-    tables = []
+    tables, seen = [], []
     for name in ("wanted", "every"):
         counts = np.zeros((size + 1) * size, dtype=np.int64)
         counts[code] = summed[name].to_numpy()
         tables.append(losses(counts))
-    return Models(vocabulary, *tables, *word_losses(counted, vocabulary))
+        seen.append(seen_losses(counts, tables[-1], len(vocabulary)))
+    priced, *unseen = word_losses(counted, vocabulary)
+    pairs = written(pair_losses(count_pairs(marked, vocabulary), priced, *tables))
+    return Models(vocabulary, *tables, priced, *unseen, pairs, *seen)
 
 
 def _same_text(text: Column) -> list[Column]:
@@ -161,29 +259,39 @@ def _same_text(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("__t1"), (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("__t2")]
 
 
-def _shared_words(df: DataFrame, vocabulary: list[str], text: str) -> DataFrame:
-    """(__t1, __t2, word, n): how often a text has each word without a symbol of its own. Copies may come once or more often."""
+def _shared_words(df: DataFrame, vocabulary: list[str], text: str, pairs: bool) -> DataFrame:
+    """(__t1, __t2, word, n, m): how often a text has each word without a symbol of its own, and before another word.
+
+    With ``pairs`` also how often it has each pair with such a word. Copies may come once or more often.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = frozenset(vocabulary)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for a, b, value in zip(batch["__t1"], batch["__t2"], batch["__text"], strict=True):
                 if (a, b) in seen:
                     continue
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add((a, b))
-                counts = Counter(words(value))
-                found = [w for w in counts if w not in own]
-                for held, more in zip(out, ([a] * len(found), [b] * len(found), found, [counts[w] for w in found]), strict=True):
-                    held.extend(more)
+                said = words(value)
+                counts = Counter(w for w in said if w not in own)
+                before = dict(counts)
+                if said and said[-1] in before:
+                    before[said[-1]] -= 1
+                if pairs:
+                    counts.update(rarer_pairs(said, own))
+                found = list(counts)
+                more = ([a] * len(found), [b] * len(found), found, list(counts.values()), [before.get(w, 0) for w in found])
+                for held, added in zip(out, more, strict=True):
+                    held.extend(added)
             if out[0]:
-                yield pd.DataFrame(dict(zip(("__t1", "__t2", "word", "n"), out, strict=True)))
+                yield pd.DataFrame(dict(zip(("__t1", "__t2", "word", "n", "m"), out, strict=True)))
 
     plain = df.where(F.col(text).isNotNull()).select(*_same_text(F.col(text)), F.col(text).alias("__text"))
-    return plain.mapInPandas(run, "__t1 long, __t2 int, word string, n int")
+    return plain.mapInPandas(run, "__t1 long, __t2 int, word string, n int, m int")
 
 
 def score(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
@@ -193,7 +301,8 @@ def score(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
     null for the rest. Input columns of the four names are replaced.
     """
     plain = without(df, "n_tokens", "target_loss", "background_loss", "score")
-    tables = (models.vocabulary, models.target, models.background)
+    whole = models.pairs is not None
+    tables = (models.vocabulary, *((models.target_seen, models.background_seen) if whole else (models.target, models.background)))
     shared = df.sparkSession.sparkContext.broadcast(tables)  # of fixed size
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -212,13 +321,19 @@ def score(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
 
     made = F.pandas_udf(run, "n_tokens long, shared long, target double, background double")
 
-    unseen = lambda held: F.element_at(F.array(*[F.lit(x) for x in held]), shared_symbol() + 1)
-    priced = _shared_words(plain, models.vocabulary, text).join(models.words, "word", "left")
+    is_pair = F.instr("word", " ") > 0
+    unseen = lambda held: F.when(is_pair, 0.0).otherwise(F.element_at(F.array(*[F.lit(x) for x in held]), shared_symbol() + 1))
+    found = _shared_words(plain, models.vocabulary, text, whole)
+    priced = found.join(models.words.unionByName(models.pairs) if whole else models.words, "word", "left")
     # Means of equal texts are equal however many copies came.
-    of_text = priced.groupBy("__t1", "__t2").agg(
-        (F.sum(F.col("n") * F.coalesce("target_word_loss", unseen(models.unseen_target))) / F.sum("n")).alias("__target"),
-        (F.sum(F.col("n") * F.coalesce("background_word_loss", unseen(models.unseen_background))) / F.sum("n")).alias("__background"),
-    )
+    tokens = F.sum(F.when(~is_pair, F.col("n")))
+
+    def loss(name: str, held: list[float]) -> Column:
+        of_words = F.col("n") * F.coalesce(f"{name}_word_loss", unseen(held))
+        of_before = F.col("m") * F.coalesce(f"{name}_before", F.lit(0.0))
+        return (F.sum(of_words + of_before if whole else of_words) / tokens).alias(f"__{name}")
+
+    of_text = priced.groupBy("__t1", "__t2").agg(loss("target", models.unseen_target), loss("background", models.unseen_background))
     of_symbols = plain.withColumns({"__made": made(F.col(text)), **dict(zip(("__t1", "__t2"), _same_text(F.col(text)), strict=True))})
     mean = lambda c: F.col(f"__made.{c}") + F.coalesce(F.col(f"__{c}") * F.col("__made.shared") / F.col("__made.n_tokens"), F.lit(0.0))
     return (

@@ -302,3 +302,45 @@ def test_target_scores_lower(spark, docs, nothing, rows, sf):
             of_words = sum(held[w][column] if w in held else unseen[zlib.crc32(w.encode()) % lm_scoring.SHARED] for w in said if w not in few.vocabulary)
             assert np.isclose(r[got], (float(table[codes].sum(dtype=np.float64)) + of_words) / len(said))
     assert lm_scoring.score(nothing, lm_scoring.fit(nothing, nothing)).count() == 0
+
+
+def test_pairs_of_rarer_words_are_told_apart(spark):
+    import numpy as np
+
+    symbol = lambda w: zlib.crc32(w.encode()) % lm_scoring.SHARED
+    common = [f"c{i}" for i in range(lm_scoring.WORDS)]
+    by = defaultdict(list)
+    for i in range(3000):
+        by[symbol(f"rare{i}")].append(f"rare{i}")
+    (a1, a2), (b1, b2) = (found[:2] for found in list(by.values())[:2])
+    said = [" ".join(common * 6), f"{a1} {b1} c1", f"{a1} {b1}", f"{a2} {b2} {a1}", f"{a2} {b2} c3", f"c3 {b2} c1 c2"]
+    rows = [(i, t) for i, t in enumerate(said)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    models = lm_scoring.fit(docs, docs.where("doc_id in (0, 1, 5)"))
+    assert sorted(models.vocabulary) == sorted(common)
+    asked = [*rows, (10, f"{a1} {b2}"), (11, f"{b2} unheard {a1} c1"), (12, a1)]
+    asked += [asked[1]]
+    held = {r["word"]: r for r in models.words.collect()}
+    scored = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(asked, "doc_id long, text string"), models).collect()}
+    for name, inside, table, unseen in (("target", (0, 1, 5), models.target, models.unseen_target), ("background", range(6), models.background, models.unseen_background)):
+        pairs, before = Counter(), Counter()
+        for i in inside:
+            found = lm_scoring.words(said[i])
+            pairs.update(zip(["", *found], found, strict=False))
+            before.update(["", *found[:-1]])
+        symbols = lm_scoring.Symbols(models.vocabulary)
+
+        def prior(a, b):
+            code = (symbols[a] if a else lm_scoring.WORDS + lm_scoring.SHARED) * (lm_scoring.WORDS + lm_scoring.SHARED) + symbols[b]
+            of_word = 0 if b in common else held[b][f"{name}_word_loss"] if b in held else unseen[symbol(b)]
+            return np.exp(-float(table[code]) - of_word)
+
+        loss = lambda a, b: -np.log((pairs[a, b] + lm_scoring.PRIOR * prior(a, b)) / (before[a] + lm_scoring.PRIOR))
+        for i, text in asked:
+            found = lm_scoring.words(text)
+            assert np.isclose(scored[i][f"{name}_loss"], np.mean([loss(a, b) for a, b in zip(["", *found], found, strict=False)]), rtol=1e-4), (name, i)
+        # What may follow a word, with one unseen word a symbol, has probability 1 together.
+        unheard = {symbol(w): w for w in (f"unheard{i}" for i in range(5000))}
+        for a in ("", "c1", a1):
+            assert np.isclose(sum(np.exp(-loss(a, w)) for w in [*held, *unheard.values()]), 1, atol=1e-3)
+    assert scored[2]["background_loss"] < scored[10]["background_loss"]  # the same symbols, but never together
