@@ -5,7 +5,8 @@ one's documents. All but the last return the columns of ``documents``.
 
 - ``language_id`` drops documents that are null, have no letter, or whose likeliest language has less than half.
 - ``ngram_jaccard`` keeps of each group of near copies the document with the smallest id; documents without an id go.
-- ``suffix_dedup`` cuts out passages of 400 bytes and more that start anywhere else; documents left empty go.
+- ``suffix_dedup`` cuts out passages of over 50 words, and those of 400 bytes and more, that start anywhere else; documents left
+  empty go. Words count without regard to blanks and case, so no passage is too short in bytes; the bytes are for long words.
 - ``mixing`` repeats documents of small sources until none is repeated more than twice as often as another;
   every document stays once at least.
 - ``pieces`` encodes the texts.
@@ -23,6 +24,7 @@ from terrane.session import ship
 
 LEAST_SCORE = 0.5
 REPETITION = 2.0
+REPEATED_WORDS = 51
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -40,7 +42,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    cut = suffix_dedup.without_repeats(docs).where("text is not null and text <> ''")
+    cut = suffix_dedup.without_repeats(docs, words=REPEATED_WORDS).where("text is not null and text <> ''")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -11,7 +11,9 @@ round, where only equal pairs are compared.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,10 @@ MOST_COMMON = 100_000
 #: A larger group is compared in parts first; what is single in its part meets by Spark's aggregation.
 PART_ROWS = 2_048
 _PLACE = np.uint64((1 << 31) - 1)
+#: Bytes a word in coded texts.
+CODE = 8
+CODES_KEPT = 300_000
+_WORD = re.compile(rb"[^ \t\n\x0b\f\r]+")
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
@@ -234,16 +240,41 @@ def _repeats(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranges, met.where("n > 1").select(F.explode("singles").alias("x")).select("x.tid", "x.low", F.col("x.low").alias("high"))
 
 
-def _cleaned(held: DataFrame, length: int) -> DataFrame:
+def _coded(texts: DataFrame) -> DataFrame:
+    """(tid, text) with CODE characters, of 48 bits, for each word in lower case: strings of words are strings of bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes: dict[bytes, str] = {}
+
+        def code(word: bytes) -> str:
+            if word not in codes:
+                if len(codes) > CODES_KEPT:
+                    codes.clear()
+                codes[word] = base64.b64encode(hashlib.blake2b(word, digest_size=6).digest()).decode()
+            return codes[word]
+
+        for batch in batches:
+            coded = ["".join([code(w) for w in _WORD.findall(_bytes(t).tobytes().lower())]) for t in batch["text"]]
+            yield pd.DataFrame({"tid": batch["tid"], "text": coded})
+
+    return texts.mapInPandas(run, "tid long, text string")
+
+
+def _cleaned(held: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for tid, text, found in zip(batch["tid"].tolist(), batch["text"], batch["found"], strict=True):
                 raw = _bytes(text)
                 change = np.zeros(len(raw) + 1, dtype=np.int64)
+                placed = None
                 for x in found:
-                    change[x["low"]] += 1
-                    change[x["high"] + length] -= 1
+                    low, end = x["low"], x["end"]
+                    if x["of_words"]:
+                        placed = placed or [m.span() for m in _WORD.finditer(raw.tobytes())]
+                        low, end = placed[low][0], placed[end - 1][1]
+                    change[low] += 1
+                    change[end] -= 1
                 gone = np.cumsum(change)[:-1] > 0
                 kept = raw[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
@@ -253,33 +284,52 @@ def _cleaned(held: DataFrame, length: int) -> DataFrame:
     return held.mapInPandas(run, "tid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def texts_cleaned(df: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
+def _repeated(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Texts (tid, text) that hold an anchor left over, one copy each, and ranges (tid, low, high) of starts that repeat."""
+    left = written(_anchors(texts, length, _common(texts, length)))
+    parts = left.groupBy("first", "second").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("long").alias("parts"))
+    # Only groups in several parts are joined: few rows, and the rows of a hot group may be split.
+    dealt = left.join(parts.where("parts > 1"), ["first", "second"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    sized = dealt.groupBy("tid").agg(F.collect_list(F.struct("anchor", "parts")).alias("left"))
+    # Texts that every copy of goes are done; of the others one copy a text comes along.
+    held = written(texts.join(sized, "tid").dropDuplicates(["tid"]))
+    ranges, met = _repeats(_starts(held, length))
+    return held.select("tid", "text"), ranges.unionByName(met)
+
+
+def texts_cleaned(df: DataFrame, text: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
     """Per distinct text of which something goes: ``sha``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (bytes).
 
     A byte goes when a string of ``length`` bytes covers it that also starts elsewhere, in the same text or another,
     judged on the input. Null texts are empty; texts shorter than ``length`` keep all. ``length`` is 256 at least.
+    With ``words`` (32 at least), strings of so many words that also start elsewhere go as well, however short in bytes;
+    words are what lies between blanks, without regard to the case of A to Z.
     """
-    if length < 2 * STRETCH:
-        raise ValueError(f"length must be {2 * STRETCH} at least")
+    if length < 2 * STRETCH or words is not None and CODE * words < 2 * STRETCH:
+        raise ValueError(f"length must be {2 * STRETCH} at least, words {2 * STRETCH // CODE}")
     whole = F.coalesce(F.col(text), F.lit(""))
     sha = F.sha2(whole, 256)
     texts = df.select(whole.alias("text"), F.xxhash64(sha).alias("tid"))
-    long_enough = texts.where(F.octet_length("text") >= length)
-    counted = df.select(sha.alias("sha"), F.octet_length(whole).alias("size")).groupBy("sha", "size").agg(F.count(F.lit(1)).alias("copies"))
+    n_words = F.regexp_count(whole, F.lit(r"[^ \t\n\x0B\f\r]+")) if words else F.lit(0)
+    counted = df.select(sha.alias("sha"), F.octet_length(whole).alias("size"), n_words.alias("n_words"))
+    counted = counted.groupBy("sha", "size", "n_words").agg(F.count(F.lit(1)).alias("copies"))
     counted = written(counted.withColumn("tid", F.xxhash64("sha")))
 
-    left = written(_anchors(long_enough, length, _common(long_enough, length)))
-    parts = left.groupBy("first", "second").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("long").alias("parts"))
-    # Only groups in several parts are joined: few rows, and the rows of a hot group may be split.
-    dealt = left.join(parts.where("parts > 1"), ["first", "second"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    sized = dealt.groupBy("tid").agg(F.collect_list(F.struct("anchor", "parts")).alias("left"))
-    # Texts that every copy of goes are done; of the others one copy a text comes along.
-    held = written(long_enough.join(sized, "tid").dropDuplicates(["tid"]))
-    ranges, met = _repeats(_starts(held, length))
-    spans = ranges.unionByName(met).groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-    cleaned = _cleaned(held.select("tid", "text").join(spans, "tid"), length)
-
-    several = (F.col("copies") > 1) & (F.col("size") >= length)
+    held, ranges = _repeated(texts.where(F.octet_length("text") >= length), length)
+    found = ranges.select("tid", "low", (F.col("high") + length).alias("end"), F.lit(False).alias("of_words"))
+    if words:
+        held = texts
+        _, ranges = _repeated(written(_coded(texts).where(F.length("text") >= CODE * words)), CODE * words)
+        # Only whole words: a start inside a code repeats by chance, beside a repeat.
+        first, last = F.ceil(F.col("low") / CODE).cast("long"), F.floor((F.col("high") + CODE * words) / CODE).cast("long")
+        of_words = ranges.select("tid", first.alias("low"), last.alias("end"), F.lit(True).alias("of_words"))
+        found = found.unionByName(of_words.where(F.col("end") - F.col("low") >= words))
+    spans = found.groupBy("tid").agg(F.collect_list(F.struct("low", "end", "of_words")).alias("found"))
+    one = held.join(spans, "tid").dropDuplicates(["tid"]) if words else held.join(spans, "tid")
+    cleaned = _cleaned(one)
+
+    enough = F.col("size") >= length
+    several = (F.col("copies") > 1) & (enough | (F.col("n_words") >= words) if words else enough)
     empty = F.lit(b"")
     return (
         counted.join(cleaned, "tid", "left")
@@ -309,9 +359,9 @@ def spans_removed(df: DataFrame, key: str = "doc_id", text: str = "text", length
     )
 
 
-def without_repeats(df: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
+def without_repeats(df: DataFrame, text: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
     """``df`` with repeats cut out of its texts, same columns. Characters that a cut went through go as well; nulls stay."""
-    cleaned = written(texts_cleaned(df, text, length).select("sha", "kept"))
+    cleaned = written(texts_cleaned(df, text, length, words).select("sha", "kept"))
 
     @F.pandas_udf("string")
     def read(kept: pd.Series) -> pd.Series:

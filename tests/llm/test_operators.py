@@ -344,3 +344,27 @@ def test_pairs_of_rarer_words_are_told_apart(spark):
         for a in ("", "c1", a1):
             assert np.isclose(sum(np.exp(-loss(a, w)) for w in [*held, *unheard.values()]), 1, atol=1e-3)
     assert scored[2]["background_loss"] < scored[10]["background_loss"]  # the same symbols, but never together
+
+
+def test_pipeline_stage_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda size: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(size))
+    prose = lambda n, size=6: " ".join(word(size) for _ in range(n))
+    passages = [prose(55, 5), prose(51, 2), prose(50, 5), prose(70), prose(38, 10)]  # 329, 152, 299, 489 and 417 bytes
+    assert [len(p) for p in passages] == [329, 152, 299, 489, 417]
+    rows, want = [], {}
+    for i, passage in enumerate(passages):
+        for j in range(2):
+            head, tail = prose(40), prose(40)
+            again = passage if j == 0 or i > 2 else passage.upper().replace(" ", "\n ")
+            rows.append((2 * i + j, f"{head} {again} {tail}", "en", "a", 0))
+            want[2 * i + j] = [*head.split(), *(again.split() if i == 2 else []), *tail.split()]
+    copied = prose(55, 5)
+    rows += [(20, copied, "en", "a", 0), (21, copied, "en", "a", 0), (22, prose(30), "en", "a", 0), (23, None, "en", "a", 0), (24, "日本" * 70, "ja", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.long_repeats(spark, docs, "").collect()}
+    assert sorted(got) == [*range(10), 22]  # the last repeats itself
+    assert all(got[i] == want[i] for i in range(6))
+    assert all(not set(passages[i // 2].split()) & set(got[i]) for i in range(6, 10))  # by bytes also the blanks around go
