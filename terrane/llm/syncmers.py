@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers over words.
 
 A k-mer of words is an anchor when the smallest of its inner s-mers (by hash) is its first or last
-one. The choice depends on the k-mer alone, so a passage keeps its anchors wherever it stands.
+one. The choice depends on the k-mer alone, so a passage keeps its anchors wherever it stands. In a short text it may be
+that no k-mer is one; its anchor is then the k-mer of smallest hash, so only texts without words have none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """32-bit hashes of the anchors of a text in order of place; a text of fewer than k words is one k-mer."""
+    """32-bit hashes of the anchors of a text in order of place; a text of fewer than k words is one k-mer.
+
+    Where no k-mer of a text is an anchor, its k-mer of smallest hash is taken.
+    """
     words = F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"\s+")
     hashed = F.transform(words, lambda w: F.hash(w))
 
@@ -32,8 +36,11 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             smallest = F.least(*[F.get(inner, i + j) for j in range(k - s + 1)])
             return smallest.isin(F.get(inner, i), F.get(inner, i + (k - s)))
 
-        kept = F.filter(F.sequence(F.lit(0), F.size(h) - k), at_edge)
-        return F.transform(kept, lambda i: F.hash(*[F.get(h, i + j) for j in range(k)]))
+        places = F.sequence(F.lit(0), F.size(h) - k)
+        made = lambda held: F.transform(held, lambda i: F.hash(*[F.get(h, i + j) for j in range(k)]))
+        return _let(
+            F.filter(places, at_edge), lambda kept: F.when(F.size(kept) == 0, F.array(F.array_min(made(places)))).otherwise(made(kept))
+        )
 
     def chosen(h: Column) -> Column:
         if s == 1:
@@ -54,7 +61,7 @@ def printed(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the shared distinct anchors over the distinct anchors of both; 1 if both have none."""
+    """Twice the shared distinct anchors over the distinct anchors of both; 1 if both have none, as only texts without words do."""
     total = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
@@ -122,7 +129,7 @@ def with_next(df: DataFrame, key: str, value: str, derived: dict[str, Column]) -
 
 
 def fingerprints(df: DataFrame, text: str = "text", k: int = K, s: int = S) -> DataFrame:
-    """Add ``anchors`` (array of int) and ``fingerprint`` (string). Null and empty texts have none; equal texts have equal ones.
+    """Add ``anchors`` (array of int) and ``fingerprint`` (string). Null and blank texts have none, all others at least one; equal texts have equal ones.
 
     Input columns of these two names are replaced.
     """

@@ -368,3 +368,19 @@ def test_pipeline_stage_cuts_passages_of_over_50_words(spark):
     assert sorted(got) == [*range(10), 22]  # the last repeats itself
     assert all(got[i] == want[i] for i in range(6))
     assert all(not set(passages[i // 2].split()) & set(got[i]) for i in range(6, 10))  # by bytes also the blanks around go
+
+
+def test_only_texts_without_words_have_no_anchor(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(1 + i % 9))) for i in range(180)]
+    rows += [(200, ""), (201, None), (202, " \n\t ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for s in (1, 2):
+        found = {r["doc_id"]: r for r in syncmers.fingerprints(df, s=s).collect()}
+        assert all(found[i]["anchors"] for i in range(180)) and len({found[i]["fingerprint"] for i in range(180)}) == len({t for _, t in rows[:180]})
+        assert all(found[i]["fingerprint"] == "" and found[i]["anchors"] == [] for i in (200, 201, 202))
+    near = {r["doc_id"]: r["near_next"] for r in syncmers.compare_with_edit_and_next(df).collect()}
+    assert near[202] == near[201] == 1 and near[200] == 0 and all(near[i] == 0 for i in range(10, 180, 9))
+    five = df.where(F.size(F.split("text", " ")) == 5)
+    whole = F.hash(*[F.hash(F.get(F.split("text", " "), F.lit(j))) for j in range(5)]).cast("string")
+    assert all(r["whole"] == found[r["doc_id"]]["fingerprint"] for r in five.select("doc_id", whole.alias("whole")).collect())
