@@ -1,10 +1,10 @@
-"""Removing long repeats by ranks of suffixes at growing offsets.
+"""Removing long repeats by two rounds of hash comparison of suffixes.
 
 Suffixes are ranked at anchors: positions whose 8-byte hash is the smallest of some stretch of STRETCH positions. The choice
 depends on the bytes alone, so equal strings have equal anchors. Every string of the threshold length has its
 anchor among its first STRETCH positions, hence a string that repeats shows as an anchor whose following bytes
-repeat. Spark sorts the anchors' rank pairs (bytes up to an offset, and from there up to twice the
-offset); anchors that become unique leave. What is left is ranked once more past the threshold: for each
+repeat. There is no prefix doubling: Spark sorts one pair of ranks an anchor once (bytes up to an offset, and from there
+up to twice the offset); anchors that are unique leave. What is left is ranked once more past the threshold: for each
 start that belongs to the anchor by all of its bytes. Ranks are 64-bit hashes of the bytes, 48 bits in the last
 round, where only equal pairs are compared.
 """
