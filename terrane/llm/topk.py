@@ -1,9 +1,9 @@
 """Exact top-k by inner product with an impact-ordered index, score at a time.
 
 Every block of candidates is indexed by dimension: postings sorted by quantised impact and cut into segments
-of equal impact. A query takes segments of all dimensions by descending contribution. What a segment not
+of equal count. A query takes segments of all dimensions by descending contribution, up to a fixed share of its postings. What a segment not
 yet taken can still add bounds every candidate from above; only candidates whose bound reaches the k-th
-best exact score are scored exactly, and the search of a block stops on that proof.
+best exact score are scored exactly. There is no test after each segment.
 """
 
 from __future__ import annotations
