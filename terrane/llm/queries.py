@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from terrane.llm import chat, langid, lm_scoring, mixing, ngram_join, piece, sharding, suffix_dedup, syncmers, topk
+from terrane.llm import chat, langid, lm_scoring, merkle, mixing, ngram_join, piece, sharding, suffix_dedup, syncmers, token_counts, topk
 from terrane.llm.common import whole_text
 from terrane.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,10 +109,68 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
-_QUERIES: list[Query] = [op1_lm_scoring, op2_sharding, op3_pieces, op4_mixing, op5_suffix_dedup, op6_ngram_join, op7_topk, op8_chat, op9_syncmers, op10_langid]
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by the byte-level vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, token_counts.read_vocabulary(public_tokenizers.path(BYTE_MODEL))).drop("text")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, one tree a language; a seventh of the rows is checked with one added to n_chars."""
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = {"n_chars": F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return merkle.verify(table(spark, sf_dir, "documents"), "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], changed)
+
+
+_QUERIES: list[Query] = [op1_lm_scoring, op2_sharding, op3_pieces, op4_mixing, op5_suffix_dedup, op6_ngram_join, op7_topk, op8_chat, op9_syncmers, op10_langid, op11_token_counts, op12_merkle]
+
+def _fields(n_chars: str) -> str:
+    shown = "case when {0} is null then '-' else strlen({0}::varchar)::varchar || ':' || {0}::varchar end"
+    return " || ".join(shown.format(c) for c in ("doc_id", "source", "lang", n_chars, "text"))
+
 
 _CONTROL = r"(?:/?INST|/?SYS|/?s)"
 SQL = {
+    # A checksum of the id in decimal, bit by bit; then one list of nodes a level and language, proofs by place, folds by level.
+    "op12_merkle": f"""with recursive summed as (select *, xor(4294967295::ubigint, list_reduce(
+            list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
+            lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)::ubigint[]),
+              lambda x, bit: case when x & 1::ubigint = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end))) % 7 = 0 as chosen
+          from documents),
+        hashed as (select doc_id, lang, sha256({_fields("n_chars")}) as leaf,
+          sha256({_fields("(n_chars + case when chosen then 1 else 0 end)")}) as changed from summed),
+        placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as nth,
+          dense_rank() over (order by lang nulls first) - 1 as of_lang from hashed),
+        levels as (
+          select of_lang, 0 as level, list(leaf order by nth) as nodes from placed group by of_lang
+          union all
+          select of_lang, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+          from levels where len(nodes) > 1),
+        subroots as (select of_lang, level as height, nodes[1] as subroot from levels where len(nodes) = 1),
+        top as (
+          select 0 as level, (select list(subroot order by of_lang) from subroots) as nodes
+          union all
+          select level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+          from top where len(nodes) > 1),
+        steps as (
+          select p.doc_id, p.of_lang, p.nth, l.level, l.nodes[xor(p.nth >> l.level, 1) + 1] as sibling, (p.nth >> l.level) & 1 as right_one
+          from placed p join levels l using (of_lang) where len(l.nodes) > 1
+          union all
+          select p.doc_id, p.of_lang, p.nth, s.height + t.level, t.nodes[xor(p.of_lang >> t.level, 1) + 1], (p.of_lang >> t.level) & 1
+          from placed p join subroots s using (of_lang), top t where len(t.nodes) > 1),
+        paths as (select of_lang, nth, list({{'s': sibling, 'r': right_one}} order by level) as path from steps group by of_lang, nth),
+        folds as (
+          select of_lang, nth, 0 as level, changed as node from placed
+          union all
+          select of_lang, nth, level + 1, sha256(case when path[level + 1].s is null then node when path[level + 1].r = 1
+            then path[level + 1].s || node else node || path[level + 1].s end)
+          from folds join paths using (of_lang, nth) where level < len(path)),
+        ends as (select of_lang, nth, arg_max(node, level) as folded_root from folds group by of_lang, nth)
+        select p.doc_id, p.leaf, s.subroot, r.nodes[1] as root,
+          sha256(coalesce(array_to_string(list_transform(path, lambda x: coalesce(x.s, '')), ''), '')) as proof_sha256,
+          e.folded_root, e.folded_root = r.nodes[1] as verified
+        from placed p join subroots s using (of_lang) join ends e using (of_lang, nth) left join paths using (of_lang, nth),
+          (select nodes from top where len(nodes) = 1) r""",
     "op7_topk": """with q as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
           where embedding is not null
             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
