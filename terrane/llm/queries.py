@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from terrane.llm import chat, langid, lm_scoring, merkle, mixing, ngram_join, piece, sharding, suffix_dedup, syncmers, token_counts, topk
+from terrane.llm import chat, langid, lm_scoring, merkle, mixing, ngram_join, phrases, piece, sharding, suffix_dedup, syncmers, token_counts, topk
 from terrane.llm.common import whole_text
 from terrane.session import ship
 
@@ -122,7 +122,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], changed)
 
 
-_QUERIES: list[Query] = [op1_lm_scoring, op2_sharding, op3_pieces, op4_mixing, op5_suffix_dedup, op6_ngram_join, op7_topk, op8_chat, op9_syncmers, op10_langid, op11_token_counts, op12_merkle]
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language over all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+_QUERIES: list[Query] = [op1_lm_scoring, op2_sharding, op3_pieces, op4_mixing, op5_suffix_dedup, op6_ngram_join, op7_topk, op8_chat, op9_syncmers, op10_langid, op11_token_counts, op12_merkle, op13_phrases]
 
 def _fields(n_chars: str) -> str:
     shown = "case when {0} is null then '-' else strlen({0}::varchar)::varchar || ':' || {0}::varchar end"
@@ -131,6 +136,28 @@ def _fields(n_chars: str) -> str:
 
 _CONTROL = r"(?:/?INST|/?SYS|/?s)"
 SQL = {
+    "op13_phrases": r"""with pieces as (
+          select coalesce(lang, 'und') as lang, doc_id, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+        totals as (select lang, sum(len(w))::bigint as n from words group by lang having sum(len(w)) > 0),
+        sizes as (select unnest([1, 2, 3, 4]) as size),
+        grams as (select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+          from words, sizes where len(w) >= size),
+        f as (select lang, size, phrase, count(*)::hugeint as f from grams group by lang, size, phrase having count(*) >= 30),
+        long as (select *, string_split(phrase, ' ') as w from f where size > 1),
+        cuts as (select *, unnest(range(1, size)) as k from long),
+        scored as (select c.lang, c.phrase, c.f as a, k, x.f as l, y.f as r, (2000000 * c.f) // (x.f + y.f) as score from cuts c
+          join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+          join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')),
+        lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        inside as (select lang, array_to_string(w[i:i + s - 1], ' ') as phrase, f
+          from long, (values (1, 2), (2, 2), (3, 2), (1, 3), (2, 3)) p(i, s) where i + s - 1 <= size and s < size),
+        most as (select lang, phrase, max(f) as most from inside group by lang, phrase),
+        kept as (select l.* from lowest l left join most m using (lang, phrase) where m.most is null or 100 * m.most < 80 * l.a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+        from ranked join totals using (lang) where rank <= 2000""",
     # A checksum of the id in decimal, bit by bit; then one list of nodes a level and language, proofs by place, folds by level.
     "op12_merkle": f"""with recursive summed as (select *, xor(4294967295::ubigint, list_reduce(
             list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
