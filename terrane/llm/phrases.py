@@ -3,12 +3,13 @@
 The suffixes of all pieces of text, cut off after ``DEPTH`` words, form one tree a language. It is never built as a whole:
 
 1. Word counts are the first level. Words below the least count can be in no phrase, so suffixes end before them.
-2. Prefixes whose suffixes exceed the memory budget are extended by a word, level by level, until each one fits.
-3. Prefixes are put into groups of one budget each, by a histogram of their hashes.
-4. Every suffix goes to its prefix's group. A group sorts its suffixes and reads its subtrees off the sorted
-   stream: a node is a run of equal prefixes, and its count is the total of its leaves.
+2. Prefixes of two words whose suffixes exceed the memory budget are extended by a word until each one fits.
+3. Prefixes are put into groups of about one budget each.
+4. Every suffix goes to its prefix's group, in sorted and compressed blocks. A group sorts its suffixes and reads
+   its subtrees off them: a node is a run of equal prefixes, and its count is the total of its leaves.
 
-Memory of a task is one batch of rows, whatever the group holds; sorting spills. The rest is joins over frequent phrases.
+A task holds one group at a time. An extended prefix lies in several groups; its totals are added at the end, so which
+prefixes are extended is layout only, and a sample of the rows may tell. The rest is joins over frequent phrases.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,23 +28,23 @@ from pyspark.sql import functions as F
 from terrane.llm.common import written
 
 DEPTH = 4
-#: Suffix occurrences of one group. It balances tasks; a corpus of more than HOT_PREFIXES budgets gets larger groups.
-BUDGET = 250_000
-#: At most so many prefixes of each length are too large for a group: the list of them is broadcast.
+#: Suffix occurrences of one group: the memory budget of a task (some 100 MB).
+BUDGET = 1_000_000
+#: At most so many prefixes of each length are extended (the list is broadcast); past so many budgets of words they get larger groups.
 HOT_PREFIXES = 100_000
+#: One row in so many is read to find the prefixes to extend.
+SAMPLED = 8
 #: Bits that tell words which may be frequent: 2 MB whatever the corpus. Where bits are shared, fewer suffixes are left out.
 WORD_BITS = 1 << 24
-#: Cells of the histogram of prefixes.
-CELLS = 1 << 16
-#: A task hands on its counts when it holds so many suffixes or words, or so many bytes of them.
-HELD = 150_000
-HELD_BYTES = 32 << 20
+#: A task hands on its counts when it holds so many suffixes or words, or has read so many characters.
+HELD = 300_000
+HELD_CHARS = 32 << 20
 
 #: What ends a piece; blanks and tabs part words.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_LINES = bytes.maketrans(_ENDS, b"\n" * len(_ENDS))
-_SUFFIX = ", ".join(f"w{i} string" for i in range(1, DEPTH + 1))
 _WORDS = [f"w{i}" for i in range(1, DEPTH + 1)]
+CODEC = "zstd"
 
 
 def pieces(text: str) -> Iterator[list[bytes]]:
@@ -64,7 +64,7 @@ class _Held:
     """Counts of one task by language, handed on when they grow beyond a bound."""
 
     def __init__(self, names: list[str]) -> None:
-        self.names, self.by, self.bytes = names, {}, 0
+        self.names, self.by, self.read = names, {}, 0
 
     def of(self, lang: str) -> Counter:
         found = self.by.get(lang)
@@ -73,16 +73,16 @@ class _Held:
         return found
 
     def full(self, read: int) -> bool:
-        self.bytes += read
-        return self.bytes > HELD_BYTES or sum(map(len, self.by.values())) > HELD
+        self.read += read
+        return self.read > HELD_CHARS or sum(map(len, self.by.values())) > HELD
 
-    def drained(self, more: dict[str, object] | None = None) -> Iterator[pa.RecordBatch]:
+    def drained(self) -> Iterator[pa.RecordBatch]:
         for lang, counts in self.by.items():
             columns = list(zip(*counts, strict=True)) if counts else [()] * len(self.names)
             arrays = [pa.array(c, pa.binary()).cast(pa.string()) for c in columns]
             arrays = [pa.array([lang] * len(counts), pa.string()), *arrays, pa.array(list(counts.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", *self.names, "n"])
-        self.by, self.bytes = {}, 0
+        self.by, self.read = {}, 0
 
 
 def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +114,11 @@ class _Frequent(dict):
 
 @dataclass(frozen=True)
 class Partition:
-    """Where suffixes go: bits of frequent words, prefixes that were extended, and the group of each cell of hashes."""
+    """Where suffixes go: bits of frequent words, prefixes that were extended, and the number of groups."""
 
     bits: np.ndarray
     extended: frozenset[tuple[str | bytes, ...]]  # (language, words...), too large for a group
-    group: np.ndarray | None = None
+    groups: int = 1
 
     def runs(self, lang: str, text: str, known: dict[str, _Frequent]) -> Iterator[list[bytes]]:
         """Runs of at least two words that may all be frequent."""
@@ -137,12 +137,12 @@ class Partition:
                     yield words[start:end]
                 start = end + 1
 
-    def prefix(self, lang: str, suffix: tuple[bytes, ...]) -> int:
-        """How many words of a suffix make the shortest prefix that fits a group."""
-        for size in range(1, len(suffix)):
-            if (lang, *suffix[:size]) not in self.extended:
-                return size
-        return len(suffix)
+    def group(self, lang: str, suffix: tuple[bytes, ...]) -> int:
+        """The group of the shortest prefix, from two words on, that fits one."""
+        size = 2
+        while size < len(suffix) and (lang, *suffix[:size]) in self.extended:
+            size += 1
+        return zlib.crc32(b" ".join(suffix[:size]), zlib.crc32(lang.encode())) % self.groups
 
 
 def _suffixes(words: list[bytes]) -> Iterator[tuple[bytes, ...]]:
@@ -155,35 +155,38 @@ def _suffixes(words: list[bytes]) -> Iterator[tuple[bytes, ...]]:
 
 
 def extensions_of(batches: Iterable[pa.RecordBatch], partition: Partition, size: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases one word longer than the extended prefixes of ``size`` words."""
-    held, known = _Held(_WORDS[: size + 1]), {}
-    hot = {p for p in partition.extended if len(p) == size + 1}
+    """Counts of the phrases of ``size`` words whose shorter parts were all extended."""
+    held, known = _Held(_WORDS[:size]), {}
+    hot = partition.extended
     for lang, text in _texts(batches):
         counts = held.of(lang)
-        mine = {p[1:] for p in hot if p[0] == lang} if len(hot) < 64 else None
         for words in partition.runs(lang, text, known):
-            for phrase in zip(*(words[i:] for i in range(size + 1))):
-                if phrase[:-1] in mine if mine is not None else (lang, *phrase[:-1]) in hot:
-                    counts[phrase] += 1
+            marks = [(lang, *part) in hot for part in zip(*(words[i:] for i in range(size - 1)))]
+            counts.update(tuple(words[i : i + size]) for i in range(len(marks) - 1) if marks[i] and marks[i + 1])
         if held.full(len(text)):
             yield from held.drained()
     yield from held.drained()
 
 
-def suffixes_of(batches: Iterable[pa.RecordBatch], partition: Partition) -> Iterator[pa.RecordBatch]:
-    """Suffixes of a task with their counts and their groups."""
+def blocks_of(batches: Iterable[pa.RecordBatch], partition: Partition) -> Iterator[pa.RecordBatch]:
+    """The suffixes of a task by group, as compressed blocks of sorted lines.
+
+    In a line every word is followed by a blank, so lines that share words lie together whatever signs the words hold; a count
+    above 1 follows after a tab.
+    """
     held, known = _Held(_WORDS), {}
 
     def drained() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.by.items():
-            rows = list(counts)
-            start = zlib.crc32(lang.encode())
-            hashed = (zlib.crc32(b" ".join(s[: partition.prefix(lang, s)]), start) for s in rows)
-            group = partition.group[np.fromiter(hashed, np.int64, len(rows)) % CELLS]
-            columns = [pa.array([s[i] if i < len(s) else None for s in rows], pa.binary()).cast(pa.string()) for i in range(DEPTH)]
-            arrays = [pa.array([lang] * len(rows), pa.string()), *columns, pa.array(list(counts.values()), pa.int64()), pa.array(group, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", *_WORDS, "n", "group"])
-        held.by, held.bytes = {}, 0
+            by: dict[int, list[bytes]] = {}
+            for suffix, n in counts.items():
+                line = b"%b \t%d" % (b" ".join(suffix), n) if n > 1 else b"%b " % b" ".join(suffix)
+                by.setdefault(partition.group(lang, suffix), []).append(line)
+            blocks = [pa.compress(b"\n".join(sorted(lines)), codec=CODEC, asbytes=True) for lines in by.values()]
+            sizes = [sum(map(len, lines)) + len(lines) - 1 for lines in by.values()]
+            arrays = [pa.array(list(by), pa.int64()), pa.array([lang] * len(by), pa.string()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["group", "lang", "size", "block"])
+        held.by, held.read = {}, 0
 
     for lang, text in _texts(batches):
         counts = held.of(lang)
@@ -194,53 +197,56 @@ def suffixes_of(batches: Iterable[pa.RecordBatch], partition: Partition) -> Iter
     yield from drained()
 
 
-def nodes_of(batches: Iterable[pa.RecordBatch], partition: Partition, least: int) -> Iterator[pa.RecordBatch]:
-    """Nodes of two words and more, with their leaf totals, from suffixes in order; those below ``least`` are left out.
-
-    Extended prefixes are left out too: their subtrees lie in several groups, and they were counted when they were extended.
+def _nodes(lines: list[bytes], least: int) -> Iterator[tuple[tuple[bytes, ...], int]]:
+    """Nodes of two words and more with their leaf totals, from sorted lines; those below ``least`` are left out."""
+    path: list[bytes] = []
+    totals = [0] * (DEPTH + 1)
+    for line in [*lines, b""]:
+        head, _, n = line.partition(b"\t")
+        words = head.split()
+        shared = 0
+        for a, b in zip(path, words):
+            if a != b:
+                break
+            shared += 1
+        for size in range(len(path), shared, -1):
+            total = totals[size]
+            if size > 1 and total >= least:
+                yield tuple(path[:size]), total
+            totals[size - 1] += total
+            totals[size] = 0
+        path = words
+        totals[len(words)] += int(n) if n else 1
+
+
+def subtrees_of(batches: Iterable[pa.RecordBatch], partition: Partition, least: int) -> Iterator[pa.RecordBatch]:
+    """Nodes of every group, from blocks in the order of group and language.
+
+    Parts of extended prefixes are put out whatever their count.
     """
-    open_: dict[int, tuple[tuple[str, ...], int]] = {}
-    extended = {(p[0], *(w.decode() for w in p[1:])) for p in partition.extended if len(p) > 2}
-
-    def made(rows: list[tuple[tuple[str, ...], int]]) -> pa.RecordBatch:
-        kept = [(key, n) for key, n in rows if n >= least and key not in extended]
-        arrays = [pa.array([k[0] for k, _ in kept], pa.string()), pa.array([" ".join(k[1:]) for k, _ in kept], pa.string())]
-        arrays += [pa.array([len(k) - 1 for k, _ in kept], pa.int32()), pa.array([n for _, n in kept], pa.int64())]
+    held: list[bytes] = []
+    of: tuple[int, str] | None = None
+
+    def read() -> pa.RecordBatch:
+        lang = of[1]
+        held.sort()
+        mine = {p[1:] for p in partition.extended if p[0] == lang}
+        rows = list(_nodes(held, least)) if not mine else [(k, n) for k, n in _nodes(held, 1) if n >= least or k in mine]
+        held.clear()
+        arrays = [pa.array([lang] * len(rows), pa.string()), pa.array([b" ".join(k) for k, _ in rows], pa.binary()).cast(pa.string())]
+        arrays += [pa.array([len(k) for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "size", "f"])
 
     for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
-        counts = batch.column("n").to_numpy()
-        starts = np.zeros(rows, dtype=bool)
-        starts[0] = True
-        columns: list[pa.Array] = []
-        for size, name in enumerate(["lang", *_WORDS]):
-            column = batch.column(name)
-            columns.append(column)
-            text = pc.fill_null(column, "")  # words are never empty
-            starts[1:] |= pc.not_equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False)
-            if size < 2:
-                continue
-            at = np.flatnonzero(starts)
-            totals = np.add.reduceat(counts, at)
-            keep = totals >= least
-            keep[[0, -1]] = True  # these runs may go on in the batches before and after
-            keep &= column.take(pa.array(at)).is_valid().to_numpy(zero_copy_only=False)
-            places = pa.array(at[keep])
-            keys = list(zip(*(c.take(places).to_pylist() for c in columns), strict=True))
-            found = list(zip(keys, totals[keep].tolist(), strict=True))
-            before = open_.pop(size, None)
-            if before is not None:
-                if found and keep[0] and found[0][0] == before[0]:
-                    found[0] = (before[0], found[0][1] + before[1])
-                else:
-                    found.insert(0, before)
-            if keep[-1]:
-                open_[size] = found.pop()
-            yield made(found)
-    yield made(list(open_.values()))
+        columns = [batch.column(c) for c in ("group", "lang", "size", "block")]
+        for group, lang, size, block in zip(*columns, strict=True):
+            key = (group.as_py(), lang.as_py())
+            if of is not None and key != of:
+                yield read()
+            of = key
+            held += pa.decompress(block.as_buffer(), decompressed_size=size.as_py(), codec=CODEC, asbytes=True).split(b"\n")
+    if of is not None:
+        yield read()
 
 
 def _bits(words: DataFrame) -> np.ndarray:
@@ -254,15 +260,6 @@ def _bits(words: DataFrame) -> np.ndarray:
     return bits
 
 
-def _groups(prefixes: DataFrame, budget: int) -> np.ndarray:
-    """Group of every cell of hashes: neighbouring cells share one until it is full. The histogram has a fixed size."""
-    cell = F.crc32(F.concat("lang", "phrase").cast("binary")) % CELLS
-    sizes = np.zeros(CELLS, dtype=np.float64)
-    for r in prefixes.groupBy(cell.cast("int").alias("cell")).agg(F.sum("f").alias("f")).collect():
-        sizes[r["cell"]] = r["f"]
-    return np.floor(np.cumsum(sizes) / budget).astype(np.int32)
-
-
 def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 30) -> tuple[DataFrame, DataFrame]:
     """Counts of all phrases of up to ``DEPTH`` words that occur at least ``least`` times, by language, and word totals.
 
@@ -277,36 +274,31 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     every = often.agg(F.sum("f")).first()[0] or 0
     budget = max(BUDGET, -(-every // HOT_PREFIXES))
 
-    level = often.select("lang", "phrase", "f", F.array("phrase").alias("words"))
-    counts = often.select("lang", "phrase", F.lit(1).alias("size"), "f")
-    partition, fitting = Partition(_bits(often), frozenset()), []
-    for size in range(1, DEPTH + 1):
-        small = level if size == DEPTH else level.where(F.col("f") <= budget)
-        fitting.append(small.select("lang", "phrase", "f"))
-        large = level.where(F.col("f") > budget)
-        hot = [] if size == DEPTH else large.select("lang", "words").collect()  # every / budget at most
-        if not hot:
+    partition = Partition(_bits(often), frozenset(), -(-every // budget) + 1)
+    hot = often.where(F.col("f") > budget).select("lang", F.array("phrase").alias("words"))  # every / budget at most
+    some = docs.where(F.pmod(F.monotonically_increasing_id(), F.lit(SAMPLED)) == 0)
+    for size in range(2, DEPTH + 1):
+        added = {(r["lang"], *(w.encode() for w in r["words"])) for r in hot.collect()}
+        if not added:
+            break
+        partition = replace(partition, extended=partition.extended | added)
+        if size == DEPTH:
             break
-        if size > 1:
-            counts = counts.unionByName(large.where(F.col("f") >= least).select("lang", "phrase", F.lit(size).alias("size"), "f"))
-        added = {(r["lang"], *(w.encode() for w in r["words"])) for r in hot}
-        partition = Partition(partition.bits, partition.extended | added)
-        shared = df.sparkSession.sparkContext.broadcast(partition)
-        names = _WORDS[: size + 1]
+        shared, names = df.sparkSession.sparkContext.broadcast(partition), _WORDS[:size]
         schema = f"lang string, {', '.join(f'{w} string' for w in names)}, n long"
-        longer = docs.mapInArrow(lambda batches, s=shared, k=size: extensions_of(batches, s.value, k), schema)
-        summed = longer.groupBy("lang", *names).agg(F.sum("n").alias("f"))
-        level = written(summed.select("lang", F.concat_ws(" ", *names).alias("phrase"), "f", F.array(*names).alias("words")))
-
-    prefixes = fitting[0]
-    for more in fitting[1:]:
-        prefixes = prefixes.unionByName(more)
-    partition = Partition(partition.bits, partition.extended, _groups(prefixes, budget))
-    shared = df.sparkSession.sparkContext.broadcast(partition)  # a bitmap, a list and a histogram, each of bounded size
-    dealt = docs.mapInArrow(lambda batches: suffixes_of(batches, shared.value), f"lang string, {_SUFFIX}, n long, group int")
-    sorted_ = dealt.repartition("group").drop("group").sortWithinPartitions("lang", *_WORDS)
-    nodes = sorted_.mapInArrow(lambda batches: nodes_of(batches, shared.value, least), "lang string, phrase string, size int, f long")
-    return written(counts.unionByName(nodes)), totals
+        longer = some.mapInArrow(lambda batches, s=shared, k=size: extensions_of(batches, s.value, k), schema)
+        summed = longer.groupBy("lang", *names).agg((F.sum("n") * SAMPLED).alias("f"))
+        hot = summed.where(F.col("f") > budget).select("lang", F.array(*names).alias("words"))
+
+    # Single words were only needed to find longer prefixes.
+    partition = replace(partition, extended=frozenset(p for p in partition.extended if len(p) > 2))
+    shared = df.sparkSession.sparkContext.broadcast(partition)  # a bitmap and a list, each of bounded size
+    dealt = docs.mapInArrow(lambda batches: blocks_of(batches, shared.value), "group long, lang string, size long, block binary")
+    together = dealt.repartition("group").sortWithinPartitions("group", "lang")
+    nodes = together.mapInArrow(lambda batches: subtrees_of(batches, shared.value, least), "lang string, phrase string, size int, f long")
+    summed = nodes.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    singles = often.select("lang", "phrase", F.lit(1).alias("size"), "f")
+    return written(singles.unionByName(summed)), totals
 
 
 def _words(phrase: str = "phrase") -> Column:
