@@ -15,7 +15,7 @@ prefixes are extended is layout only, and a sample of the rows may tell. The res
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -178,10 +178,16 @@ def blocks_of(batches: Iterable[pa.RecordBatch], partition: Partition) -> Iterat
 
     def drained() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.by.items():
-            by: dict[int, list[bytes]] = {}
+            by: defaultdict[int, list[bytes]] = defaultdict(list)
+            # Most prefixes are the first two words; only below extended ones longer prefixes are looked for.
+            hot, start, crc, groups = {p[1:] for p in partition.extended if p[0] == lang}, zlib.crc32(lang.encode()), zlib.crc32, partition.groups
             for suffix, n in counts.items():
-                line = b"%b \t%d" % (b" ".join(suffix), n) if n > 1 else b"%b " % b" ".join(suffix)
-                by.setdefault(partition.group(lang, suffix), []).append(line)
+                if hot and suffix[:2] in hot:
+                    group = partition.group(lang, suffix)
+                else:
+                    group = crc(b"%b %b" % suffix[:2], start) % groups
+                line = b" ".join(suffix)
+                by[group].append(line + b" " if n == 1 else b"%b \t%d" % (line, n))
             blocks = [pa.compress(b"\n".join(sorted(lines)), codec=CODEC, asbytes=True) for lines in by.values()]
             sizes = [sum(map(len, lines)) + len(lines) - 1 for lines in by.values()]
             arrays = [pa.array(list(by), pa.int64()), pa.array([lang] * len(by), pa.string()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())]
@@ -202,7 +208,7 @@ def _nodes(lines: list[bytes], least: int) -> Iterator[tuple[tuple[bytes, ...],
     path: list[bytes] = []
     totals = [0] * (DEPTH + 1)
     for line in [*lines, b""]:
-        head, _, n = line.partition(b"\t")
+        head, _, n = line.partition(b"\t") if b"\t" in line else (line, b"", b"")
         words = head.split()
         shared = 0
         for a, b in zip(path, words):

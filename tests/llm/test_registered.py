@@ -31,3 +31,17 @@ def test_pipeline_keeps_one_of_each_and_all_clean_ones(spark, sf):
     mixture = corpus_pipeline.mixed(spark, single, sf)
     assert mixture.select("doc_id").distinct().count() == single.count() <= mixture.count()
     assert registered.queries()["pipeline"](spark, sf).where("n_tokens = 0").count() == 0
+
+
+def test_near_copy_stage_keeps_texts_that_share_an_id_or_have_none(spark):
+    import random
+
+    rng = random.Random(1)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(500)}" for _ in range(60)) for k in "abcd")
+    rows = [(1, a), (1, b), (None, c), (None, c), (None, d), (2, a), (3, ""), (4, None), (5, ""), (0, d + " x"), (6, "w " * 50_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(1, a), (1, b), (None, c), (3, ""), (4, None), (5, ""), (0, d + " x"), (6, "w " * 50_000)]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+    assert corpus_pipeline.ngram_jaccard(spark, docs.where("false"), "").count() == 0
