@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 one's documents. All but the last return the columns of ``documents``.
 
 - ``language_id`` drops documents that are null, have no letter, or whose likeliest language has less than half.
-- ``ngram_jaccard`` keeps of each group of near copies the document with the smallest id; documents without an id go.
+- ``ngram_jaccard`` keeps of each group of near copies the document with the smallest id (ids before none; any one of equal
+  ids). Documents without an id are kept like others, and so are different texts that share one.
 - ``suffix_dedup`` cuts out passages of over 50 words, and those of 400 bytes and more, that start anywhere else; documents left
   empty go. Words count without regard to blanks and case, so no passage is too short in bytes; the bytes are for long words.
 - ``mixing`` repeats documents of small sources until none is repeated more than twice as often as another;
@@ -36,8 +37,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    stays = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    # Rows are told apart by numbers of their own: ids may be null, or shared by different texts.
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    classes = ngram_join.join(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__row")).alias("first")
+    stays = classes.join(numbered.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first).select("first.__row")
+    return numbered.join(stays, "__row", "left_semi").select(docs.columns)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
