@@ -13,6 +13,7 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,23 @@ STRIP_SEGMENTS = 4_000
 CELL_SEGMENTS = 2_000_000
 # For unions that are one cell whatever their size.
 ONE_CELL = 1 << 62
+# Strips are cut at quantiles of this grid: at most so many strips a feature, of so many equal shares.
+GRID = 4_096
+# A sketch places a quantile within one of so many shares, a fifth of the narrowest strip.
+SKETCH_ACCURACY = 20_000
+# Where a border lies between two neighbouring quantiles: no round share, which coordinates might have too.
+BETWEEN = 0.381966
+# Borders are looked up in two steps, first among every so many.
+BORDERS_A_STEP = 64
 
 # The keys are never null (kn = 1 marks the null key), which keeps the plan free of null filters
 # that would stop Spark from sharing the segment shuffle between its two readers.
 SEGMENT_SCHEMA = "k bigint not null, kn int not null, dim int, x1 double, y1 double, x2 double, y2 double, w bigint"
+PIECE_SCHEMA = f"{SEGMENT_SCHEMA}, whole binary, alone int"
 PART_SCHEMA = "k bigint not null, kn int not null, part int, area binary, lines binary, points binary"
+SEGMENT_KEYS = ["k", "kn", "dim", "x1", "y1", "x2", "y2"]
+# Area segments whose directions cancel are gone; lines and points always count.
+COUNTS = "dim < 2 or w <> 0"
 RESULT_SCHEMA = "k bigint not null, kn int not null, part int, geometry binary"
 
 
@@ -63,10 +76,14 @@ def union_features(
     single = alike & (F.col("max_collection") == 0)
     judged = ranges.select("k", "kn", (~F.coalesce(single, F.lit(True))).alias("__split"))
 
-    of_several = pieces.join(judged.filter("__split"), ["k", "kn"], "left_semi")
-    merged = merge_keyed(of_several, strip_segments, cell_segments).withColumnRenamed("geometry", "__union")
-    of_one = pieces.filter(known).join(judged.filter("not __split"), ["k", "kn"], "left_semi")
-    alone = of_one.groupBy("k", "kn", "geometry").agg(F.count(F.lit(1)).alias("__copies")).drop("__copies").withColumnRenamed("geometry", "__one")
+    # One more pass over the pieces gives the segments of split features and the one geometry of each other feature. Both
+    # are told apart behind the shuffle, by an aggregate, so that the two readers share it.
+    raw = pieces.join(judged, ["k", "kn"]).mapInArrow(_decode_or_keep, PIECE_SCHEMA)
+    summed = raw.groupBy(*SEGMENT_KEYS, "whole").agg(F.sum("w").alias("w"), F.max("alone").alias("alone"))
+    net = summed.filter(f"alone = 0 and ({COUNTS})").select(*SEGMENT_KEYS, "w")
+    merged = merge_net(net, strip_segments, cell_segments).withColumnRenamed("geometry", "__union")
+    # The weight of a whole geometry is 0; asking for it keeps this reader's columns those of the other one.
+    alone = summed.filter("alone = 1 and w = 0").select("k", "kn", F.col("whole").alias("__one"))
     # A split feature without any segment has only empty pieces.
     merged_or_empty = F.coalesce("__union", F.lit(EMPTY_COLLECTION))
     return judged.join(merged, ["k", "kn"], "left").join(alone, ["k", "kn"], "left").select(
@@ -114,7 +131,11 @@ def merge_pieces(
 
 def merge_keyed(pieces: DataFrame, strip_segments: int, cell_segments: int) -> DataFrame:
     """(k, kn, part, geometry): the union of the pieces of each key."""
-    net = net_segments(pieces)
+    return merge_net(net_segments(pieces), strip_segments, cell_segments)
+
+
+def merge_net(net: DataFrame, strip_segments: int, cell_segments: int) -> DataFrame:
+    """(k, kn, part, geometry): the union of each key from its net segments."""
     strips = clustered(in_strips(net, strip_segments, cell_segments), ["k", "kn", "strip"])
     parts = strips.mapInArrow(_strip_boundaries, PART_SCHEMA)
     return clustered(parts, ["k", "kn", "part"]).mapInArrow(_link_parts, RESULT_SCHEMA)
@@ -137,76 +158,76 @@ def net_segments(pieces: DataFrame) -> DataFrame:
     one segment. Sums combine on the map side.
     """
     raw = pieces.mapInArrow(_decode, SEGMENT_SCHEMA)
-    return (
-        raw.groupBy("k", "kn", "dim", "x1", "y1", "x2", "y2")
-        .agg(F.sum("w").alias("w"))
-        .filter((F.col("dim") < 2) | (F.col("w") != 0))
-    )
+    return raw.groupBy(*SEGMENT_KEYS).agg(F.sum("w").alias("w")).filter(COUNTS)
 
 
 def in_strips(net: DataFrame, strip_segments: int, cell_segments: int) -> DataFrame:
-    """Segments with the strip they reach into and its bounds; small features have one strip.
+    """Segments with the strips they reach into and their bounds; small features have one strip.
 
-    Strips run along the axis on which the feature's segments are shorter; where that is x,
-    the feature is mirrored (``flip``: x and y change places, which turns directions round).
-    The table of large features has at most one row per ``strip_segments`` segments, and is
-    usually empty; the join lets Spark choose by the size it finds at run time.
+    Strips hold equal shares of a feature's segments: they are cut at quantiles of the segments' middles, read
+    from a sketch that tasks merge, so neither an outlier nor a dense spot fills one strip. They run along the axis on
+    which the segments are shorter, measured against the range of the middle 96 % of them; where that is x, the feature is
+    mirrored (``flip``: x and y change places, which turns directions round). Only large features are sketched;
+    without any, the joins below find an empty side at run time and cost nothing.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rise, run = F.sum(high - low), F.sum(F.abs(F.col("x2") - F.col("x1")))
-    tallness = rise / (F.max(high) - F.min(low))
-    wideness = run / (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")))
-    flip = F.coalesce(tallness > wideness, F.lit(False))
-    large = (
-        net.groupBy("k", "kn")
+    sizes = net.groupBy("k", "kn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > strip_segments)
+    # One folded literal: thousands of single ones would weigh the plan down.
+    ranks = F.expr(f"cast(split('{','.join(str(i / GRID) for i in range(1, GRID))}', ',') as array<double>)")
+    measured = (
+        net.join(sizes, ["k", "kn"])
+        .groupBy("k", "kn")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            flip.alias("flip"),
-            F.when(flip, F.min(F.least("x1", "x2"))).otherwise(F.min(low)).alias("bottom"),
-            F.when(flip, F.max(F.greatest("x1", "x2"))).otherwise(F.max(high)).alias("top"),
+            F.first("n").alias("n"),
+            F.sum(high - low).alias("rise"),
+            F.sum(F.abs(F.col("x2") - F.col("x1"))).alias("run"),
+            F.percentile_approx((F.col("x1") + F.col("x2")) / 2, ranks, SKETCH_ACCURACY).alias("xs"),
+            F.percentile_approx((F.col("y1") + F.col("y2")) / 2, ranks, SKETCH_ACCURACY).alias("ys"),
         )
-        .filter(F.col("n") > strip_segments)
-        .withColumn("strips", F.ceil(F.col("n") / strip_segments).cast("int"))
-        .withColumn("height", (F.col("top") - F.col("bottom")) / F.col("strips"))
-        .filter(F.col("height") > 0)
-        .withColumn("closed", (F.col("n") > cell_segments).cast("int"))
     )
-
-    def strip_of(y: Column) -> Column:
-        return F.floor((y - F.col("bottom")) / F.col("height")).cast("int")
-
-    def border(k: Column) -> Column:
-        return F.col("bottom") + k * F.col("height")
-
-    last = F.col("strips") - 1
-    reached = F.sequence(
-        F.greatest(F.lit(0), F.least(strip_of(low) - 1, last)), F.least(last, F.greatest(strip_of(high) + 1, F.lit(0)))
+    most = GRID // 50
+
+    def crossings(length: str, at: str) -> Column:
+        """How often the segments reach through the range of their middles; endless where these lie in one place."""
+        return F.coalesce(F.try_divide(F.col(length), F.get(at, F.lit(GRID - 2 - most)) - F.get(at, F.lit(most))), F.lit(float("inf")))
+
+    flip = crossings("rise", "ys") > crossings("run", "xs")
+    strips = F.least(F.ceil(F.col("n") / strip_segments), F.lit(GRID)).cast("int")
+    # A border lies between a quantile and the next larger one, off the coordinates of level segments, whose crossings would
+    # otherwise be rounded in one way as crossings and in another as places on the border.
+    at = F.transform(F.sequence(F.lit(1), strips - 1), lambda i: F.get("grid", F.floor(i * GRID / strips).cast("int") - 1))
+    cuts = F.transform(at, lambda v: v + (F.get("steps", F.array_position("steps", v).cast("int")) - v) * BETWEEN)
+    large = (
+        measured.select("k", "kn", "n", flip.alias("flip"), F.when(flip, F.col("xs")).otherwise(F.col("ys")).alias("grid"))
+        .withColumn("steps", F.array_distinct("grid"))
+        .select("k", "kn", "flip", (F.col("n") > cell_segments).cast("int").alias("closed"), F.filter(F.array_distinct(cuts), F.isnotnull).alias("borders"))
+        .withColumn("steps", F.expr(f"filter(borders, (b, i) -> i % {BORDERS_A_STEP} = {BORDERS_A_STEP - 1})"))
     )
-    infinity = F.lit(float("inf"))
     mirrored = F.coalesce("flip", F.lit(False))
-    placed = (
-        net.join(large, ["k", "kn"], "left")
-        .withColumns(
-            {
-                "x1": F.when(mirrored, F.col("y1")).otherwise(F.col("x1")),
-                "y1": F.when(mirrored, F.col("x1")).otherwise(F.col("y1")),
-                "x2": F.when(mirrored, F.col("y2")).otherwise(F.col("x2")),
-                "y2": F.when(mirrored, F.col("x2")).otherwise(F.col("y2")),
-                "w": F.when(mirrored, -F.col("w")).otherwise(F.col("w")),
-                "flip": mirrored.cast("int"),
-            }
-        )
-        .withColumn("strip", F.explode(F.when(F.col("strips").isNull(), F.array(F.lit(0))).otherwise(reached)))
-        .withColumns(
-            {
-                "lo": F.when(F.col("strip") > 0, border(F.col("strip"))).otherwise(-infinity),
-                "hi": F.when(F.col("strip") < last, border(F.col("strip") + 1)).otherwise(infinity),
-                "closed": F.coalesce("closed", F.lit(0)),
-            }
-        )
+    placed = net.join(large, ["k", "kn"], "left").withColumns(
+        {
+            "x1": F.when(mirrored, F.col("y1")).otherwise(F.col("x1")),
+            "y1": F.when(mirrored, F.col("x1")).otherwise(F.col("y1")),
+            "x2": F.when(mirrored, F.col("y2")).otherwise(F.col("x2")),
+            "y2": F.when(mirrored, F.col("x2")).otherwise(F.col("y2")),
+            "w": F.when(mirrored, -F.col("w")).otherwise(F.col("w")),
+            "flip": mirrored.cast("int"),
+            "closed": F.coalesce("closed", F.lit(0)),
+        }
     )
-    return placed.filter((high >= F.col("lo")) & (low <= F.col("hi"))).select(
-        "k", "kn", "strip", "dim", "x1", "y1", "x2", "y2", "w", "lo", "hi", "closed", "flip"
+
+    def before(y: str, compared: str) -> str:
+        """SQL for the number of borders before ``y``."""
+        step = f"{BORDERS_A_STEP} * size(filter(steps, b -> b {compared} {y}))"
+        return f"transform(array({step}), at -> at + size(filter(slice(borders, at + 1, {BORDERS_A_STEP}), b -> b {compared} {y})))[0]"
+
+    # A segment that ends on a border belongs to the strips on both sides.
+    reached = f"sequence({before('least(y1, y2)', '<')}, {before('greatest(y1, y2)', '<=')})"
+    below, above = "if(i > 0, get(borders, i - 1), double('-infinity'))", "coalesce(get(borders, i), double('infinity'))"
+    whole = "array(named_struct('strip', 0, 'lo', double('-infinity'), 'hi', double('infinity')))"
+    strip = f"if(borders is null, {whole}, transform({reached}, i -> named_struct('strip', i, 'lo', {below}, 'hi', {above})))"
+    return placed.withColumn("at", F.explode(F.expr(strip))).select(
+        "k", "kn", "at.strip", "dim", "x1", "y1", "x2", "y2", "w", "at.lo", "at.hi", "closed", "flip"
     )
 
 
@@ -215,21 +236,40 @@ def _numpy(table: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of the pieces."""
     for batch in batches:
         batch = batch.filter(batch.column("geometry").is_valid())
-        k, kn = _numpy(batch, "k", "kn")
-        row, dim, xy = segments(batch.column("geometry").to_pylist())
-        whole = Segments(row, dim, xy, np.where(dim == 2, 1, 0)).directed()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(k[row], pa.int64()),
-                pa.array(kn[row], pa.int32()),
-                pa.array(dim, pa.int32()),
-                *[pa.array(np.ascontiguousarray(whole.xy[:, c]), pa.float64()) for c in range(4)],
-                pa.array(whole.weight, pa.int64()),
-            ],
-            names=["k", "kn", "dim", "x1", "y1", "x2", "y2", "w"],
-        )
+        yield pa.RecordBatch.from_arrays(_segment_arrays(batch), names=[*SEGMENT_KEYS, "w"])
+
+
+def _segment_arrays(batch: pa.RecordBatch) -> list[pa.Array]:
+    k, kn = _numpy(batch, "k", "kn")
+    row, dim, xy = segments(batch.column("geometry").to_pylist())
+    whole = Segments(row, dim, xy, np.where(dim == 2, 1, 0)).directed()
+    return [
+        pa.array(k[row], pa.int64()),
+        pa.array(kn[row], pa.int32()),
+        pa.array(dim, pa.int32()),
+        *[pa.array(np.ascontiguousarray(whole.xy[:, c]), pa.float64()) for c in range(4)],
+        pa.array(whole.weight, pa.int64()),
+    ]
+
+
+def _decode_or_keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of the pieces of split features, and the geometries of the others as they are."""
+    names = [*SEGMENT_KEYS, "w", "whole", "alone"]
+    for batch in batches:
+        # Nulls go here: as a filter they would make Spark compute the geometry once more.
+        batch = batch.filter(batch.column("geometry").is_valid())
+        split = batch.column("__split")
+        arrays = _segment_arrays(batch.filter(split))
+        rows = len(arrays[0])
+        yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(rows, pa.binary()), pa.array(np.zeros(rows, np.int32))], names=names)
+        kept = batch.filter(pc.invert(split))
+        rows = kept.num_rows
+        empty = [pa.nulls(rows, pa.int32()), *[pa.nulls(rows, pa.float64())] * 4, pa.array(np.zeros(rows, np.int64))]
+        arrays = [kept.column("k"), kept.column("kn"), *empty, kept.column("geometry"), pa.array(np.ones(rows, np.int32))]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -267,3 +267,48 @@ def test_single_pieces_are_told_without_sorting_geometries(spark):
     assert sorted(((r[0], r[2] and bytes(r[2])) for r in found.collect()), key=str) == sorted([(1, wkb), (2, None), (None, wkb)], key=str)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "min(geometry" not in plan and "max(geometry" not in plan and "SortAggregate" not in plan
+
+
+def strip_sizes(spark, pieces, strip_segments):
+    from terrane.operators.union import in_strips, keyed, net_segments
+
+    strips = in_strips(net_segments(keyed(pieces)), strip_segments, 10**9)
+    return [r["count"] for r in strips.groupBy("strip").count().collect()]
+
+
+@pytest.mark.parametrize("far", ["1e9", "-1e7"])
+def test_an_outlier_or_a_dense_spot_fills_no_strip(spark, far):
+    """20,000 squares, half of them in a hundredth of the height, and one far away: strips hold equal shares."""
+    from terrane.functions.wkb import rectangle_wkb
+
+    y = F.when(F.col("id") % 2 == 0, F.floor(F.col("id") / 100) / 100).otherwise(F.floor(F.col("id") / 100))
+    cells = spark.range(20_001).select(
+        F.lit(1).cast("long").alias("FEATURE_ID"),
+        F.when(F.col("id") == 20_000, F.expr(f"{far}D")).otherwise((F.col("id") % 100) * 2.0).alias("x"),
+        F.when(F.col("id") == 20_000, F.expr(f"{far}D")).otherwise(y.cast("double")).alias("y"),
+    )
+    pieces = cells.select("FEATURE_ID", rectangle_wkb("x", "y", F.col("x") + 1.0, F.col("y") + 0.005).alias("geometry"))
+    found = strip_sizes(spark, pieces, 1000)
+    assert len(found) > 60 and max(found) < 2000
+    area = union_features(pieces, strip_segments=1000, cell_segments=10**9).select(wkb_area("geometry")).head()[0]
+    corners = {(r["x"], r["y"]) for r in cells.collect()}
+    # The far square's height is what doubles leave of it there.
+    height = float(far) + 0.005 - float(far)
+    assert area == pytest.approx((len(corners) - 1) * 0.005 + height, rel=1e-6)
+
+
+def test_pieces_are_decoded_once(spark):
+    """Segments of split features and geometries of the others come out of one pass and one shuffle."""
+    from terrane.functions.wkb import rectangle_wkb
+
+    x = F.col("id").cast("double")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(value):
+        seen.add(1)
+        return value
+
+    pieces = spark.range(1000).select((F.col("id") % 70).alias("FEATURE_ID"), rectangle_wkb(x, x, watched(x + 1.0), x + 1.0).alias("geometry"))
+    assert len(union_features(pieces).collect()) == 70
+    assert seen.value == 2 * 1000
