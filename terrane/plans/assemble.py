@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions.columns import col, first_row_per_key, suffix_clashes
-from terrane.functions.skew import DEFAULT_CELL_ITEMS, JOIN_KEY_ROWS, heavy_keys, spread_hot_keys
+from terrane.functions.skew import DEFAULT_CELL_ITEMS, JOIN_KEY_ROWS, hot_keys, join_spread, nothing_hot
 from terrane.operators.detect import prepare_spatial
 from terrane.operators.features import names_array, ndm_attributes
 from terrane.operators.union import CELL_SEGMENTS, STRIP_SEGMENTS, union_features
@@ -67,7 +67,7 @@ def assemble(
     ordinary rows.
     """
     if territory is None:
-        raise ValueError("territory_table is required.")
+        raise ValueError("A territory table is needed.")
     if geometry is not None:
         base, found = scan(territory), None
         shapes, found_in = prepare_spatial(geometry, declared)
@@ -90,9 +90,7 @@ def assemble(
 
     chosen = found_in or found
     if chosen is None:
-        alone = names is None and geometry is None and ndm is None
-        heavy = None if alone else heavy_keys(base, [KEY], hot_rows)
-        result = _join_all(base, grouped_names, shapes, shaped_ndm, heavy)
+        result = _join_all(base, grouped_names, shapes, shaped_ndm, hot_rows)
         return FeatureTable(result, False, None, tuple(inputs))
 
     source = shapes if found_in else base
@@ -127,19 +125,25 @@ def _join_all(
     names: DataFrame | None,
     geometry: DataFrame | None,
     ndm: DataFrame | None,
-    heavy: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """The joins in their fixed order, with each table's own suffix for clashing columns.
 
-    ``heavy`` lists features that the territory holds very often; their rows are split up.
+    With ``hot_rows`` a feature with more rows than that, in the territory or in the joined table, is split up.
     """
     result = base
+    left_hot = None if hot_rows is None else hot_keys(base, col(KEY), hot_rows)
     for right, suffix in ((names, "_right"), (geometry, "_GEOMETRY"), (ndm, "_right")):
         if right is None:
             continue
+        # Names have one row a feature already, or one a part: only the other tables can hold a feature very often.
+        rows = None if right is names else hot_rows
         right, _ = suffix_clashes(result, right, KEY, suffix)
-        left, spread, keys = spread_hot_keys(result, right, KEY, heavy)
-        result = left.join(spread, keys, "left").drop("__slot")
+        if left_hot is None:
+            result = result.join(right, KEY, "left")
+        else:
+            right_hot = nothing_hot("bigint") if rows is None else hot_keys(right, col(KEY), rows)
+            result = join_spread(result, right, KEY, left_hot, right_hot)
     if names is not None:
         result = result.withColumn("NAMES_PART", F.coalesce("NAMES_PART", F.lit(0)))
     return result

@@ -2,7 +2,9 @@ import json
 
 import pytest
 
-from terrane.functions.skew import heavy_keys, spread_hot_keys
+from pyspark.sql import functions as F
+
+from terrane.functions.skew import hot_keys, nothing_hot, spread_hot_keys
 from terrane.plans.assemble import assemble
 
 NAMES = (
@@ -31,7 +33,7 @@ def names(spark):
 
 
 def test_territory_is_required():
-    with pytest.raises(ValueError, match="territory_table is required"):
+    with pytest.raises(ValueError, match="territory table is needed"):
         assemble(None)
 
 
@@ -120,7 +122,37 @@ def test_hot_features_are_split_in_the_joins(spark, names):
     assert "__slot" not in split.columns
     assert sorted(split.collect(), key=key) == plain
     assert len(plain) == 2 * 400 + 300 + 500
-    heavy = heavy_keys(territory, ["FEATURE_ID"], 40)
-    left, right, keys = spread_hot_keys(territory, notes, "FEATURE_ID", heavy)
-    sizes = [r["count"] for r in left.filter("FEATURE_ID = 1 or FEATURE_ID is null").groupBy(*keys).count().collect()]
-    assert len(sizes) > 20 and max(sizes) < 120
+    hot = hot_keys(territory, F.col("FEATURE_ID"), 40)
+    left, right, keys = spread_hot_keys(territory, notes, "FEATURE_ID", hot, nothing_hot("bigint"))
+    sizes = [r["count"] for r in left.filter("FEATURE_ID = 1").groupBy(*keys).count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 100
+
+
+def test_hot_features_of_the_joined_table_are_split(spark, names):
+    """A feature with most of the rows on the right, one hot on both sides, and left rows that find no partner."""
+    territory = spark.createDataFrame([(i, f"t{i}") for i in range(30)] + [(2, f"u{i}") for i in range(90)], "FEATURE_ID bigint, NAME string")
+    notes = [(1, f"n{i // 2}") for i in range(300)] + [(2, f"m{i}") for i in range(70)] + [(i, "x") for i in range(20, 40)] + [(None, "y")] * 200
+    notes = spark.createDataFrame(notes, "FEATURE_ID bigint, NOTE string").repartition(5)
+    key = lambda r: str(tuple(r))
+    plain = sorted(assemble(territory, names, notes).dataframe.collect(), key=key)
+    split = assemble(territory, names, notes, hot_rows=40).dataframe
+    assert sorted(split.collect(), key=key) == plain
+    assert len(plain) == 300 + 91 * 70 + 28
+    hot = hot_keys(notes, F.col("FEATURE_ID"), 40)
+    _, right, keys = spread_hot_keys(territory, notes, "FEATURE_ID", nothing_hot("bigint"), hot)
+    sizes = [r["count"] for r in right.filter("FEATURE_ID = 1").groupBy(*keys).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 60
+
+
+def test_planning_starts_no_job(spark, territory, names):
+    from terrane.operators.features import names_array
+    from terrane.plans.assemble import _join_all
+
+    notes = spark.createDataFrame([(1, "x")], "FEATURE_ID bigint, NOTE string")
+    spark.sparkContext.setJobGroup("planning", "")
+    try:
+        joined = _join_all(territory, names_array(names), notes, None, hot_rows=10)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert joined.count() == 4

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import first_row_per_key, left_join_suffixed, strict_rename
-from terrane.functions.skew import bounded_broadcast, collect_in_parts
+from terrane.functions.skew import collect_in_parts
 from terrane.operators.features import NAME_FIELDS, names_array, ndm_attributes
 
 NAMES = (
@@ -40,10 +40,15 @@ def test_hot_feature_keeps_every_name(spark):
     whole = {r["FEATURE_ID"]: r["NAMES_ARRAY"] for r in names_array(df).collect()}
     parts = names_array(df, cell_items=50).collect()
     hot = [json.loads(r["NAMES_ARRAY"]) for r in parts if r["FEATURE_ID"] == 7]
-    assert len(hot) > 10 and max(map(len, hot)) <= 200
+    assert len(hot) > 10 and max(map(len, hot)) <= 50
     key = lambda r: json.dumps(r)
     assert sorted((r for p in hot for r in p), key=key) == sorted(json.loads(whole[7]), key=key)
-    assert {r["NAMES_PART"] for r in parts if r["FEATURE_ID"] == 7} >= {0}
+    numbers = [r["NAMES_PART"] for r in parts if r["FEATURE_ID"] == 7]
+    assert min(numbers) == 0 and len(set(numbers)) == len(numbers)
+    # The order goes on from part to part.
+    in_order = [n for _, p in sorted(zip(numbers, hot), key=lambda x: x[0]) for n in p]
+    ordered = [(n["NAME_RANK"], json.dumps(n, separators=(",", ":"))) for n in in_order]
+    assert ordered == sorted(ordered)
     assert {r["FEATURE_ID"]: r["NAMES_ARRAY"] for r in parts if r["FEATURE_ID"] != 7} == {
         k: v for k, v in whole.items() if k != 7
     }
@@ -57,15 +62,7 @@ def test_parts_of_null_and_compound_keys(spark):
     for key in ("a", None):
         values = sorted(i["v"] for r in found if r["k"] == key for i in r["items"])
         assert values == sorted(i % 7 for i in range(60) if (i % 2 == 0) == (key == "a"))
-    assert all(len(r["items"]) <= 30 for r in found)
-
-
-def test_bounded_broadcast_checks_the_size(spark):
-    assert bounded_broadcast(spark.range(0)) is None
-    small = bounded_broadcast(spark.range(3), 5)
-    assert "broadcast" in small._jdf.queryExecution().toString().lower()
-    large = spark.range(9)
-    assert bounded_broadcast(large, 5) is large
+    assert all(len(r["items"]) <= 4 for r in found)
 
 
 NDM = (
