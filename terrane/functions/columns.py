@@ -74,6 +74,17 @@ def suffix_clashes(
     return right.withColumnsRenamed(renames), renames
 
 
+def places_before(ordered: str, value: Column, strict: bool, step: int = 64) -> Column:
+    """How many entries of the sorted array column ``ordered`` come before ``value`` (or equal it, unless ``strict``).
+
+    The array is looked through in two steps, first every so many entries. A null value comes before all.
+    """
+    before = (lambda b: b < value) if strict else (lambda b: b <= value)
+    steps = F.filter(F.col(ordered), lambda b, i: i % step == step - 1)
+    start = F.size(F.filter(steps, before)) * step
+    return start + F.size(F.filter(F.slice(F.col(ordered), start + 1, F.lit(step)), before))
+
+
 def orderable(dtype: T.DataType) -> bool:
     if isinstance(dtype, (T.MapType, T.VariantType, T.GeographyType, T.GeometryType)):
         return False

@@ -189,3 +189,25 @@ def test_moments_equal_the_covariances(spark):
         m = found[r[0]]
         assert (m.n, m.mean[1], m.cross[0, 1] / m.n, m.cross[2, 1] / m.n) == pytest.approx(tuple(r)[1:])
     assert duration.collect_moments(df.where("false"), names) == {}
+
+
+def test_ranks_start_no_job_and_follow_the_partitions(spark):
+    from terrane.functions.ranking import ordered_rank, shuffled_rank
+
+    rows = [(i * 37 % 1009, i) for i in range(1009)] + [(None, 1), (5, 2), (5, 3)]
+    df = spark.createDataFrame(rows, "id bigint, v int").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("3", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.sparkContext.setJobGroup(f"ranking {partitions}", "")
+        try:
+            ranked, dealt = ordered_rank(df, "id"), shuffled_rank(df, "id", 3)
+            assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ranking {partitions}")) == []
+            found = sorted((r["rank"], r["id"]) for r in ranked.collect())
+            assert [r for r, _ in found] == list(range(1, len(rows) + 1))
+            assert [i for _, i in found] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+            assert sorted(r["rank"] for r in dealt.collect()) == list(range(1, len(rows) + 1))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert ordered_rank(df.where("false"), "id").count() == 0
