@@ -180,7 +180,7 @@ def resolve_table_set(groups: DataFrame, group_key: str) -> DataFrame:
         "__n", F.count(F.lit(1)).over(W.partitionBy("group_key"))
     )
     guard = F.when(
-        F.col("__n") > 1, F.raise_error(F.lit("Group Key must contain at most 1 row")).cast("string")
+        F.col("__n") > 1, F.raise_error(F.lit("more than one table set has this group key")).cast("string")
     ).otherwise(F.col("group_key"))
     return counted.withColumn("group_key", guard).drop("__n")
 

@@ -244,7 +244,7 @@ class DurationModel:
             lacks.alias("missing_fields"),
             seconds.alias("__seconds"),
         )
-        message = F.concat(F.lit("Cannot predict query duration. Missing required fields: "), F.col("missing_fields"))
+        message = F.concat(F.lit("no prediction without: "), F.col("missing_fields"))
         absent = F.raise_error(message).cast("double") if strict else F.lit(None).cast("double")
         return scored.withColumn(
             "predicted_seconds", F.when(F.col("missing_fields") != "", absent).otherwise(F.col("__seconds"))
@@ -305,7 +305,7 @@ def _cross_moments(rows: DataFrame, names: Sequence[str], k: int) -> dict[int, M
     moments = collect_moments(rows, names)
     if len(moments) < k:
         count = sum(m.n for m in moments.values())
-        raise ValueError(f"Cannot have number of splits n_splits={k} greater than the number of samples: {count}.")
+        raise ValueError(f"{k} folds need as many records with a duration; there are {count}.")
     return moments
 
 

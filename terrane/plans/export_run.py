@@ -51,7 +51,7 @@ class RunLog:
     def register(self, table_set: TableSet) -> int:
         """Record a new run with status UNKNOWN; returns its id."""
         if table_set.territory_table is None:
-            raise ValueError("Territory_Table cannot be None.")
+            raise ValueError("A run needs a territory table.")
         run_id = uuid.uuid4().int >> 65
         now = datetime.now(UTC)
         self.append(

@@ -109,7 +109,7 @@ def test_resolving_a_table_set(spark):
     found = catalog.collect_table_set(groups, "A_1")
     assert found == catalog.TableSet("A_1", "A_TERRITORY_1", None, "A_1_NDM_DATA", "A_TERRITORY_NAME_1")
     assert catalog.collect_table_set(groups, "B_1") is None
-    with pytest.raises(Exception, match="at most 1 row"):
+    with pytest.raises(Exception, match="more than one table set"):
         catalog.resolve_table_set(groups.union(groups), "A_1").collect()
 
 
