@@ -40,26 +40,49 @@ def status_revisions(
     (worker, time bucket), and only one summary row per bucket meets in the worker's own
     window, giving each bucket the status it starts from and the revisions before it.
     """
-    cut = events.select(
+    cut = events.select("ts", "event_id", "worker_id", "status", bucket_of(F.col("ts"), bucket_seconds).alias("bucket"))
+    local = bucket_changes(cut)
+    offsets = bucket_offsets(bucket_summaries(local), carry)
+    kept = local.join(offsets, ["worker_id", "bucket"]).filter(
+        F.col("__change") | ((F.col("__place") == 1) & F.col("__entry"))
+    )
+    return kept.select(
+        "worker_id",
         "ts",
         "event_id",
-        "worker_id",
         "status",
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("bucket"),
+        (F.col("__offset") + F.col("__local") + F.col("__entry").cast("long")).alias("revision"),
     )
+
+
+def bucket_of(ts: Column, bucket_seconds: int) -> Column:
+    """Number of the time bucket an event falls into."""
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
+
+
+def bucket_changes(cut: DataFrame) -> DataFrame:
+    """Events with their place in (worker, bucket), whether they change the status there, and the changes so far."""
     inside = W.partitionBy("worker_id", "bucket").orderBy("ts", "event_id")
-    # Inside a bucket the first row has nothing before it; it is judged against the carry below.
-    local = (
+    # Inside a bucket the first row has nothing before it; it is judged against the bucket before.
+    return (
         cut.withColumn("__place", F.row_number().over(inside))
         .withColumn("__change", (F.col("__place") > 1) & ~F.lag("status").over(inside).eqNullSafe(F.col("status")))
         .withColumn("__local", F.sum(F.col("__change").cast("long")).over(inside))
     )
+
+
+def bucket_summaries(local: DataFrame) -> DataFrame:
+    """First and last status and number of changes of each (worker, bucket)."""
     order = F.struct("ts", "event_id")
-    summary = local.groupBy("worker_id", "bucket").agg(
+    return local.groupBy("worker_id", "bucket").agg(
         F.min_by("status", order).alias("__first"),
         F.max_by("status", order).alias("__last"),
         F.max("__local").alias("__changes"),
     )
+
+
+def bucket_offsets(summary: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """Whether the first event of each bucket changes the status (``__entry``), and the revisions before it (``__offset``)."""
     worker = W.partitionBy("worker_id").orderBy("bucket")
     before = worker.rowsBetween(W.unboundedPreceding, -1)
     if carry is None:
@@ -73,21 +96,11 @@ def status_revisions(
     previous = F.lag(F.struct(F.col("__last").alias("status"))).over(worker)
     entering = F.when(previous.isNull(), F.col("__start.status")).otherwise(previous["status"])
     earlier = F.sum(F.col("__changes") + F.col("__entry").cast("long")).over(before)
-    carried = (
+    return (
         summary.withColumn("__entry", ~entering.eqNullSafe(F.col("__first")))
         .withColumn("__offset", F.coalesce(earlier, F.lit(0)) + F.col("__start.revision"))
         .select("worker_id", "bucket", "__entry", "__offset")
     )
-    kept = local.join(carried, ["worker_id", "bucket"]).filter(
-        F.col("__change") | ((F.col("__place") == 1) & F.col("__entry"))
-    )
-    return kept.select(
-        "worker_id",
-        "ts",
-        "event_id",
-        "status",
-        (F.col("__offset") + F.col("__local") + F.col("__entry").cast("long")).alias("revision"),
-    )
 
 
 def carry_after(events: DataFrame, revisions: DataFrame, carry: DataFrame | None = None) -> DataFrame:
