@@ -21,9 +21,10 @@ from terrane.functions.columns import first_row_per_key, left_join_suffixed  # n
 from terrane.functions.ranking import contiguous_folds, shuffled_folds  # noqa: E402
 from terrane.operators import catalog, detect, duration, features, history, status, union  # noqa: E402
 from terrane.plans.assemble import assemble  # noqa: E402
-from terrane.session import ship  # noqa: E402
+from terrane.session import shared_folder, ship  # noqa: E402
 from terrane.sinks.prepare import narrow_decimals  # noqa: E402
 from terrane.sources import standins, tables  # noqa: E402
+from terrane.streaming import event_time, status_stream  # noqa: E402
 
 # The corpus operators and their pipeline may be absent; an error inside them is not hidden.
 corpus = pipeline = None
@@ -465,6 +466,21 @@ def status_revisions(spark: SparkSession, sf: str) -> DataFrame:
     return status.status_revisions(standins.status_events(spark, sf))
 
 
+def status_event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The revisions of ``status_revisions`` from a stream whose three micro-batches come in no order of time."""
+    folder = shared_folder(spark)
+    arriving = standins.status_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    arriving = arriving.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int"))
+    arriving.write.partitionBy("part").parquet(f"{folder}/in")
+    files = len(spark.read.parquet(f"{folder}/in").inputFiles())
+    events = status_stream.read_events(spark, f"{folder}/in", max_files_per_trigger=-(-files // 3))
+    pages = event_time.status_pages(events, bucket_seconds=6 * 3600, delay="12 hours")
+    query = event_time.write_pages(pages, f"{folder}/pages", f"{folder}/check", available_now=True)
+    query.awaitTermination()
+    numbered = event_time.revisions(spark.read.schema(event_time.PAGE_SCHEMA).parquet(f"{folder}/pages"))
+    return numbered.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def status_current(spark: SparkSession, sf: str) -> DataFrame:
     return status.current_status(standins.status_events(spark, sf))
 
@@ -500,7 +516,7 @@ _QUERIES: list[Query] = [
     exports_history, training_set, training_count, latest_model, models_packaged, actual_duration, run_log_state,
     duration_features, role_one_hot, contiguous_fold_sizes, shuffled_fold_of_record, ridge_fold_stats, ridge_fit,
     ridge_predict, ridge_tune, ridge_kfold_mae,
-    status_revisions, status_current, export_progress, downloads_per_group, session_downloads,
+    status_revisions, status_event_stream, status_current, export_progress, downloads_per_group, session_downloads,
 ]
 
 
@@ -711,6 +727,11 @@ def _own_sql() -> dict[str, str]:
     linear = " + ".join(f"coefficients[{i + 1}] * ({x})" for i, x in enumerate(inputs))
     alphas = "[" + ", ".join(f"{a}::double" for a in duration.ALPHAS) + "]"
     lists = ", ".join(f"coalesce(array_to_string({k}, ','), '') as {k}_tables" for k in catalog.TABLE_TYPES)
+    revisions = f"""with {_STATUS},
+        changed as (select *, lag(status, 1, 'IDLE') over (partition by worker_id order by ts, event_id) as was from ev)
+        select worker_id, ts, event_id, status,
+          row_number() over (partition by worker_id order by ts, event_id) as revision
+        from changed where status <> was"""
     return {
         "list_tables_like": f"with {_CATALOG} select table_name, created from cat where {_TABLES_SCHEMA} = 'APP' "
         r"and (table_name like 'N%_TERRITORY_%') order by created desc nulls first",
@@ -880,11 +901,8 @@ def _own_sql() -> dict[str, str]:
             select round(avg(abs(exp(y) - exp(intercept + {linear}))), 6) as mae_seconds, count(*) as record_count,
               5::int as folds
             from shuffled join models on fold = hold""",
-        "status_revisions": f"""with {_STATUS},
-            changed as (select *, lag(status, 1, 'IDLE') over (partition by worker_id order by ts, event_id) as was from ev)
-            select worker_id, ts, event_id, status,
-              row_number() over (partition by worker_id order by ts, event_id) as revision
-            from changed where status <> was""",
+        "status_revisions": revisions,
+        "status_event_stream": revisions,
         "status_current": f"""with {_STATUS} select worker_id, status from ev
             qualify row_number() over (partition by worker_id order by ts desc, event_id desc) = 1""",
         "export_progress": f"""with {_STATUS},

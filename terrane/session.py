@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,3 +27,11 @@ def ship(spark: SparkSession) -> SparkSession:
             packed.write(module, Path(root.name) / module.relative_to(root))
     context.addPyFile(str(archive))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under the folder that ``spark.checkpoint.dir`` names; one is set only where there is none, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
