@@ -125,7 +125,10 @@ def test_export_run(spark, jts, tmp_path):
     done = export_table_set(
         log, TableSet("A_1", "A_TERRITORY_1", "A_1_GEOMETRY_DATA"), tables.__getitem__, str(tmp_path / "out"), on_status=seen.append
     )
-    assert seen == ["FETCHING_TABLES", "EXPORTING_FILE", "COMPLETED"]
+    fetched = ["FETCHING_TABLES", "FETCHING_TERRITORY", "FETCHING_GEOMETRY"]
+    assert seen == [*fetched, "JOINING_TABLES", "CONVERTING_GEOMETRY", "EXPORTING_FILE", "FINALIZING", "COMPLETED"]
+    steps = [r["status"] for r in log.status_steps().filter(F.col("id") == done).orderBy("step").collect()]
+    assert steps == ["UNKNOWN", *fetched, "IN_PROGRESS", *seen[3:]]
     with pytest.raises(ValueError, match="Geometry column"):
         export_table_set(log, TableSet("A_1", "A_TERRITORY_1"), tables.__getitem__, str(tmp_path / "out"))
     with pytest.raises(ValueError, match="needs a territory table"):
