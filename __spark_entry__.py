@@ -21,6 +21,7 @@ from terrane.functions.columns import first_row_per_key, left_join_suffixed  # n
 from terrane.functions.ranking import contiguous_folds, shuffled_folds  # noqa: E402
 from terrane.operators import catalog, detect, duration, features, history, status, union  # noqa: E402
 from terrane.plans.assemble import assemble  # noqa: E402
+from terrane.plans.export_run import RunLog  # noqa: E402
 from terrane.session import shared_folder, ship  # noqa: E402
 from terrane.sinks.prepare import narrow_decimals  # noqa: E402
 from terrane.sources import standins, tables  # noqa: E402
@@ -360,8 +361,8 @@ def actual_duration(spark: SparkSession, sf: str) -> DataFrame:
     return history.actual_durations(standins.exports(spark, sf))
 
 
-def run_log_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Current state of each run from its registration, start and finish events."""
+def _run_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Registration, start and finish events of each run."""
     runs = standins.exports(spark, sf)
 
     def event(place: int, state: Column, started: Column, path: Column) -> Column:
@@ -379,8 +380,24 @@ def run_log_state(spark: SparkSession, sf: str) -> DataFrame:
         event(2, F.lit("IN_PROGRESS"), F.col("fetch_timestamp"), none),
         F.when(F.col("status") != "IN_PROGRESS", event(3, F.col("status"), none, done)),
     )
-    log = runs.select("id", F.inline(F.filter(events, lambda e: e.isNotNull())))
-    return history.latest_runs(log)
+    return runs.select("id", F.inline(F.filter(events, lambda e: e.isNotNull())))
+
+
+def run_log_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Current state of each run from its registration, start and finish events."""
+    return history.latest_runs(_run_events(spark, sf))
+
+
+def run_log_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same state from a run log that takes the events in out of order, some of them twice, as two snapshots."""
+    events = _run_events(spark, sf).selectExpr(
+        "id", "event_seq as step", "status", "cast(started as timestamp) as fetch_timestamp", "path as output_path"
+    )
+    log = RunLog(spark, shared_folder(spark))
+    log.load(events.filter("step <> 2"))
+    log.load(events.filter("step <> 3"))
+    started = F.col("fetch_timestamp").cast("timestamp_ntz").alias("started")
+    return log.runs().select("id", "status", started, F.col("output_path").alias("path"))
 
 
 # Duration model
@@ -513,7 +530,7 @@ _QUERIES: list[Query] = [
     names_array, territory_with_names, ndm_shape, territory_full_attributes, first_row_of_names, suffixed_join,
     feature_union_area, feature_union_overlap, feature_union_lines, collection_union, flagship_features,
     territory_own_geometry, decimal_narrow,
-    exports_history, training_set, training_count, latest_model, models_packaged, actual_duration, run_log_state,
+    exports_history, training_set, training_count, latest_model, models_packaged, actual_duration, run_log_state, run_log_snapshot,
     duration_features, role_one_hot, contiguous_fold_sizes, shuffled_fold_of_record, ridge_fold_stats, ridge_fit,
     ridge_predict, ridge_tune, ridge_kfold_mae,
     status_revisions, status_event_stream, status_current, export_progress, downloads_per_group, session_downloads,
@@ -727,6 +744,8 @@ def _own_sql() -> dict[str, str]:
     linear = " + ".join(f"coefficients[{i + 1}] * ({x})" for i, x in enumerate(inputs))
     alphas = "[" + ", ".join(f"{a}::double" for a in duration.ALPHAS) + "]"
     lists = ", ".join(f"coalesce(array_to_string({k}, ','), '') as {k}_tables" for k in catalog.TABLE_TYPES)
+    run_states = f"""with {_EXPORTS} select id, status, fetch_timestamp as started,
+        case when status = 'COMPLETED' then output_path end as path from exports"""
     revisions = f"""with {_STATUS},
         changed as (select *, lag(status, 1, 'IDLE') over (partition by worker_id order by ts, event_id) as was from ev)
         select worker_id, ts, event_id, status,
@@ -858,8 +877,8 @@ def _own_sql() -> dict[str, str]:
             concat('ExportDurationRidge_', s_name) as name, 'ridge' as type, cast(s_nationkey + 1 as varchar) as alpha,
             '5' as folds, concat('models/', s_name) as artifact_path from supplier""",
         "actual_duration": f"with {_EXPORTS} select id, seconds from exports",
-        "run_log_state": f"""with {_EXPORTS} select id, status, fetch_timestamp as started,
-            case when status = 'COMPLETED' then output_path end as path from exports""",
+        "run_log_state": run_states,
+        "run_log_snapshot": run_states,
         "duration_features": f"""with {_EXPORTS}, {_FEATURES.format(source="perf")}
             select id, {feature_list}, round(y, 6) as log_seconds from feats""",
         "role_one_hot": f"""with {_EXPORTS} select id, cast((id // 4) % 2 as int) as NDM_table,
