@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from terrane.llm.common import without
 
 SPACE = "▁"
-#: A worker keeps twice so many stretches, none longer than the limit, and so many tested pairs.
+#: A worker keeps twice so many stretches, none longer than the limit, and twice so many tested pairs, from task to task.
 REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
-PAIRS_REMEMBERED = 300_000
+PAIRS_REMEMBERED = 150_000
 
 
 class Pieces:
@@ -49,6 +49,7 @@ class Pieces:
         self.unknown = held.unk_id()
         self.characters = {p for p in self.id_of if len(p) == 1}
         self.follow: defaultdict[str, dict[str, bool]] = defaultdict(dict)
+        self._followed: defaultdict[str, dict[str, bool]] = defaultdict(dict)
         self._tested = 0
         self.encoded: dict[str, tuple[int, str, str]] = {}
         self._older: dict[str, tuple[int, str, str]] = {}
@@ -102,10 +103,16 @@ class Pieces:
     def may_follow(self, left: str, right: str) -> bool:
         """Whether merging the joined text of two pieces gives these two; remembered."""
         if self._tested >= PAIRS_REMEMBERED:
+            # The generation before the last goes; the dictionary itself stays, as callers hold it.
+            self._followed = self.follow.copy()
             self.follow.clear()
             self._tested = 0
         self._tested += 1
-        found = self.follow[left][right] = self.merged(left + right) == [left, right]
+        older = self._followed.get(left)
+        found = None if older is None else older.get(right)
+        if found is None:
+            found = self.merged(left + right) == [left, right]
+        self.follow[left][right] = found
         return found
 
     def split(self, text: str) -> list[str]:
@@ -187,12 +194,6 @@ class Pieces:
             self.encoded[text] = found
         return found
 
-    def forget(self) -> None:
-        """Drop what was remembered: a worker may live on with other work."""
-        self.encoded, self._older = {}, {}
-        self.follow.clear()
-        self._tested = 0
-
     def whole(self, text: str) -> tuple[int, str, str]:
         """The same for a whole text: the blank put before it is taken off again."""
         if not text:
@@ -240,7 +241,6 @@ def encode(df: DataFrame, proto: bytes, text: str = "text") -> DataFrame:
         held = pieces_of(proto)
         for series in texts:
             yield pd.DataFrame([held.whole(x or "") for x in series], columns=["n_tokens", "ids", "decoded"])
-        held.forget()
 
     made = F.pandas_udf(run, "n_tokens long, ids string, decoded string")
     return plain.withColumn("__made", made(F.col(text))).select(*[F.col(f"`{c}`") for c in plain.columns], "__made.*")
@@ -258,7 +258,6 @@ def digests(df: DataFrame, proto: bytes, text: str = "text") -> DataFrame:
                 n, ids, shown = held.whole(x or "")
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode("utf-8")).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        held.forget()
 
     made = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return plain.withColumn("__made", made(F.col(text))).select(*[F.col(f"`{c}`") for c in plain.columns], "__made.*")
