@@ -60,11 +60,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and its lineage cut."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: computed once, its lineage cut and its shuffle files gone."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more: what was made of it is written too."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -86,7 +104,8 @@ def components(links: DataFrame) -> DataFrame:
         lowest = down.groupBy("a").agg(F.min("b").alias("least"))
         moved = down.join(lowest, "a").select(F.col("b").alias("x"), "least").where("x <> least")
         small = moved.unionByName(lowest.select(F.col("a").alias("x"), "least")).select(F.col("x").alias("a"), F.col("least").alias("b"))
-        edges = written(small.distinct())
+        older, edges = edges, written(small.distinct())
+        dropped(older)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import components, written
+from terrane.llm.common import components, dropped, written
 
 #: Signatures have about a bit for each n-gram, between these bounds; a longer one folds to any shorter one. Pairs
 #: that pass meet wide ones, with so many times the bits, before their sets are fetched.
@@ -56,9 +56,8 @@ def _grow(n: int) -> None:
         _inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, inverse)]))
 
 
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text; all words as one if there are fewer, none without words."""
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+def words_of(raw: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words among the bytes of a text, A to Z in lower case."""
     word = ~_BLANK[raw]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
@@ -67,7 +66,14 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     _grow(len(raw) + 1)
     summed = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _powers[: len(raw)], out=summed[1:])
-    words = _mixed((summed[ends] - summed[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    return _mixed((summed[ends] - summed[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+
+
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word n-grams of a text; all words as one if there are fewer, none without words."""
+    words = words_of(np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8))
+    if not len(words):
+        return words
     width = min(n, len(words))
     count = len(words) - width + 1
     found = np.full(count, np.uint64(width), dtype=np.uint64)
@@ -115,17 +121,17 @@ def _described(df: DataFrame, n: int, percent: int, common: np.ndarray) -> DataF
             for key, text in zip(batch["__key"], batch["__text"], strict=True):
                 held = shingles(text, n)
                 if not len(held):
-                    rows.append((key, None, 0, None, None, None))
+                    rows.append((key, None, 0, None, None))
                     continue
                 last = np.isin(held, common, assume_unique=True)
                 prefix = np.concatenate([held[~last], held[last]])[: len(held) - needed(len(held), percent) + 1]
                 kind = int.from_bytes(hashlib.blake2b(held.tobytes(), digest_size=8).digest(), "big", signed=True)
-                rows.append((key, kind, len(held), signature(held), signature(held, WIDER), prefix.view(np.int64)))
+                rows.append((key, kind, len(held), signature(held), prefix.view(np.int64)))
             # Objects: a column of integers and nulls would pass through floats.
-            yield pd.DataFrame(rows, columns=["key", "kind", "n", "signature", "wide", "prefix"], dtype=object).astype({"kind": "Int64", "n": "int64"})
+            yield pd.DataFrame(rows, columns=["key", "kind", "n", "signature", "prefix"], dtype=object).astype({"kind": "Int64", "n": "int64"})
 
     keyed = df.select(F.col("__key").cast("string").alias("__key"), "__text")
-    made = keyed.mapInPandas(run, "key string, kind long, n long, signature binary, wide binary, prefix array<long>")
+    made = keyed.mapInPandas(run, "key string, kind long, n long, signature binary, prefix array<long>")
     return made.withColumn("key", F.col("key").cast("long"))
 
 
@@ -199,9 +205,30 @@ def _first_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return turned.distinct()
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, column: str) -> DataFrame:
+def _chosen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(kind, __key) of the classes in ``pairs``: a row that has the text of each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
+    return classes.select("kind", "first").join(wanted, "kind").select("kind", F.col("first").alias("__key"))
+
+
+def _wide(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(kind, n, signature) with wide signatures, made from the texts of the classes in ``pairs`` alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = [shingles(t, n) for t in batch["__text"]]
+            mine = [int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "big", signed=True) for h in held]
+            same = batch["kind"].to_numpy() == np.array(mine, dtype=np.int64)
+            rows = [(k, len(h), signature(h, WIDER)) for k, h, s in zip(batch["kind"].tolist(), held, same, strict=True) if s]
+            yield pd.DataFrame(rows, columns=["kind", "n", "signature"])
+
+    made = texts.join(_chosen(pairs, classes), "__key").select("kind", "__text")
+    return made.mapInPandas(run, "kind long, n long, signature binary").dropDuplicates(["kind"])
+
+
+def _bounded(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures allow enough overlap."""
-    a, b = (classes.select(F.col("kind").alias(x), F.col("n").alias(f"{x}_n"), F.col(column).alias(f"s{x}")) for x in "ab")
+    a, b = (signatures.select(F.col("kind").alias(x), F.col("n").alias(f"{x}_n"), F.col("signature").alias(f"s{x}")) for x in "ab")
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
 
     @F.pandas_udf("boolean")
@@ -222,8 +249,6 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int, column: str) ->
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs that link, by the intersection of their sorted n-gram arrays."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
-    chosen = classes.select("kind", "first").join(wanted, "kind").select("kind", F.col("first").alias("__key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -232,7 +257,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, pe
             out = pd.DataFrame({"kind": batch["kind"], "grams": held})
             yield out[batch["kind"].to_numpy() == np.array(mine)]
 
-    sets = texts.join(chosen, "__key").select("kind", "__text").mapInPandas(run, "kind long, grams binary")
+    sets = texts.join(_chosen(pairs, classes), "__key").select("kind", "__text").mapInPandas(run, "kind long, grams binary")
     sets = written(sets.dropDuplicates(["kind"]))
 
     @F.pandas_udf("boolean")
@@ -247,7 +272,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, pe
         return pd.Series(out, dtype=bool)
 
     paired = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return paired.where(linked("x", "y")).select("a", "b")
+    found = written(paired.where(linked("x", "y")).select("a", "b"))
+    dropped(sets)
+    return found
 
 
 def _second_pairs(tiles: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -322,29 +349,41 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
     """
     texts = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
     described = written(_described(texts, n, percent, _common(texts, n)))
-    kinds = described.where("kind is not null")
-    narrow = kinds.groupBy("kind").agg(F.min("key").alias("first"), F.min("n").alias("n"))
+    named = written(described.select("key", "kind", "n"))
+    narrow = named.where("kind is not null").groupBy("kind").agg(F.min("key").alias("first"), F.min("n").alias("n"))
+    # One row a class: prefixes and signatures of its other rows are equal, and go.
     classes = written(
-        kinds.select("kind", F.col("key").alias("first"), "signature", "wide", "prefix")
-        .join(narrow, ["kind", "first"], "left_semi")
+        described.withColumnRenamed("key", "first")
+        .join(narrow.select("kind", "first"), ["kind", "first"], "left_semi")
         .dropDuplicates(["kind"])
-        .join(narrow, ["kind", "first"])
-        .select("kind", "first", "n", "signature", "wide", "prefix")
+        .select("kind", "first", "n", "signature", "prefix")
     )
+    dropped(described)
     tiles = written(_tiles(classes, percent))
-    passed = written(_bounded(_first_pairs(tiles, percent), classes, percent, "signature"))
-    near = written(_bounded(passed, classes, percent, "wide"))
+    signed = written(classes.drop("prefix"))
+    dropped(classes)
+    passed = written(_bounded(_first_pairs(tiles, percent), signed, percent))
+    wide = written(_wide(passed, signed, texts, n))
+    near = written(_bounded(passed, wide, percent))
+    dropped(wide)
+    dropped(passed)
     # One partner for each class first, so that a set travels about once; then what that left apart.
-    linked = written(_verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, texts, n, percent))
+    linked = _verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), signed, texts, n, percent)
     found = components(linked)
-    for later in (lambda: _apart(near, found), lambda: _bounded(written(_second_pairs(tiles, classes, found, percent)), classes, percent, "wide")):
-        more = written(later())
+    more = written(_apart(near, found))
+    dropped(near)
+    if not more.isEmpty():
+        linked = written(linked.unionByName(_verified(more, signed, texts, n, percent)))
+        found = components(linked)
+    second = written(_second_pairs(tiles, signed, found, percent))
+    dropped(tiles)
+    if not second.isEmpty():
+        more = written(_bounded(second, written(_wide(second, signed, texts, n)), percent))
         if not more.isEmpty():
-            linked = written(linked.unionByName(_verified(more, classes, texts, n, percent)))
-            found = components(linked)
+            found = components(linked.unionByName(_verified(more, signed, texts, n, percent)))
     smallest = found.join(narrow.select(F.col("kind").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
     placed = found.join(smallest, "component").select(F.col("node").alias("kind"), "component_id")
     of_kind = narrow.join(placed, "kind", "left").select("kind", F.coalesce("component_id", "first").alias("component_id"))
-    return described.join(of_kind, "kind", "left").select(
+    return named.join(of_kind, "kind", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )

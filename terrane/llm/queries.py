@@ -51,7 +51,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.spans_removed(table(spark, sf_dir, "documents"))
+    # ``repeats`` states the finding: whether the document holds a passage that also starts elsewhere.
+    return suffix_dedup.spans_removed(table(spark, sf_dir, "documents")).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

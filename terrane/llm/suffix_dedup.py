@@ -11,7 +11,6 @@ round, where only equal pairs are compared.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import ngram_join
-from terrane.llm.common import written
+from terrane.llm.common import dropped, written
 
 STRETCH = 128
 #: Rank pairs that several texts of a bounded sample share are repeats for certain: they need no sorting, and so
@@ -32,9 +31,15 @@ MOST_COMMON = 100_000
 #: A larger group is compared in parts first; what is single in its part meets by Spark's aggregation.
 PART_ROWS = 2_048
 _PLACE = np.uint64((1 << 31) - 1)
+#: Large groups are few; up to so many are broadcast, more meet their rows dealt to so many shares a group.
+BROADCAST_GROUPS = 200_000
+SHARES = 64
+#: Python workers put rows out after so many rows, or bytes of text: a batch that comes in may hold far more.
+ROWS_OUT = 50_000
+BYTES_OUT = 4_000_000
 #: Bytes a word in coded texts.
 CODE = 8
-CODES_KEPT = 300_000
+_SIX_BITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 _WORD = re.compile(rb"[^ \t\n\x0b\f\r]+")
 
 
@@ -105,8 +110,16 @@ def _anchors(texts: DataFrame, length: int, common: np.ndarray) -> DataFrame:
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # copies of a text in the same task: one is enough
+        names = ["first", "second", "tid", "anchor", "sure"]
+        out: list[tuple] = []
+        rows = 0
+
+        def shown() -> pd.DataFrame:
+            made = pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*out, strict=True), strict=True)})
+            out.clear()
+            return made
+
         for batch in batches:
-            out = []
             for tid, text in zip(batch["tid"].tolist(), batch["text"], strict=True):
                 if tid in seen:
                     continue
@@ -117,9 +130,12 @@ def _anchors(texts: DataFrame, length: int, common: np.ndarray) -> DataFrame:
                     at = np.searchsorted(common, rank)
                     sure = (common[np.minimum(at, len(common) - 1)] == rank) if len(common) else np.zeros(len(rank), bool)
                     out.append((first.view(np.int64), second.view(np.int64), np.full(len(anchor), tid), anchor, sure))
-            if out:
-                names = ["first", "second", "tid", "anchor", "sure"]
-                yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*out, strict=True), strict=True)})
+                    rows += len(anchor)
+                    if rows >= ROWS_OUT:
+                        yield shown()
+                        rows = 0
+        if out:
+            yield shown()
 
     def repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows come sorted; the last one waits for its neighbour, with whether the one before it was equal.
@@ -152,24 +168,32 @@ def _anchors(texts: DataFrame, length: int, common: np.ndarray) -> DataFrame:
 
 def _starts(held: DataFrame, length: int) -> DataFrame:
     """Per anchor that is left: its starts, as the distance of the last one, and 48-bit ranks of all their bytes."""
+    columns = ["rank", "part", "parts", "tid", "anchor", "low", "packed"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            out = []
-            for tid, text, left in zip(batch["tid"].tolist(), batch["text"], batch["left"], strict=True):
+            rows = zip(batch["tid"].tolist(), batch["text"], batch["anchors"], batch["parts"], strict=True)
+            for tid, text, anchors, counts in rows:
                 anchor, low, high, first, second, sums = _pairs(_bytes(text), length)
-                parts = {x["anchor"]: x["parts"] for x in left}
-                for i in np.flatnonzero(np.isin(anchor, list(parts))).tolist():
+                parts = dict(zip(anchors.tolist(), counts.tolist(), strict=True))
+                for i in np.flatnonzero(np.isin(anchor, anchors)).tolist():
                     at = np.arange(low[i], high[i] + 1)
                     ranks = (_hash(sums, at, at + length) >> np.uint64(16)).astype("<u8")
                     packed = ranks.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
                     key = int(ngram_join._mixed(first[i : i + 1] ^ ngram_join._mixed(second[i : i + 1])).view(np.int64)[0])
                     n = parts[int(anchor[i])]
                     out.append((key, (tid ^ int(anchor[i])) % n, n, tid, int(anchor[i]), int(low[i]), packed))
-            if out:
-                yield pd.DataFrame(out, columns=["rank", "part", "parts", "tid", "anchor", "low", "packed"])
+                    size += len(packed)
+                if size >= BYTES_OUT:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
-    return held.mapInPandas(run, "rank long, part long, parts long, tid long, anchor long, low long, packed binary")
+    flat = held.select("tid", "text", F.col("left.anchor").alias("anchors"), F.col("left.parts").alias("parts"))
+    return flat.mapInPandas(run, "rank long, part long, parts long, tid long, anchor long, low long, packed binary")
 
 
 def _repeats(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,6 +250,8 @@ def _repeats(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
             for r in batch.itertuples(index=False, name=None):
                 if group and (group[0][0] != r[0] or group[0][1] != r[1]):
                     close()
+                    if len(ranges) + len(rest) >= ROWS_OUT:
+                        yield from shown()
                 group.append(r)
             yield from shown()
         close()
@@ -240,59 +266,84 @@ def _repeats(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranges, met.where("n > 1").select(F.explode("singles").alias("x")).select("x.tid", "x.low", F.col("x.low").alias("high"))
 
 
+def _code(raw: np.ndarray) -> str:
+    """A text as CODE characters, of 48 bits, for each word."""
+    words = ngram_join.words_of(raw)
+    shifts = np.arange(42, -1, -6, dtype=np.uint64)
+    return _SIX_BITS[((words[:, None] >> shifts) & np.uint64(63)).astype(np.intp)].tobytes().decode("ascii")
+
+
 def _coded(texts: DataFrame) -> DataFrame:
     """(tid, text) with CODE characters, of 48 bits, for each word in lower case: strings of words are strings of bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes: dict[bytes, str] = {}
-
-        def code(word: bytes) -> str:
-            if word not in codes:
-                if len(codes) > CODES_KEPT:
-                    codes.clear()
-                codes[word] = base64.b64encode(hashlib.blake2b(word, digest_size=6).digest()).decode()
-            return codes[word]
-
+        tids: list[int] = []
+        coded: list[str] = []
+        size = 0
         for batch in batches:
-            coded = ["".join([code(w) for w in _WORD.findall(_bytes(t).tobytes().lower())]) for t in batch["text"]]
-            yield pd.DataFrame({"tid": batch["tid"], "text": coded})
+            for tid, text in zip(batch["tid"].tolist(), batch["text"], strict=True):
+                tids.append(tid), coded.append(_code(_bytes(text)))
+                size += len(coded[-1])
+                if size >= BYTES_OUT:
+                    yield pd.DataFrame({"tid": tids, "text": coded})
+                    tids, coded, size = [], [], 0
+        if tids:
+            yield pd.DataFrame({"tid": tids, "text": coded})
 
     return texts.mapInPandas(run, "tid long, text string")
 
 
 def _cleaned(held: DataFrame) -> DataFrame:
+    columns = ["tid", "n_removed", "n_spans", "kept_sha256", "kept"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            rows = []
-            for tid, text, found in zip(batch["tid"].tolist(), batch["text"], batch["found"], strict=True):
+            for tid, text, lows, ends, kinds in zip(batch["tid"].tolist(), *(batch[c] for c in ("text", "low", "end", "of_words")), strict=True):
                 raw = _bytes(text)
+                lows, ends, kinds = np.array(lows, np.int64), np.array(ends, np.int64), np.array(kinds, bool)
+                if kinds.any():
+                    placed = np.array([m.span() for m in _WORD.finditer(raw.tobytes())], dtype=np.int64)
+                    lows[kinds], ends[kinds] = placed[lows[kinds], 0], placed[ends[kinds] - 1, 1]
                 change = np.zeros(len(raw) + 1, dtype=np.int64)
-                placed = None
-                for x in found:
-                    low, end = x["low"], x["end"]
-                    if x["of_words"]:
-                        placed = placed or [m.span() for m in _WORD.finditer(raw.tobytes())]
-                        low, end = placed[low][0], placed[end - 1][1]
-                    change[low] += 1
-                    change[end] -= 1
+                np.add.at(change, lows, 1)
+                np.add.at(change, ends, -1)
                 gone = np.cumsum(change)[:-1] > 0
                 kept = raw[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 rows.append((tid, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(rows, columns=["tid", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return held.mapInPandas(run, "tid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                size += len(kept)
+                if size >= BYTES_OUT:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    flat = held.select("tid", "text", *[F.col(f"found.{c}").alias(c) for c in ("low", "end", "of_words")])
+    return flat.mapInPandas(run, "tid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _with_parts(left: DataFrame) -> DataFrame:
+    """``left`` with the number of parts of each row's group; no group's rows are dealt by its key alone."""
+    sizes = left.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
+    large = written(sizes.where(F.col("n") > PART_ROWS).select("first", "second", F.ceil(F.col("n") / PART_ROWS).cast("long").alias("parts")))
+    if large.count() <= BROADCAST_GROUPS:
+        dealt = left.join(F.broadcast(large), ["first", "second"], "left")
+    else:
+        share = F.pmod(F.xxhash64("tid", "anchor"), F.lit(SHARES))
+        each = large.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<long>")))
+        dealt = left.withColumn("share", share).join(each, ["first", "second", "share"], "left").drop("share")
+    return dealt.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
 
 
 def _repeated(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Texts (tid, text) that hold an anchor left over, one copy each, and ranges (tid, low, high) of starts that repeat."""
     left = written(_anchors(texts, length, _common(texts, length)))
-    parts = left.groupBy("first", "second").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("long").alias("parts"))
-    # Only groups in several parts are joined: few rows, and the rows of a hot group may be split.
-    dealt = left.join(parts.where("parts > 1"), ["first", "second"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    sized = dealt.groupBy("tid").agg(F.collect_list(F.struct("anchor", "parts")).alias("left"))
+    sized = _with_parts(left).groupBy("tid").agg(F.collect_list(F.struct("anchor", "parts")).alias("left"))
     # Texts that every copy of goes are done; of the others one copy a text comes along.
     held = written(texts.join(sized, "tid").dropDuplicates(["tid"]))
+    dropped(left)
     ranges, met = _repeats(_starts(held, length))
     return held.select("tid", "text"), ranges.unionByName(met)
 
