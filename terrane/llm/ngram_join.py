@@ -205,14 +205,17 @@ def _first_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return turned.distinct()
 
 
-def _chosen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(kind, __key) of the classes in ``pairs``: a row that has the text of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
+def _of_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
+
+
+def _chosen(wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(kind, __key) of the classes in ``wanted``: a row that has the text of each."""
     return classes.select("kind", "first").join(wanted, "kind").select("kind", F.col("first").alias("__key"))
 
 
-def _wide(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(kind, n, signature) with wide signatures, made from the texts of the classes in ``pairs`` alone."""
+def _wide(wanted: DataFrame, classes: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(kind, n, signature) with wide signatures, made from the texts of the classes in ``wanted`` (kind) alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,7 +225,7 @@ def _wide(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int) -> Dat
             rows = [(k, len(h), signature(h, WIDER)) for k, h, s in zip(batch["kind"].tolist(), held, same, strict=True) if s]
             yield pd.DataFrame(rows, columns=["kind", "n", "signature"])
 
-    made = texts.join(_chosen(pairs, classes), "__key").select("kind", "__text")
+    made = texts.join(_chosen(wanted, classes), "__key").select("kind", "__text")
     return made.mapInPandas(run, "kind long, n long, signature binary").dropDuplicates(["kind"])
 
 
@@ -257,7 +260,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, pe
             out = pd.DataFrame({"kind": batch["kind"], "grams": held})
             yield out[batch["kind"].to_numpy() == np.array(mine)]
 
-    sets = texts.join(_chosen(pairs, classes), "__key").select("kind", "__text").mapInPandas(run, "kind long, grams binary")
+    sets = texts.join(_chosen(_of_pairs(pairs), classes), "__key").select("kind", "__text").mapInPandas(run, "kind long, grams binary")
     sets = written(sets.dropDuplicates(["kind"]))
 
     @F.pandas_udf("boolean")
@@ -277,21 +280,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, pe
     return found
 
 
-def _second_pairs(tiles: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of tiles that hold classes not connected yet, among those classes, by signature."""
+def _second_pairs(tiles: DataFrame, classes: DataFrame, texts: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs of tiles that hold classes not connected yet, among those classes, by signature.
+
+    Classes of such tiles come with their wide signatures, so hardly a pair leaves a tile that does not link.
+    """
     labelled = tiles.select("tile", "kind", "n").join(found.toDF("kind", "label"), "kind", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "kind"))
     sizes = labelled.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
     # Two classes were compared in the first round.
     open_ = sizes.where("low < high and rows > 2").select("tile", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("parts"))
-    rows = labelled.join(open_, "tile").join(classes.select("kind", "signature"), "kind")
+    open_rows = written(labelled.join(open_, "tile"))
+    wide = _wide(open_rows.select("kind").distinct(), classes, texts, n)
+    rows = open_rows.join(wide.select("kind", "signature"), "kind")
     part = F.pmod(F.xxhash64("kind"), F.col("parts")).cast("int")
     seats = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
     seated = rows.withColumn("part", part).withColumn("seat", F.explode(seats)).select("tile", "seat.i", "seat.j", "part", "n", "kind", "label", "signature")
 
     def compared(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n, kind, label, part = (rows[c].to_numpy() for c in ("n", "kind", "label", "part"))
-        held = folded(rows["signature"].tolist(), min(map(len, rows["signature"])))
+        wide = folded(rows["signature"].tolist(), min(map(len, rows["signature"])))
+        held = np.bitwise_or.reduce(wide.reshape(len(wide), WIDER, -1), axis=1)
         cross = rows["i"].iloc[0] != rows["j"].iloc[0]
         reach = np.searchsorted(percent * n, 100 * n, side="right")
         a, b = [], []
@@ -301,8 +310,9 @@ def _second_pairs(tiles: DataFrame, classes: DataFrame, found: DataFrame, percen
             if cross:
                 others = others[part[others] != part[x]]
             if len(others):
-                bound = overlap_bound(n[x], n[others], held[x], held[others])
-                others = others[links(bound, n[x], n[others], percent)]
+                for bits in (held, wide):
+                    bound = overlap_bound(n[x], n[others], bits[x], bits[others])
+                    others = others[links(bound, n[x], n[others], percent)]
                 a.append(np.full(len(others), kind[x]))
                 b.append(kind[others])
         none = np.empty(0, dtype=np.int64)
@@ -363,7 +373,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
     signed = written(classes.drop("prefix"))
     dropped(classes)
     passed = written(_bounded(_first_pairs(tiles, percent), signed, percent))
-    wide = written(_wide(passed, signed, texts, n))
+    wide = written(_wide(_of_pairs(passed), signed, texts, n))
     near = written(_bounded(passed, wide, percent))
     dropped(wide)
     dropped(passed)
@@ -375,12 +385,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
     if not more.isEmpty():
         linked = written(linked.unionByName(_verified(more, signed, texts, n, percent)))
         found = components(linked)
-    second = written(_second_pairs(tiles, signed, found, percent))
+    more = written(_second_pairs(tiles, signed, texts, found, n, percent))
     dropped(tiles)
-    if not second.isEmpty():
-        more = written(_bounded(second, written(_wide(second, signed, texts, n)), percent))
-        if not more.isEmpty():
-            found = components(linked.unionByName(_verified(more, signed, texts, n, percent)))
+    if not more.isEmpty():
+        found = components(linked.unionByName(_verified(more, signed, texts, n, percent)))
     smallest = found.join(narrow.select(F.col("kind").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
     placed = found.join(smallest, "component").select(F.col("node").alias("kind"), "component_id")
     of_kind = narrow.join(placed, "kind", "left").select("kind", F.coalesce("component_id", "first").alias("component_id"))
