@@ -280,18 +280,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, pe
     return found
 
 
-def _second_pairs(tiles: DataFrame, classes: DataFrame, texts: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of tiles that hold classes not connected yet, among those classes, by signature.
-
-    Classes of such tiles come with their wide signatures, so hardly a pair leaves a tile that does not link.
-    """
+def _open_rows(tiles: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (tile, kind, n, label, parts) of the tiles that hold classes not connected yet."""
     labelled = tiles.select("tile", "kind", "n").join(found.toDF("kind", "label"), "kind", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "kind"))
     sizes = labelled.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
     # Two classes were compared in the first round.
     open_ = sizes.where("low < high and rows > 2").select("tile", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int").alias("parts"))
-    open_rows = written(labelled.join(open_, "tile"))
-    wide = _wide(open_rows.select("kind").distinct(), classes, texts, n)
+    return labelled.join(open_, "tile")
+
+
+def _second_pairs(open_rows: DataFrame, wide: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs among classes of a tile that are not connected yet, by wide signatures.
+
+    With ``best`` each class brings only its likeliest partner of a tile: when those that link are connected, few pairs are
+    left for the round that takes all.
+    """
     rows = open_rows.join(wide.select("kind", "signature"), "kind")
     part = F.pmod(F.xxhash64("kind"), F.col("parts")).cast("int")
     seats = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
@@ -312,7 +316,10 @@ def _second_pairs(tiles: DataFrame, classes: DataFrame, texts: DataFrame, found:
             if len(others):
                 for bits in (held, wide):
                     bound = overlap_bound(n[x], n[others], bits[x], bits[others])
-                    others = others[links(bound, n[x], n[others], percent)]
+                    fits = links(bound, n[x], n[others], percent)
+                    others, bound = others[fits], bound[fits]
+                if best and len(others):
+                    others = others[[np.argmax(bound / (n[x] + n[others] - bound))]]
                 a.append(np.full(len(others), kind[x]))
                 b.append(kind[others])
         none = np.empty(0, dtype=np.int64)
@@ -385,10 +392,18 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
     if not more.isEmpty():
         linked = written(linked.unionByName(_verified(more, signed, texts, n, percent)))
         found = components(linked)
-    more = written(_second_pairs(tiles, signed, texts, found, n, percent))
+    open_rows = written(_open_rows(tiles, found))
+    wide = written(_wide(open_rows.select("kind").distinct(), signed, texts, n))
+    for best in (True, False):
+        more = written(_second_pairs(open_rows, wide, percent, best))
+        if more.isEmpty():
+            break
+        linked = written(linked.unionByName(_verified(more, signed, texts, n, percent)))
+        found = components(linked)
+        if best:
+            open_rows = written(_open_rows(tiles, found))
     dropped(tiles)
-    if not more.isEmpty():
-        found = components(linked.unionByName(_verified(more, signed, texts, n, percent)))
+    dropped(wide)
     smallest = found.join(narrow.select(F.col("kind").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
     placed = found.join(smallest, "component").select(F.col("node").alias("kind"), "component_id")
     of_kind = narrow.join(placed, "kind", "left").select("kind", F.coalesce("component_id", "first").alias("component_id"))
