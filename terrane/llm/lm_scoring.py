@@ -3,141 +3,116 @@
 Two bigram models of the same order, smoothing and vocabulary are counted over whole tables, one on the target
 rows and one on all rows. Every word and every pair of words of the corpus is counted, so what is counted grows with it:
 
-    P(word | word before) = (count(word before, word) + PRIOR * prior(word | word before)) / (count(word before) + PRIOR).
-
-The prior is a bigram model of symbols: the commonest words are symbols of their own, the others share hashed symbols, and
-
-    prior(word | word before) = P(symbol | symbol before) * P(word | its symbol).
-
-Its first factor is a table of fixed size, which is sent to the tasks and holds pairs of two commonest words as counted.
-All else is a row a word and a row a pair; these stay distributed and are joined to the words and pairs of the texts, as
-
-    loss = loss of the prior + log(1 + count(word before) / PRIOR) - log(1 + count(word before, word) / (PRIOR * prior)).
-
-A document's score is the mean over its tokens of target loss minus background loss, in nats: the lower, the more it
-reads like the target.
+    P(w | v) = (count(v, w) + PRIOR * prior(w | v)) / (count(v before a word) + PRIOR),
+    prior(w | v) = P(symbol of w | symbol of v) * (count(w) + 1) / total(symbol of w).
+
+The commonest words are symbols of their own (the last factor is 1 for them), the others share hashed symbols. The
+background counts every document, so a target document is scored like any other only if the target model has not seen it:
+its own words and pairs are taken off ``count`` there, or it would be recognised and not judged. The probabilities of
+symbols and the totals, which are tables of fixed size, keep them.
+
+The fixed tables are sent to the tasks, which add up all that they decide. For the rest each text becomes one row of
+numbers a distinct pair with a rarer word: hashes of word, pair and text, and counts. They are shuffled once, by the rarer
+word, and sorted by (word, pair); a word's and a pair's counts are then sums over runs, from which each row gets what it adds
+to its text. A word that has no symbol of its own has at most 1 / (WORDS + 1) of all tokens, so no run is larger than that.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrane.llm.common import without, written
+from terrane.llm.common import dropped, without, written
 
-#: Symbols of single words and symbols that words share: the pair tables have 1,025 x 1,024 entries at any size.
+#: Symbols of single words and symbols that words share: the tables of symbols have 1,025 x 1,024 entries at any size.
 WORDS = 768
 SHARED = 256
+SIZE = WORDS + SHARED
 #: Weight of the unigram model in the model of symbols, and of that in the bigram model of words, in tokens.
 PRIOR = 50.0
 REMEMBERED = 300_000
-
-
-class Symbols(dict):
-    """Symbol of a word; words outside the vocabulary are hashed to the shared symbols."""
-
-    def __init__(self, vocabulary: list[str]) -> None:
-        super().__init__({w: i for i, w in enumerate(vocabulary)})
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.update({w: i for i, w in enumerate(self.vocabulary)})
-        found = self[word] = WORDS + zlib.crc32(word.encode("utf-8", "replace")) % SHARED
-        return found
-
-    def pairs(self, text: str) -> np.ndarray:
-        """Codes of (symbol before, symbol) of each token; the first follows a mark of its own."""
-        size = WORDS + SHARED
-        at = np.array([self[w] for w in words(text)], dtype=np.int64)
-        return np.append(size, at[:-1])[: len(at)] * size + at
+#: Words of the texts that a task turns into rows at a time.
+WORDS_A_CHUNK = 200_000
+#: What is known of a row: its text is a target text, is counted, is scored; the pair ends its text; the word does.
+TARGET, COUNTED, ASKED, LAST, FINAL = 1, 2, 4, 8, 16
+FLAG_BITS = 5
+#: A pair's number holds the symbols of both words (21 bits) above a hash of the word before.
+HASH_BITS = 43
 
 
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-@dataclass(frozen=True)
-class Models:
-    vocabulary: list[str]  # words with symbols of their own
-    target: np.ndarray  # losses by code of a pair
-    background: np.ndarray
-    words: DataFrame  # (word, target_word_loss, background_word_loss): loss of a word under its shared symbol
-    unseen_target: list[float]  # the same for words never counted, by shared symbol
-    unseen_background: list[float]
-    pairs: DataFrame | None = None  # as words, for "before word": what the count of a pair takes off; without it the prior is the model
-    target_seen: np.ndarray | None = None  # target and background with the counts of pairs of words with symbols of their own
-    background_seen: np.ndarray | None = None
+class Numbered(dict):
+    """Numbers of words in order of appearance, with a hash and a symbol each; 0 is the mark before the first word of a text."""
 
+    def __init__(self, vocabulary: list[str]) -> None:
+        super().__init__()
+        self.hashes, self.symbols = array("Q", [0]), array("q", [SIZE])
+        for at, word in enumerate(vocabulary):
+            self.add(word, at)
+
+    def add(self, word: str, symbol: int) -> int:
+        self.hashes.append(xxhash.xxh64_intdigest(word.encode("utf-8", "replace")))
+        self.symbols.append(symbol)
+        found = self[word] = len(self.symbols) - 1
+        return found
 
-def count_words(marked: DataFrame) -> DataFrame:
-    """(word, every, wanted, every_before, wanted_before): counts of each word in all rows and in target rows, and of those before another."""
+    def __missing__(self, word: str) -> int:
+        return self.add(word, WORDS + zlib.crc32(word.encode("utf-8", "replace")) % SHARED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every: Counter[str] = Counter()
-        wanted: Counter[str] = Counter()
-        ends: Counter[str] = Counter()
-        wanted_ends: Counter[str] = Counter()
+    def of(self, text: str | None) -> np.ndarray:
+        said = words(text)
+        return np.fromiter(map(self.__getitem__, said), dtype=np.int64, count=len(said))
 
-        def shown() -> pd.DataFrame:
-            of = {"every": every, "wanted": wanted, "every_before": every - ends, "wanted_before": wanted - wanted_ends}
-            return pd.DataFrame({"word": list(every), **{c: [held[w] for w in every] for c, held in of.items()}})
+    def codes(self, text: str | None) -> np.ndarray:
+        """(symbol before) * SIZE + symbol of each token."""
+        found = self.of(text)
+        at = np.frombuffer(self.symbols, dtype=np.int64)[found]
+        return np.append(SIZE, at[:-1])[: len(at)] * SIZE + at
 
-        for batch in batches:
-            for value, inside in zip(batch["text"], batch["__in"], strict=True):
-                found = words(value)
-                every.update(found)
-                ends.update(found[-1:])
-                if inside is True:
-                    wanted.update(found)
-                    wanted_ends.update(found[-1:])
-            if len(every) > REMEMBERED:
-                yield shown()
-                for held in (every, wanted, ends, wanted_ends):
-                    held.clear()
-        if every:
-            yield shown()
 
-    names = ("every", "wanted", "every_before", "wanted_before")
-    found = marked.select("text", "__in").mapInPandas(run, "word string, " + ", ".join(f"{c} long" for c in names))
-    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+def renewed(held: Numbered | None, vocabulary: list[str]) -> Numbered:
+    """``held``, or a new one once it remembers too many words."""
+    return Numbered(vocabulary) if held is None or len(held) > REMEMBERED else held
 
 
-def rarer_pairs(found: list[str], own: frozenset[str]) -> list[str]:
-    """"before word" for each word, if one of both has no symbol of its own; before the first comes an empty word."""
-    return [f"{a} {b}" for a, b in zip(["", *found], found) if b not in own or a and a not in own]
+@dataclass(frozen=True)
+class Symbols:
+    """One model's tables of fixed size."""
 
+    losses: np.ndarray  # negative log probability of a symbol after another, by code
+    counts: np.ndarray  # counts of codes
+    before: np.ndarray  # counts of a symbol, or the mark, before another
+    totals: np.ndarray  # by shared symbol: counts of its words, one more for each word and one for words never seen
 
-def count_pairs(marked: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(pair, code, word, every, wanted): counts of all pairs but those of two words with symbols of their own.
 
-    The rows of a word that shares its symbol lie together, the others are spread.
-    """
+def count_words(marked: DataFrame) -> DataFrame:
+    """(word, every, wanted): counts of each word in all rows and in target rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, symbols, size = frozenset(vocabulary), Symbols(vocabulary), WORDS + SHARED
         every: Counter[str] = Counter()
         wanted: Counter[str] = Counter()
 
         def shown() -> pd.DataFrame:
-            sides = [pair.split(" ") for pair in every]
-            codes = [(symbols[a] if a else size) * size + symbols[b] for a, b in sides]
-            rows = {"pair": list(every), "code": codes, "word": [None if b in own else b for _, b in sides]}
-            return pd.DataFrame({**rows, "every": list(every.values()), "wanted": [wanted[p] for p in every]})
+            return pd.DataFrame({"word": list(every), "every": list(every.values()), "wanted": [wanted[w] for w in every]})
 
         for batch in batches:
-            for value, inside in zip(batch["text"], batch["__in"], strict=True):
-                found = rarer_pairs(words(value), own)
+            for value, inside in zip(batch["__text"], batch["__in"], strict=True):
+                found = words(value)
                 every.update(found)
-                if inside is True:
+                if inside:
                     wanted.update(found)
                 if len(every) > REMEMBERED:
                     yield shown()
@@ -146,203 +121,227 @@ def count_pairs(marked: DataFrame, vocabulary: list[str]) -> DataFrame:
         if every:
             yield shown()
 
-    found = marked.select("text", "__in").mapInPandas(run, "pair string, code int, word string, every long, wanted long")
-    dealt = found.withColumn("at", F.coalesce("word", "pair")).repartition("at")
-    return dealt.groupBy("at", "pair", "code", "word").agg(F.sum("every").alias("every"), F.sum("wanted").alias("wanted"))
-
-
-def shared_symbol(word: str = "word") -> Column:
-    """Place of a word among the shared symbols."""
-    return (F.crc32(F.col(word).cast("binary")) % SHARED).cast("int")
+    found = marked.select("__text", "__in").mapInPandas(run, "word string, every long, wanted long")
+    return found.groupBy("word").agg(F.sum("every").alias("every"), F.sum("wanted").alias("wanted"))
 
 
-def word_losses(counted: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, list[float], list[float]]:
-    """Losses of words under their shared symbol in both models, add-one over the words of the symbol and one unseen word."""
-    others = counted.where(~F.col("word").isin(vocabulary)) if vocabulary else counted
-    sums = others.groupBy(shared_symbol().alias("s")).agg(*[F.sum(c).alias(c) for c in ("every", "wanted")], F.count(F.lit(1)).alias("n"))
-    totals = {c: [1.0] * SHARED for c in ("wanted", "every")}
-    for r in sums.collect():  # at most SHARED rows
-        for c, held in totals.items():
-            held[r["s"]] += r[c] + r["n"]
-    array = lambda held: F.array(*[F.lit(x) for x in held])
-    of = lambda c: F.log(F.element_at(array(totals[c]), shared_symbol() + 1)) - F.log(F.col(c) + 1)
-    before = lambda c: F.log1p(F.col(c) / F.lit(PRIOR))
-    losses_ = counted.select(
-        "word",
-        of("wanted").alias("target_word_loss"),
-        of("every").alias("background_word_loss"),
-        before("wanted_before").alias("target_before"),
-        before("every_before").alias("background_before"),
-    )
-    return losses_, *[np.log(totals[c]).tolist() for c in ("wanted", "every")]
+def _vocabulary(counted: DataFrame) -> list[str]:
+    """The commonest words, which get symbols of their own."""
+    return [r["word"] for r in counted.orderBy(F.desc("every"), "word").limit(WORDS).collect()]
 
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Negative log probabilities of pairs from their counts, the unigram model as prior."""
-    size = WORDS + SHARED
-    table = counts.reshape(size + 1, size).astype(np.float64)
-    single = (table.sum(axis=0) + 1) / (table.sum() + size)
+def symbol_losses(counts: np.ndarray) -> np.ndarray:
+    """Negative log probabilities of symbols after symbols from the counts of codes, the unigram model as prior."""
+    table = counts.reshape(SIZE + 1, SIZE).astype(np.float64)
+    single = (table.sum(axis=0) + 1) / (table.sum() + SIZE)
     return -np.log((table + PRIOR * single) / (table.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32).reshape(-1)
 
 
-def seen_losses(counts: np.ndarray, table: np.ndarray, own: int) -> np.ndarray:
-    """``table`` with the counts of what follows each of the ``own`` words and the mark, and of their pairs among each other."""
-    size = WORDS + SHARED
-    counted, out = counts.reshape(size + 1, size), table.astype(np.float64).reshape(size + 1, size)
-    gain = np.log1p(counted[:, :own] / (PRIOR * np.exp(-out[:, :own])))
-    known = [*range(own), size]
-    out[known] += np.log1p(counted[known].sum(axis=1, keepdims=True) / PRIOR)
-    out[known, :own] -= gain[known]
-    return out.astype(np.float32).reshape(-1)
-
-
-def pair_losses(counted: DataFrame, priced: DataFrame, target: np.ndarray, background: np.ndarray) -> DataFrame:
-    """Rows like those of ``priced`` (from word_losses) for the pairs of count_pairs: minus what their counts add to the prior."""
-    shared = counted.sparkSession.sparkContext.broadcast((target, background))  # of fixed size
+def count_symbols(marked: DataFrame, vocabulary: list[str], counted: DataFrame) -> dict[str, Symbols]:
+    """The tables of the target (``wanted``) and the background model (``every``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            code = batch["code"].to_numpy()
-            made = {"word": batch["pair"]}
-            for name, count, table in (("target", "wanted", shared.value[0]), ("background", "every", shared.value[1])):
-                prior = np.exp(-(table[code].astype(np.float64) + batch[f"{name}_word_loss"].to_numpy()))
-                made[f"{name}_word_loss"] = -np.log1p(batch[count].to_numpy() / (PRIOR * prior))
-            yield pd.DataFrame({**made, "target_before": 0.0, "background_before": 0.0})
-
-    of_word = priced.select(F.col("word").alias("at"), "target_word_loss", "background_word_loss")
-    zero = F.lit(0.0)  # a word with a symbol of its own is all of it
-    known = counted.join(of_word, "at", "left").select(
-        "pair", "code", "every", "wanted", *[F.coalesce(c, zero).alias(c) for c in ("target_word_loss", "background_word_loss")]
-    )
-    return known.mapInPandas(run, priced.schema)
-
-
-def fit(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> Models:
-    """Count both models: background on all rows of ``df``, target on those whose key is in ``target``."""
-    size = WORDS + SHARED
-    chosen = target.select(F.col(key).alias("__key")).distinct().withColumn("__in", F.lit(True))
-    marked = df.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(chosen, "__key", "left")
-    counted = written(count_words(marked))
-    vocabulary = [r["word"] for r in counted.orderBy(F.desc("every"), "word").limit(WORDS).collect()]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbols = Symbols(vocabulary)
-        every = np.zeros((size + 1) * size, dtype=np.int64)
+        every = np.zeros((SIZE + 1) * SIZE, dtype=np.int64)
         wanted = np.zeros_like(every)
+        held = None
         for batch in batches:
-            for value, inside in zip(batch["text"], batch["__in"], strict=True):
-                codes, counts = np.unique(symbols.pairs(value), return_counts=True)
+            for value, inside in zip(batch["__text"], batch["__in"], strict=True):
+                held = renewed(held, vocabulary)
+                codes, counts = np.unique(held.codes(value), return_counts=True)
                 every[codes] += counts
-                if inside is True:
+                if inside:
                     wanted[codes] += counts
         codes = np.flatnonzero(every)
         for part in np.array_split(codes, max(1, len(codes) // 50_000)):
             yield pd.DataFrame({"code": part, "every": every[part], "wanted": wanted[part]})
 
-    found = marked.select("text", "__in").mapInPandas(run, "code long, every long, wanted long")
-    # At most (WORDS + SHARED + 1) * (WORDS + SHARED) rows.
+    found = marked.select("__text", "__in").mapInPandas(run, "code long, every long, wanted long")
+    # At most (SIZE + 1) * SIZE rows.
     summed = found.groupBy("code").agg(F.sum("every").alias("every"), F.sum("wanted").alias("wanted")).toArrow()
-    code = summed["code"].to_numpy()
-    tables, seen = [], []
+    symbol = (F.crc32(F.col("word").cast("binary")) % SHARED).cast("int")
+    others = counted.where(~F.col("word").isin(vocabulary)) if vocabulary else counted
+    sums = others.groupBy(symbol.alias("s")).agg(*[(F.sum(c) + F.count(F.lit(1))).alias(c) for c in ("every", "wanted")])
+    of_symbol = sums.collect()  # at most SHARED rows
+    made = {}
     for name in ("wanted", "every"):
-        counts = np.zeros((size + 1) * size, dtype=np.int64)
-        counts[code] = summed[name].to_numpy()
-        tables.append(losses(counts))
-        seen.append(seen_losses(counts, tables[-1], len(vocabulary)))
-    priced, *unseen = word_losses(counted, vocabulary)
-    pairs = written(pair_losses(count_pairs(marked, vocabulary), priced, *tables))
-    return Models(vocabulary, *tables, priced, *unseen, pairs, *seen)
+        counts = np.zeros((SIZE + 1) * SIZE, dtype=np.int64)
+        counts[summed["code"].to_numpy()] = summed[name].to_numpy()
+        totals = np.ones(SHARED)
+        for r in of_symbol:
+            totals[r["s"]] += r[name]
+        made[name] = Symbols(symbol_losses(counts), counts, counts.reshape(SIZE + 1, SIZE).sum(axis=1), totals)
+    return made
 
 
-def _same_text(text: Column) -> list[Column]:
-    """Two columns that tell texts apart: 96 bits of hashes."""
-    return [F.xxhash64(text).alias("__t1"), (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("__t2")]
+def _pair_rows(marked: DataFrame, vocabulary: list[str], use: int) -> DataFrame:
+    """(at, pair, text, n, more): a row for each text and distinct pair of words of which one has no symbol of its own.
 
+    ``at`` is the hash of the word if that has no symbol of its own, else of the pair; ``n`` how often the text has the
+    pair; ``more`` how often it has the word, shifted, and flags.
+    """
 
-def _shared_words(df: DataFrame, vocabulary: list[str], text: str, pairs: bool) -> DataFrame:
-    """(__t1, __t2, word, n, m): how often a text has each word without a symbol of its own, and before another word.
+    def shown(held: Numbered, texts: list[np.ndarray], ids: list[int], flags: list[int]) -> pd.DataFrame:
+        hashes, symbols = np.array(held.hashes, dtype=np.uint64), np.array(held.symbols, dtype=np.int64)
+        sizes = np.array([len(t) for t in texts])
+        now, ends = np.concatenate(texts), np.cumsum(sizes)
+        before = np.append(0, now[:-1])
+        before[ends - sizes] = 0
+        bits = len(symbols).bit_length()
+        key = (np.repeat(np.arange(len(texts)), sizes) << 2 * bits) | (now << bits) | before
+        last = key[ends - 1]
+        found, n = np.unique(key, return_counts=True)
+        starts = np.flatnonzero(np.append(True, (found[1:] >> bits) != (found[:-1] >> bits)))
+        said = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(found))))
+        mask = (1 << bits) - 1
+        text, w, v = found >> 2 * bits, (found >> bits) & mask, found & mask
+        more = np.array(flags)[text] + np.where(last[text] == found, LAST, 0) + np.where(last[text] >> bits == found >> bits, FINAL, 0)
+        code = symbols[v] * SIZE + symbols[w]
+        mixed = hashes[v] * np.uint64(0x9E3779B97F4A7C15) + hashes[w]
+        rarer = symbols[w] >= WORDS
+        rows = pd.DataFrame({
+            "at": np.where(rarer, hashes[w], mixed).view(np.int64),
+            "pair": ((code.astype(np.uint64) << np.uint64(HASH_BITS)) | (hashes[v] & np.uint64((1 << HASH_BITS) - 1))).view(np.int64),
+            "text": np.array(ids, dtype=np.int64)[text],
+            "n": n.astype(np.int32),
+            "more": (said << FLAG_BITS) + more,
+        })
+        return rows[rarer | ((symbols[v] >= WORDS) & (symbols[v] < SIZE))]
 
-    With ``pairs`` also how often it has each pair with such a word. Copies may come once or more often.
-    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = None, 0
+        texts: list[np.ndarray] = []
+        ids: list[int] = []
+        flags: list[int] = []
+        for batch in batches:
+            for value, name, inside in zip(batch["__text"], batch["__t"], batch["__in"], strict=True):
+                if not texts:
+                    held, size = renewed(held, vocabulary), 0
+                found = held.of(value)
+                if len(found):
+                    texts.append(found)
+                    ids.append(name)
+                    flags.append(use + (TARGET if inside else 0))
+                    size += len(found)
+                if size > WORDS_A_CHUNK:
+                    yield shown(held, texts, ids, flags)
+                    texts, ids, flags = [], [], []
+        if texts:
+            yield shown(held, texts, ids, flags)
+
+    rows = marked.where("__text is not null").select("__text", "__t", "__in")
+    return rows.mapInPandas(run, "at long, pair long, text long, n int, more long")
+
+
+def _added(rows: DataFrame, tables: dict[str, Symbols]) -> DataFrame:
+    """(text, own, said, target, background): what pairs with rarer words add to each scored text, and the tokens that are rarer words."""
+    flag = lambda f: F.col("more").bitwiseAND(F.lit(f)) == f
+    of_word, of_pair = W.partitionBy("at"), W.partitionBy("at", "pair")
+    sums = {}
+    for name, held in (("every", flag(COUNTED)), ("wanted", flag(COUNTED | TARGET))):
+        n = F.when(held, F.col("n").cast("long")).otherwise(0)
+        sums[f"{name}_word"] = F.sum(n).over(of_word)
+        sums[f"{name}_before"] = F.sum(F.when(held & flag(LAST), n - 1).otherwise(n)).over(of_word)
+        sums[f"{name}_pair"] = F.sum(n).over(of_pair)
+    met = rows.repartition("at").sortWithinPartitions("at", "pair").withColumns(sums).where(flag(ASKED))
+    # Of fixed size.
+    shared = rows.sparkSession.sparkContext.broadcast({c: (t.losses, np.log(t.totals)) for c, t in tables.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = frozenset(vocabulary)
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for a, b, value in zip(batch["__t1"], batch["__t2"], batch["__text"], strict=True):
-                if (a, b) in seen:
-                    continue
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                seen.add((a, b))
-                said = words(value)
-                counts = Counter(w for w in said if w not in own)
-                before = dict(counts)
-                if said and said[-1] in before:
-                    before[said[-1]] -= 1
-                if pairs:
-                    counts.update(rarer_pairs(said, own))
-                found = list(counts)
-                more = ([a] * len(found), [b] * len(found), found, list(counts.values()), [before.get(w, 0) for w in found])
-                for held, added in zip(out, more, strict=True):
-                    held.extend(added)
-            if out[0]:
-                yield pd.DataFrame(dict(zip(("__t1", "__t2", "word", "n", "m"), out, strict=True)))
-
-    plain = df.where(F.col(text).isNotNull()).select(*_same_text(F.col(text)), F.col(text).alias("__text"))
-    return plain.mapInPandas(run, "__t1 long, __t2 int, word string, n int, m int")
-
-
-def score(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """Add ``n_tokens``, ``target_loss``, ``background_loss`` (means) and ``score``, their difference.
-
-    Words are what lies between blanks, in lower case. A text that is null or has no words has 0 tokens and
-    null for the rest. Input columns of the four names are replaced.
+            more, n = batch["more"].to_numpy(), batch["n"].to_numpy().astype(np.float64)
+            code = (batch["pair"].to_numpy().view(np.uint64) >> np.uint64(HASH_BITS)).astype(np.int64)
+            symbol, said = code % SIZE, (more >> FLAG_BITS).astype(np.float64)
+            rarer = symbol >= WORDS
+            has = lambda f: (more & f) == f
+            made = {}
+            for name, own in (("wanted", has(COUNTED | TARGET)), ("every", np.False_)):
+                losses, totals = shared.value[name]
+                in_pair = batch[f"{name}_pair"].to_numpy() - own * n
+                in_word = batch[f"{name}_word"].to_numpy() - own * said
+                before = batch[f"{name}_before"].to_numpy() - own * (said - has(FINAL))
+                of_word = np.where(rarer, totals[np.maximum(symbol - WORDS, 0)] - np.log1p(np.where(rarer, in_word, 0.0)), 0.0)
+                prior = np.exp(-(losses[code].astype(np.float64) + of_word))
+                of_before = np.where(rarer, (n - has(LAST)) * np.log1p(np.where(rarer, before, 0.0) / PRIOR), 0.0)
+                made[name] = n * of_word + of_before - n * np.log1p(in_pair / (PRIOR * prior))
+            yield pd.DataFrame({
+                "text": batch["text"], "own": has(COUNTED | TARGET), "said": np.where(rarer, n, 0).astype(np.int64),
+                "target": made["wanted"], "background": made["every"],
+            })
+
+    each = met.mapInPandas(run, "text long, own boolean, said long, target double, background double")
+    return each.groupBy("text", "own").agg(*[F.sum(c).alias(c) for c in ("said", "target", "background")])
+
+
+def _of_symbols(tables: dict[str, Symbols], vocabulary: list[str], counted: bool, df: DataFrame) -> Column:
+    """(n_tokens, said, target, background) of a text: its tokens, those that are rarer words, and what the fixed tables add to its losses."""
+    shared = df.sparkSession.sparkContext.broadcast((vocabulary, tables))  # of fixed size
+
+    def one(codes: np.ndarray, table: Symbols, own: bool) -> float:
+        a, b = codes // SIZE, codes % SIZE
+        known = (a < WORDS) | (a == SIZE)
+        found, n = np.unique(codes[known & (b < WORDS)], return_counts=True)
+        first, m = np.unique(a[known], return_counts=True)
+        prior = np.exp(-table.losses[found].astype(np.float64))
+        of_pairs = (n * np.log1p((table.counts[found] - own * n) / (PRIOR * prior))).sum()
+        return float(table.losses[codes].sum(dtype=np.float64) + (m * np.log1p((table.before[first] - own * m) / PRIOR)).sum() - of_pairs)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        vocabulary, tables = shared.value
+        held = None
+        for texts, insides in batches:
+            rows = []
+            for value, inside in zip(texts, insides, strict=True):
+                held = renewed(held, vocabulary)
+                codes = held.codes(value)
+                own = (counted and bool(inside), False)
+                losses = [one(codes, tables[c], o) for c, o in zip(("wanted", "every"), own, strict=True)] if len(codes) else [None, None]
+                rows.append((len(codes), int((codes % SIZE >= WORDS).sum()), *losses))
+            yield pd.DataFrame(rows, columns=["n_tokens", "said", "target", "background"])
+
+    return F.pandas_udf(run, "n_tokens long, said long, target double, background double")(F.col("__text"), F.col("__in"))
+
+
+def score(df: DataFrame, target: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add ``n_tokens``, ``target_loss``, ``background_loss`` (means a token, in nats) and ``score``, their difference.
+
+    The background model counts all rows of ``corpus`` and the target model those whose key is in ``target``. Without
+    ``corpus`` the rows of ``df`` are counted, and a target text is scored by what the other target texts count. The lower
+    the score, the more a text reads like the target.
+
+    Words are what lies between blanks, in lower case. A text that is null or has no words has 0 tokens and null
+    for the rest. A row without a key is in no target. Repeated rows count as often as they come, and one of them
+    is taken off; equal texts get equal scores unless one is a target text and the other not. Of words that are equally common,
+    the smaller get symbols. Texts of any length are scored whole. Empty tables give no rows, an empty target a model
+    that knows only its prior. Input columns of the four names are replaced, whatever their case; names with two
+    underscores in front are taken. Texts are told apart by 64 bits of a hash, words by as many.
     """
+
+    def marked(rows: DataFrame) -> DataFrame:
+        chosen = target.select(F.col(f"`{key}`").alias("__key")).distinct().withColumn("__chosen", F.lit(True))
+        named = rows.withColumns({"__key": F.col(f"`{key}`"), "__text": F.col(f"`{text}`")})
+        met = named.join(chosen, "__key", "left").withColumn("__in", F.coalesce("__chosen", F.lit(False)))
+        return met.withColumn("__t", F.xxhash64("__text")).drop("__key", "__chosen")
+
+    alone = corpus is None
     plain = without(df, "n_tokens", "target_loss", "background_loss", "score")
-    whole = models.pairs is not None
-    tables = (models.vocabulary, *((models.target_seen, models.background_seen) if whole else (models.target, models.background)))
-    shared = df.sparkSession.sparkContext.broadcast(tables)  # of fixed size
-
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocabulary, target, background = shared.value
-        symbols = Symbols(vocabulary)
-        for series in texts:
-            rows = []
-            for value in series:
-                codes = symbols.pairs(value)
-                if not len(codes):
-                    rows.append((0, 0, None, None))
-                    continue
-                means = [float(t[codes].mean(dtype=np.float64)) for t in (target, background)]
-                rows.append((len(codes), int((codes % (WORDS + SHARED) >= WORDS).sum()), *means))
-            yield pd.DataFrame(rows, columns=["n_tokens", "shared", "target", "background"])
-
-    made = F.pandas_udf(run, "n_tokens long, shared long, target double, background double")
-
-    is_pair = F.instr("word", " ") > 0
-    unseen = lambda held: F.when(is_pair, 0.0).otherwise(F.element_at(F.array(*[F.lit(x) for x in held]), shared_symbol() + 1))
-    found = _shared_words(plain, models.vocabulary, text, whole)
-    priced = found.join(models.words.unionByName(models.pairs) if whole else models.words, "word", "left")
-    # Means of equal texts are equal however many copies came.
-    tokens = F.sum(F.when(~is_pair, F.col("n")))
-
-    def loss(name: str, held: list[float]) -> Column:
-        of_words = F.col("n") * F.coalesce(f"{name}_word_loss", unseen(held))
-        of_before = F.col("m") * F.coalesce(f"{name}_before", F.lit(0.0))
-        return (F.sum(of_words + of_before if whole else of_words) / tokens).alias(f"__{name}")
-
-    of_text = priced.groupBy("__t1", "__t2").agg(loss("target", models.unseen_target), loss("background", models.unseen_background))
-    of_symbols = plain.withColumns({"__made": made(F.col(text)), **dict(zip(("__t1", "__t2"), _same_text(F.col(text)), strict=True))})
-    mean = lambda c: F.col(f"__made.{c}") + F.coalesce(F.col(f"__{c}") * F.col("__made.shared") / F.col("__made.n_tokens"), F.lit(0.0))
+    asked = marked(plain)
+    held = asked if alone else marked(corpus.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    counted = written(count_words(held))
+    vocabulary = _vocabulary(counted)
+    tables = count_symbols(held, vocabulary, counted)
+    dropped(counted)
+    rows = _pair_rows(held, vocabulary, COUNTED | ASKED if alone else COUNTED)
+    if not alone:
+        rows = rows.unionByName(_pair_rows(asked, vocabulary, ASKED))
+    added = written(_added(rows, tables)).select(
+        F.col("text").alias("__t"), F.col("own").alias("__own"), *[(F.col(c) / F.col("said")).alias(f"__{c}") for c in ("target", "background")]
+    )
+    # What rarer words add is the same for all copies of a text, so it is a mean of them; texts without any have no row.
+    priced = asked.withColumns({"__made": _of_symbols(tables, vocabulary, alone, df), "__own": F.col("__in") & F.lit(alone)})
+    mean = lambda c: (F.col(f"__made.{c}") + F.coalesce(F.col(f"__{c}") * F.col("__made.said"), F.lit(0.0))) / F.col("__made.n_tokens")
+    losses = [F.when(F.col("__made.n_tokens") > 0, mean(c)).alias(f"{c}_loss") for c in ("target", "background")]
     return (
-        of_symbols.join(of_text, ["__t1", "__t2"], "left")
-        .select(
-            *[F.col(f"`{c}`") for c in plain.columns],
-            F.col("__made.n_tokens").alias("n_tokens"),
-            mean("target").alias("target_loss"),
-            mean("background").alias("background_loss"),
-        )
+        priced.join(added, ["__t", "__own"], "left")
+        .select(*[F.col(f"`{c}`") for c in plain.columns], F.col("__made.n_tokens").alias("n_tokens"), *losses)
         .withColumn("score", F.col("target_loss") - F.col("background_loss"))
     )

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_scoring.score(docs, lm_scoring.fit(docs, good)).drop("text")
+    return lm_scoring.score(docs, good).drop("text")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,87 +260,114 @@ def test_language_is_learned(spark, docs, nothing, sf):
     assert langid.identify(nothing).count() == 0
 
 
-def test_target_scores_lower(spark, docs, nothing, rows, sf):
+def test_target_scores_lower(spark, sf):
+    """Documents of the target kind score lower, those whose labels were held out as much as those that were counted."""
+    sf = sf.replace("0.001", "0.01")  # a hundred documents are too few to learn from
     held = spark.read.parquet(f"{sf}/documents.parquet")
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    found = lm_scoring.score(held, lm_scoring.fit(held, labels.where("quality = 1"))).join(labels, "doc_id")
-    by = {r["quality"]: r["s"] for r in found.groupBy("quality").agg(F.avg("score").alias("s")).collect()}
-    assert by[1] < by[0]
-    models = lm_scoring.fit(docs, docs.where("doc_id = 1"))
-    counts, base = defaultdict(int), lm_scoring.Symbols(models.vocabulary)
-    for r in docs.collect():
-        for code in base.pairs(r["text"]).tolist():
-            counts[code] += 1
-    size = lm_scoring.WORDS + lm_scoring.SHARED
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    shown = F.col("quality") == 1
+    seen = shown & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+    found = lm_scoring.score(held, labels.where(seen)).join(labels, "doc_id").select("score", seen.alias("seen"), shown.alias("good")).collect()
+    scores = {k: [r["score"] for r in found if (r["seen"], r["good"]) == k and r["score"] is not None] for k in ((True, True), (False, True), (False, False))}
+    mean = {k: sum(v) / len(v) for k, v in scores.items()}
+    good, bad = scores[False, True], scores[False, False]
+    auc = sum((g < b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+    assert auc >= 0.9 and mean[True, True] < mean[False, False] and mean[False, True] < mean[False, False]
+    # As counted documents leave themselves out, they are no closer to the target than the others by much.
+    assert mean[False, True] - mean[True, True] < (mean[False, False] - mean[False, True]) / 2
+
+
+def lm_losses(said, inside, counted, vocabulary):
+    """Loss of a word after another, recounted from ``said`` (texts by key) for keys ``inside``; ``counted`` texts leave themselves out."""
     import numpy as np
 
-    dense = np.zeros((size + 1) * size, dtype=np.int64)
-    for code, n in counts.items():
-        dense[code] = n
-    assert np.allclose(lm_scoring.losses(dense), models.background)
-    assert np.allclose(np.exp(-models.target.reshape(size + 1, size)).sum(axis=1), 1, atol=1e-3)
-    scored = {r["doc_id"]: r for r in lm_scoring.score(docs, models).collect()}
-    assert scored[5]["n_tokens"] == 0 and scored[5]["score"] is None
-    # All words of a shared symbol, and one never seen, have probability 1 together; a score is recounted word by word.
-    every, target = (Counter(w for r in rows if r[0] == 1 or not i for w in lm_scoring.words(r[1])) for i in (0, 1))
-    few = lm_scoring.Models(models.vocabulary[:2], models.target, models.background, *lm_scoring.word_losses(lm_scoring.count_words(
-        docs.select("text", (F.col("doc_id") == 1).alias("__in"))), models.vocabulary[:2]))
-    groups = defaultdict(list)
-    for w in every:
-        if w not in few.vocabulary:
-            groups[zlib.crc32(w.encode()) % lm_scoring.SHARED].append(w)
-    held = {r["word"]: r for r in few.words.collect()}
-    for s, members in groups.items():
-        for counts, column, unseen in ((target, "target_word_loss", few.unseen_target), (every, "background_word_loss", few.unseen_background)):
-            whole = sum(counts[w] for w in members) + len(members) + 1
-            assert all(np.isclose(held[w][column], np.log(whole / (counts[w] + 1))) for w in members)
-            assert np.isclose(unseen[s], np.log(whole))
-    symbols, new = lm_scoring.Symbols(few.vocabulary), docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(999).cast("long"), "text": F.lit("never heard of alpha1")}))
-    for r in lm_scoring.score(new, few).where("n_tokens > 0").collect():
-        codes, said = symbols.pairs(r["text"]), lm_scoring.words(r["text"])
-        for table, column, unseen, got in ((few.target, "target_word_loss", few.unseen_target, "target_loss"), (few.background, "background_word_loss", few.unseen_background, "background_loss")):
-            of_words = sum(held[w][column] if w in held else unseen[zlib.crc32(w.encode()) % lm_scoring.SHARED] for w in said if w not in few.vocabulary)
-            assert np.isclose(r[got], (float(table[codes].sum(dtype=np.float64)) + of_words) / len(said))
-    assert lm_scoring.score(nothing, lm_scoring.fit(nothing, nothing)).count() == 0
+    words, size = lm_scoring.words, lm_scoring.SIZE
+    own = {w: i for i, w in enumerate(vocabulary)}
+    symbol = lambda w: size if w == "" else own.get(w, lm_scoring.WORDS + zlib.crc32(w.encode()) % lm_scoring.SHARED)
+    pairs, single, before, of_symbols = Counter(), Counter(), Counter(), np.zeros((size + 1, size))
+    for i in inside:
+        found = words(said[i])
+        single.update(found)
+        pairs.update(zip(["", *found], found, strict=False))
+        before.update(["", *found[:-1]] if found else [])
+        for a, b in zip(["", *found], found, strict=False):
+            of_symbols[symbol(a), symbol(b)] += 1
+    first = (of_symbols.sum(axis=0) + 1) / (of_symbols.sum() + size)
+    smooth = (of_symbols + lm_scoring.PRIOR * first) / (of_symbols.sum(axis=1, keepdims=True) + lm_scoring.PRIOR)
+    totals = Counter()
+    for w in {w for t in said.values() for w in words(t)} - set(own):
+        totals[symbol(w)] += single[w] + 1
+
+    def loss(a, b, without=""):
+        found = words(without)
+        off = lambda counts, key, these: counts[key] - these.count(key)
+        share = 1.0 if b in own else (off(single, b, found) + 1) / (totals[symbol(b)] + 1)
+        prior = smooth[symbol(a), symbol(b)] * share
+        n = off(pairs, (a, b), list(zip(["", *found], found, strict=False)))
+        m = off(before, a, ["", *found[:-1]] if found else [])
+        return -np.log((n + lm_scoring.PRIOR * prior) / (m + lm_scoring.PRIOR))
+
+    def mean(text, out):
+        found = words(text)
+        return np.mean([loss(a, b, text if out and counted else "") for a, b in zip(["", *found], found, strict=False)])
+
+    return loss, mean, totals, symbol
+
+
+@pytest.mark.parametrize("own_words", [768, 3])
+def test_lm_scores_are_recounted_word_by_word(spark, docs, nothing, rows, own_words, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm_scoring, "WORDS_A_CHUNK", 50)
+    counted = Counter(w for r in rows for w in lm_scoring.words(r[1]))
+    common = sorted(counted, key=lambda w: (-counted[w], w))[:own_words]
+    if own_words == 3:  # the other words share symbols
+        monkeypatch.setattr(lm_scoring, "_vocabulary", lambda counted: common)
+    chosen = {0, 3, 9, 11, 100}
+    target = docs.where(F.col("doc_id").isin(*chosen)).select("doc_id", F.lit("x").alias("text"))
+    said = {i: r[1] for i, r in enumerate(rows)}
+    odd = docs.withColumns({"Score": F.lit(1), "N_tokens": F.lit("x")})
+    out = lm_scoring.score(odd, target)
+    assert [c for c in out.columns if c.lower() in ("score", "n_tokens")] == ["n_tokens", "score"] and "bucket" in out.columns
+    scored = out.collect()
+    assert len(scored) == len(rows)
+    wanted = [i for i, r in enumerate(rows) if r[0] in chosen]
+    by = {r["doc_id"]: r for r in scored}
+    for name, inside in (("target_loss", wanted), ("background_loss", range(len(rows)))):
+        _, mean, _, _ = lm_losses(said, inside, True, common)
+        for i, r in enumerate(rows):
+            if lm_scoring.words(r[1]):
+                assert np.isclose(by[r[0]][name], mean(r[1], name == "target_loss" and i in inside), rtol=1e-4), (name, i)
+    assert by[5]["n_tokens"] == by[4]["n_tokens"] == 0 and by[5]["score"] is None and by[100]["score"] is None
+    assert lm_scoring.score(nothing, nothing).count() == 0 and lm_scoring.score(docs, nothing).where("score is not null").count() > 10
 
 
 def test_pairs_of_rarer_words_are_told_apart(spark):
     import numpy as np
 
-    symbol = lambda w: zlib.crc32(w.encode()) % lm_scoring.SHARED
+    crc = lambda w: zlib.crc32(w.encode()) % lm_scoring.SHARED
     common = [f"c{i}" for i in range(lm_scoring.WORDS)]
     by = defaultdict(list)
     for i in range(3000):
-        by[symbol(f"rare{i}")].append(f"rare{i}")
+        by[crc(f"rare{i}")].append(f"rare{i}")
     (a1, a2), (b1, b2) = (found[:2] for found in list(by.values())[:2])
-    said = [" ".join(common * 6), f"{a1} {b1} c1", f"{a1} {b1}", f"{a2} {b2} {a1}", f"{a2} {b2} c3", f"c3 {b2} c1 c2"]
-    rows = [(i, t) for i, t in enumerate(said)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    models = lm_scoring.fit(docs, docs.where("doc_id in (0, 1, 5)"))
-    assert sorted(models.vocabulary) == sorted(common)
-    asked = [*rows, (10, f"{a1} {b2}"), (11, f"{b2} unheard {a1} c1"), (12, a1)]
-    asked += [asked[1]]
-    held = {r["word"]: r for r in models.words.collect()}
-    scored = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(asked, "doc_id long, text string"), models).collect()}
-    for name, inside, table, unseen in (("target", (0, 1, 5), models.target, models.unseen_target), ("background", range(6), models.background, models.unseen_background)):
-        pairs, before = Counter(), Counter()
-        for i in inside:
-            found = lm_scoring.words(said[i])
-            pairs.update(zip(["", *found], found, strict=False))
-            before.update(["", *found[:-1]])
-        symbols = lm_scoring.Symbols(models.vocabulary)
-
-        def prior(a, b):
-            code = (symbols[a] if a else lm_scoring.WORDS + lm_scoring.SHARED) * (lm_scoring.WORDS + lm_scoring.SHARED) + symbols[b]
-            of_word = 0 if b in common else held[b][f"{name}_word_loss"] if b in held else unseen[symbol(b)]
-            return np.exp(-float(table[code]) - of_word)
-
-        loss = lambda a, b: -np.log((pairs[a, b] + lm_scoring.PRIOR * prior(a, b)) / (before[a] + lm_scoring.PRIOR))
-        for i, text in asked:
-            found = lm_scoring.words(text)
-            assert np.isclose(scored[i][f"{name}_loss"], np.mean([loss(a, b) for a, b in zip(["", *found], found, strict=False)]), rtol=1e-4), (name, i)
+    texts_ = [" ".join(common * 6), f"{a1} {b1} c1", f"{a1} {b1}", f"{a2} {b2} {a1}", f"{a2} {b2} c3", f"c3 {b2} c1 c2"]
+    said = dict(enumerate(texts_))
+    docs = spark.createDataFrame(list(said.items()), "doc_id long, text string").repartition(2)
+    target = docs.where("doc_id in (0, 1, 5)")
+    asked = {**said, 10: f"{a1} {b2}", 11: f"{b2} unheard {a1} c1", 12: a1, 13: None}
+    new = spark.createDataFrame([*asked.items(), (1, asked[1])], "doc_id long, text string")
+    scored = {r["doc_id"]: r for r in lm_scoring.score(new, target, corpus=docs).collect()}
+    alone = {r["doc_id"]: r for r in lm_scoring.score(docs, target).collect()}
+    for name, inside in (("target_loss", (0, 1, 5)), ("background_loss", range(6))):
+        loss, mean, totals, symbol = lm_losses(said, inside, False, sorted(common))
+        for i, text in asked.items():
+            assert scored[i][name] is None if text is None else np.isclose(scored[i][name], mean(text, False), rtol=1e-4), (name, i)
+        _, out, _, _ = lm_losses(said, inside, True, sorted(common))
+        assert all(np.isclose(alone[i][name], out(t, name == "target_loss" and i in inside), rtol=1e-4) for i, t in said.items())
         # What may follow a word, with one unseen word a symbol, has probability 1 together.
         unheard = {symbol(w): w for w in (f"unheard{i}" for i in range(5000))}
+        held = {w for t in said.values() for w in lm_scoring.words(t)}
         for a in ("", "c1", a1):
             assert np.isclose(sum(np.exp(-loss(a, w)) for w in [*held, *unheard.values()]), 1, atol=1e-3)
     assert scored[2]["background_loss"] < scored[10]["background_loss"]  # the same symbols, but never together
