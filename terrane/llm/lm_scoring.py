@@ -12,8 +12,8 @@ its own words and pairs are taken off ``count`` there, or it would be recognised
 symbols and the totals, which are tables of fixed size, keep them.
 
 The fixed tables are sent to the tasks, which add up all that they decide. For the rest each text becomes one row of
-numbers a distinct pair with a rarer word: hashes of word, pair and text, and counts. They are shuffled once, by the rarer
-word, and sorted by (word, pair); a word's and a pair's counts are then sums over runs, from which each row gets what it adds
+numbers a distinct pair with a rarer word: hashes of both words and the text, and counts. They are shuffled once, by the
+rarer word (the second if both are), and sorted by (word, other word); a word's and a pair's counts are then sums over runs, from which each row gets what it adds
 to its text. A word that has no symbol of its own has at most 1 / (WORDS + 1) of all tokens, so no run is larger than that.
 """
 
@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from terrane.llm.common import dropped, without, written
 
@@ -45,9 +46,12 @@ REMEMBERED = 300_000
 WORDS_A_CHUNK = 200_000
 #: What is known of a row: its text is a target text, is counted, is scored; the pair ends its text; the word does.
 TARGET, COUNTED, ASKED, LAST, FINAL = 1, 2, 4, 8, 16
-FLAG_BITS = 5
-#: A pair's number holds the symbols of both words (21 bits) above a hash of the word before.
-HASH_BITS = 43
+FLAG_BITS, COUNT_BITS = 5, 29
+#: The other word of a row: a rarer word before, a word with a symbol of its own before, or such a word after.
+BEFORE, KNOWN, AFTER = 0, 1, 2
+LOW = (1 << 32) - 1
+#: So many keys of the target are sent to the tasks (some 50 MB); more are joined by a shuffle.
+SENT_KEYS = 1_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -63,31 +67,73 @@ class Numbered(dict):
         for at, word in enumerate(vocabulary):
             self.add(word, at)
 
-    def add(self, word: str, symbol: int) -> int:
-        self.hashes.append(xxhash.xxh64_intdigest(word.encode("utf-8", "replace")))
-        self.symbols.append(symbol)
+    def add(self, word: str, symbol: int | None = None) -> int:
+        """Low 32 bits of the hash give the shared symbol."""
+        said = word.encode("utf-8", "replace")
+        crc = zlib.crc32(said)
+        self.hashes.append(xxhash.xxh32_intdigest(said) << 32 | crc)
+        self.symbols.append(WORDS + crc % SHARED if symbol is None else symbol)
         found = self[word] = len(self.symbols) - 1
         return found
 
-    def __missing__(self, word: str) -> int:
-        return self.add(word, WORDS + zlib.crc32(word.encode("utf-8", "replace")) % SHARED)
+    __missing__ = add
 
     def of(self, text: str | None) -> np.ndarray:
         said = words(text)
         return np.fromiter(map(self.__getitem__, said), dtype=np.int64, count=len(said))
 
-    def codes(self, text: str | None) -> np.ndarray:
-        """(symbol before) * SIZE + symbol of each token."""
-        found = self.of(text)
-        at = np.frombuffer(self.symbols, dtype=np.int64)[found]
-        return np.append(SIZE, at[:-1])[: len(at)] * SIZE + at
-
 
 def renewed(held: Numbered | None, vocabulary: list[str]) -> Numbered:
     """``held``, or a new one once it remembers too many words."""
     return Numbered(vocabulary) if held is None or len(held) > REMEMBERED else held
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """Some texts with words as numbers in a row: where each starts and ends, its name and flag, and each word with the one before."""
+
+    held: Numbered
+    names: list
+    flags: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+    now: np.ndarray
+    before: np.ndarray
+
+    def codes(self) -> np.ndarray:
+        """(symbol before) * SIZE + symbol of each word."""
+        symbols = np.array(self.held.symbols, dtype=np.int64)
+        return symbols[self.before] * SIZE + symbols[self.now]
+
+
+def chunks(texts: Iterator[tuple], vocabulary: list[str]) -> Iterator[Chunk]:
+    """Texts with words, out of (text, name, flag), in chunks of some WORDS_A_CHUNK words."""
+    held, size, kept, names, flags = None, 0, [], [], []
+
+    def made() -> Chunk:
+        sizes = np.array([len(t) for t in kept])
+        now, ends = np.concatenate(kept), np.cumsum(sizes)
+        before = np.append(0, now[:-1])
+        before[ends - sizes] = 0
+        return Chunk(held, names, np.array(flags), ends - sizes, ends, np.repeat(np.arange(len(kept)), sizes), now, before)
+
+    for value, name, flag in texts:
+        if not kept:
+            held = renewed(held, vocabulary)
+        found = held.of(value)
+        if len(found):
+            kept.append(found)
+            names.append(name)
+            flags.append(flag)
+            size += len(found)
+        if size > WORDS_A_CHUNK:
+            yield made()
+            size, kept, names, flags = 0, [], [], []
+    if kept:
+        yield made()
+
+
 @dataclass(frozen=True)
 class Symbols:
     """One model's tables of fixed size."""
@@ -143,14 +189,11 @@ def count_symbols(marked: DataFrame, vocabulary: list[str], counted: DataFrame)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = np.zeros((SIZE + 1) * SIZE, dtype=np.int64)
         wanted = np.zeros_like(every)
-        held = None
-        for batch in batches:
-            for value, inside in zip(batch["__text"], batch["__in"], strict=True):
-                held = renewed(held, vocabulary)
-                codes, counts = np.unique(held.codes(value), return_counts=True)
-                every[codes] += counts
-                if inside:
-                    wanted[codes] += counts
+        rows = ((t, None, i) for batch in batches for t, i in zip(batch["__text"], batch["__in"], strict=True))
+        for chunk in chunks(rows, vocabulary):
+            codes = chunk.codes()
+            every += np.bincount(codes, minlength=len(every))
+            wanted += np.bincount(codes[chunk.flags[chunk.text]], minlength=len(every))
         codes = np.flatnonzero(every)
         for part in np.array_split(codes, max(1, len(codes) // 50_000)):
             yield pd.DataFrame({"code": part, "every": every[part], "wanted": wanted[part]})
@@ -174,91 +217,75 @@ def count_symbols(marked: DataFrame, vocabulary: list[str], counted: DataFrame)
 
 
 def _pair_rows(marked: DataFrame, vocabulary: list[str], use: int) -> DataFrame:
-    """(at, pair, text, n, more): a row for each text and distinct pair of words of which one has no symbol of its own.
+    """(at, by, text, more): a row for each text and distinct pair of words of which one has no symbol of its own.
 
-    ``at`` is the hash of the word if that has no symbol of its own, else of the pair; ``n`` how often the text has the
-    pair; ``more`` how often it has the word, shifted, and flags.
+    ``at`` is the hash of that word, of the second if both are such; ``by`` the hash or symbol of the other one and what
+    it is; ``more`` how often the text has the pair and the word, and flags.
     """
 
-    def shown(held: Numbered, texts: list[np.ndarray], ids: list[int], flags: list[int]) -> pd.DataFrame:
-        hashes, symbols = np.array(held.hashes, dtype=np.uint64), np.array(held.symbols, dtype=np.int64)
-        sizes = np.array([len(t) for t in texts])
-        now, ends = np.concatenate(texts), np.cumsum(sizes)
-        before = np.append(0, now[:-1])
-        before[ends - sizes] = 0
+    def rows_of(chunk: Chunk) -> pd.DataFrame:
+        hashes, symbols = np.array(chunk.held.hashes, dtype=np.uint64), np.array(chunk.held.symbols, dtype=np.int64)
         bits = len(symbols).bit_length()
-        key = (np.repeat(np.arange(len(texts)), sizes) << 2 * bits) | (now << bits) | before
-        last = key[ends - 1]
+        key = (chunk.text << 2 * bits) | (chunk.now << bits) | chunk.before
+        last = key[chunk.ends - 1]
         found, n = np.unique(key, return_counts=True)
         starts = np.flatnonzero(np.append(True, (found[1:] >> bits) != (found[:-1] >> bits)))
         said = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(found))))
         mask = (1 << bits) - 1
         text, w, v = found >> 2 * bits, (found >> bits) & mask, found & mask
-        more = np.array(flags)[text] + np.where(last[text] == found, LAST, 0) + np.where(last[text] >> bits == found >> bits, FINAL, 0)
-        code = symbols[v] * SIZE + symbols[w]
-        mixed = hashes[v] * np.uint64(0x9E3779B97F4A7C15) + hashes[w]
+        known = (symbols[v] < WORDS) | (v == 0)
         rarer = symbols[w] >= WORDS
-        rows = pd.DataFrame({
-            "at": np.where(rarer, hashes[w], mixed).view(np.int64),
-            "pair": ((code.astype(np.uint64) << np.uint64(HASH_BITS)) | (hashes[v] & np.uint64((1 << HASH_BITS) - 1))).view(np.int64),
-            "text": np.array(ids, dtype=np.int64)[text],
-            "n": n.astype(np.int32),
-            "more": (said << FLAG_BITS) + more,
-        })
-        return rows[rarer | ((symbols[v] >= WORDS) & (symbols[v] < SIZE))]
+        kept = rarer | ~known
+        flags = chunk.flags[text] + np.where(last[text] == found, LAST, 0) + np.where(last[text] >> bits == found >> bits, FINAL, 0)
+        low = (hashes & np.uint64(LOW)).astype(np.int64)
+        by = np.where(rarer, np.where(known, KNOWN << 32 | symbols[v], low[v]), AFTER << 32 | symbols[w])
+        at = np.where(rarer, hashes[w], hashes[v]).view(np.int64)
+        more = (n << COUNT_BITS + FLAG_BITS) | (said << FLAG_BITS) | flags
+        names = np.array(chunk.names, dtype=np.int64)
+        return pd.DataFrame({"at": at[kept], "by": by[kept], "text": names[text[kept]], "more": more[kept]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = None, 0
-        texts: list[np.ndarray] = []
-        ids: list[int] = []
-        flags: list[int] = []
-        for batch in batches:
-            for value, name, inside in zip(batch["__text"], batch["__t"], batch["__in"], strict=True):
-                if not texts:
-                    held, size = renewed(held, vocabulary), 0
-                found = held.of(value)
-                if len(found):
-                    texts.append(found)
-                    ids.append(name)
-                    flags.append(use + (TARGET if inside else 0))
-                    size += len(found)
-                if size > WORDS_A_CHUNK:
-                    yield shown(held, texts, ids, flags)
-                    texts, ids, flags = [], [], []
-        if texts:
-            yield shown(held, texts, ids, flags)
+        columns = ["__text", "__t", "__in"]
+        rows = ((t, name, use + TARGET * i) for batch in batches for t, name, i in batch[columns].itertuples(index=False))
+        for chunk in chunks(rows, vocabulary):
+            yield rows_of(chunk)
 
     rows = marked.where("__text is not null").select("__text", "__t", "__in")
-    return rows.mapInPandas(run, "at long, pair long, text long, n int, more long")
+    return rows.mapInPandas(run, "at long, by long, text long, more long")
 
 
 def _added(rows: DataFrame, tables: dict[str, Symbols]) -> DataFrame:
     """(text, own, said, target, background): what pairs with rarer words add to each scored text, and the tokens that are rarer words."""
     flag = lambda f: F.col("more").bitwiseAND(F.lit(f)) == f
-    of_word, of_pair = W.partitionBy("at"), W.partitionBy("at", "pair")
+    of_word, of_pair = W.partitionBy("at"), W.partitionBy("at", "by")
+    is_word = F.shiftrightunsigned("by", 32) != AFTER
     sums = {}
     for name, held in (("every", flag(COUNTED)), ("wanted", flag(COUNTED | TARGET))):
-        n = F.when(held, F.col("n").cast("long")).otherwise(0)
-        sums[f"{name}_word"] = F.sum(n).over(of_word)
-        sums[f"{name}_before"] = F.sum(F.when(held & flag(LAST), n - 1).otherwise(n)).over(of_word)
+        n = F.when(held, F.shiftrightunsigned("more", COUNT_BITS + FLAG_BITS)).otherwise(0)
+        sums[f"{name}_word"] = F.sum(F.when(is_word, n).otherwise(0)).over(of_word)
+        sums[f"{name}_ends"] = F.sum(F.when(is_word & held & flag(LAST), 1).otherwise(0)).over(of_word)
         sums[f"{name}_pair"] = F.sum(n).over(of_pair)
-    met = rows.repartition("at").sortWithinPartitions("at", "pair").withColumns(sums).where(flag(ASKED))
+    met = rows.repartition("at").sortWithinPartitions("at", "by").withColumns(sums).where(flag(ASKED))
     # Of fixed size.
     shared = rows.sparkSession.sparkContext.broadcast({c: (t.losses, np.log(t.totals)) for c, t in tables.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            more, n = batch["more"].to_numpy(), batch["n"].to_numpy().astype(np.float64)
-            code = (batch["pair"].to_numpy().view(np.uint64) >> np.uint64(HASH_BITS)).astype(np.int64)
-            symbol, said = code % SIZE, (more >> FLAG_BITS).astype(np.float64)
-            rarer = symbol >= WORDS
+            more, by, at = (batch[c].to_numpy() for c in ("more", "by", "at"))
+            n = (more >> COUNT_BITS + FLAG_BITS).astype(np.float64)
+            said = ((more >> FLAG_BITS) & ((1 << COUNT_BITS) - 1)).astype(np.float64)
+            kind, other, shared_symbol = by >> 32, by & LOW, WORDS + (at & LOW) % SHARED
+            rarer = kind != AFTER
+            symbol = np.where(rarer, shared_symbol, other)
+            before = np.where(rarer, np.where(kind == KNOWN, other, WORDS + other % SHARED), shared_symbol)
+            code = before * SIZE + symbol
             has = lambda f: (more & f) == f
             made = {}
             for name, own in (("wanted", has(COUNTED | TARGET)), ("every", np.False_)):
                 losses, totals = shared.value[name]
                 in_pair = batch[f"{name}_pair"].to_numpy() - own * n
                 in_word = batch[f"{name}_word"].to_numpy() - own * said
-                before = batch[f"{name}_before"].to_numpy() - own * (said - has(FINAL))
+                before = batch[f"{name}_word"].to_numpy() - batch[f"{name}_ends"].to_numpy() - own * (said - has(FINAL))
                 of_word = np.where(rarer, totals[np.maximum(symbol - WORDS, 0)] - np.log1p(np.where(rarer, in_word, 0.0)), 0.0)
                 prior = np.exp(-(losses[code].astype(np.float64) + of_word))
                 of_before = np.where(rarer, (n - has(LAST)) * np.log1p(np.where(rarer, before, 0.0) / PRIOR), 0.0)
@@ -272,31 +299,46 @@ def _added(rows: DataFrame, tables: dict[str, Symbols]) -> DataFrame:
     return each.groupBy("text", "own").agg(*[F.sum(c).alias(c) for c in ("said", "target", "background")])
 
 
+def _seen(table: Symbols) -> np.ndarray:
+    """By code: loss of a symbol after another with the counts of what follows words with symbols of their own, and of pairs of such."""
+    out = table.losses.astype(np.float64).reshape(SIZE + 1, SIZE)
+    known = [*range(WORDS), SIZE]
+    gain = np.log1p(table.counts.reshape(SIZE + 1, SIZE)[known, :WORDS] / (PRIOR * np.exp(-out[known, :WORDS])))
+    out[known] += np.log1p(table.before[known] / PRIOR)[:, None]
+    out[known, :WORDS] -= gain
+    return out.reshape(-1)
+
+
+def _left_out(codes: np.ndarray, table: Symbols) -> float:
+    """Sum of a text's losses as in _seen, its own pairs taken off the counts."""
+    a, b = codes // SIZE, codes % SIZE
+    known = (a < WORDS) | (a == SIZE)
+    found, n = np.unique(codes[known & (b < WORDS)], return_counts=True)
+    first, m = np.unique(a[known], return_counts=True)
+    prior = np.exp(-table.losses[found].astype(np.float64))
+    of_pairs = (n * np.log1p((table.counts[found] - n) / (PRIOR * prior))).sum()
+    return float(table.losses[codes].sum(dtype=np.float64) + (m * np.log1p((table.before[first] - m) / PRIOR)).sum() - of_pairs)
+
+
 def _of_symbols(tables: dict[str, Symbols], vocabulary: list[str], counted: bool, df: DataFrame) -> Column:
     """(n_tokens, said, target, background) of a text: its tokens, those that are rarer words, and what the fixed tables add to its losses."""
-    shared = df.sparkSession.sparkContext.broadcast((vocabulary, tables))  # of fixed size
-
-    def one(codes: np.ndarray, table: Symbols, own: bool) -> float:
-        a, b = codes // SIZE, codes % SIZE
-        known = (a < WORDS) | (a == SIZE)
-        found, n = np.unique(codes[known & (b < WORDS)], return_counts=True)
-        first, m = np.unique(a[known], return_counts=True)
-        prior = np.exp(-table.losses[found].astype(np.float64))
-        of_pairs = (n * np.log1p((table.counts[found] - own * n) / (PRIOR * prior))).sum()
-        return float(table.losses[codes].sum(dtype=np.float64) + (m * np.log1p((table.before[first] - own * m) / PRIOR)).sum() - of_pairs)
+    # Of fixed size.
+    shared = df.sparkSession.sparkContext.broadcast((vocabulary, tables["wanted"], _seen(tables["wanted"]), _seen(tables["every"])))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        vocabulary, tables = shared.value
-        held = None
+        vocabulary, wanted, *seen = shared.value
         for texts, insides in batches:
-            rows = []
-            for value, inside in zip(texts, insides, strict=True):
-                held = renewed(held, vocabulary)
-                codes = held.codes(value)
-                own = (counted and bool(inside), False)
-                losses = [one(codes, tables[c], o) for c, o in zip(("wanted", "every"), own, strict=True)] if len(codes) else [None, None]
-                rows.append((len(codes), int((codes % SIZE >= WORDS).sum()), *losses))
-            yield pd.DataFrame(rows, columns=["n_tokens", "said", "target", "background"])
+            sizes, rarer = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+            sums = np.zeros((2, len(texts)))
+            for chunk in chunks(zip(texts, range(len(texts)), insides, strict=True), vocabulary):
+                codes, at = chunk.codes(), np.array(chunk.names)
+                sizes[at] = chunk.ends - chunk.starts
+                rarer[at] = np.add.reduceat((codes % SIZE >= WORDS).astype(np.int64), chunk.starts)
+                for i, table in enumerate(seen):
+                    sums[i, at] = np.add.reduceat(table[codes], chunk.starts)
+                for i in np.flatnonzero(chunk.flags) if counted else ():
+                    sums[0, at[i]] = _left_out(codes[chunk.starts[i] : chunk.ends[i]], wanted)
+            yield pd.DataFrame({"n_tokens": sizes, "said": rarer, "target": sums[0], "background": sums[1]})
 
     return F.pandas_udf(run, "n_tokens long, said long, target double, background double")(F.col("__text"), F.col("__in"))
 
@@ -313,19 +355,24 @@ def score(df: DataFrame, target: DataFrame, corpus: DataFrame | None = None, key
     is taken off; equal texts get equal scores unless one is a target text and the other not. Of words that are equally common,
     the smaller get symbols. Texts of any length are scored whole. Empty tables give no rows, an empty target a model
     that knows only its prior. Input columns of the four names are replaced, whatever their case; names with two
-    underscores in front are taken. Texts are told apart by 64 bits of a hash, words by as many.
+    underscores in front are taken. Texts are told apart by 64 bits of a hash, words by as many, words before the same
+    word by 32.
     """
 
+    chosen = target.select(F.col(f"`{key}`").alias("__key")).where("__key is not null").distinct().withColumn("__chosen", F.lit(True))
+    fixed = not isinstance(chosen.schema["__key"].dataType, (StringType, BinaryType))
+    few = fixed and chosen.limit(SENT_KEYS + 1).count() <= SENT_KEYS
+
     def marked(rows: DataFrame) -> DataFrame:
-        chosen = target.select(F.col(f"`{key}`").alias("__key")).distinct().withColumn("__chosen", F.lit(True))
         named = rows.withColumns({"__key": F.col(f"`{key}`"), "__text": F.col(f"`{text}`")})
-        met = named.join(chosen, "__key", "left").withColumn("__in", F.coalesce("__chosen", F.lit(False)))
+        met = named.join(F.broadcast(chosen) if few else chosen, "__key", "left").withColumn("__in", F.coalesce("__chosen", F.lit(False)))
         return met.withColumn("__t", F.xxhash64("__text")).drop("__key", "__chosen")
 
     alone = corpus is None
     plain = without(df, "n_tokens", "target_loss", "background_loss", "score")
     asked = marked(plain)
-    held = asked if alone else marked(corpus.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    held = (asked if alone else marked(corpus.select(F.col(f"`{key}`"), F.col(f"`{text}`")))).select("__text", "__t", "__in")
+    held = held if few else written(held)  # read three times, met with the keys once
     counted = written(count_words(held))
     vocabulary = _vocabulary(counted)
     tables = count_symbols(held, vocabulary, counted)
