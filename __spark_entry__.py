@@ -235,7 +235,7 @@ def territory_with_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ndm_shape(spark: SparkSession, sf: str) -> DataFrame:
-    return features.ndm_attributes(standins.ndm(spark, sf))
+    return features.ndm_attributes(standins.ndm(spark, sf), standins.NDM_PAYLOAD)
 
 
 def territory_full_attributes(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,7 +243,7 @@ def territory_full_attributes(spark: SparkSession, sf: str) -> DataFrame:
         "FEATURE_ID", F.upper("NAME").alias("NAME"), (F.col("SIZE") * 2).alias("WIDTH")
     ).filter(F.col("FEATURE_ID") % 5 != 0)
     base, names, _, ndm = _four(spark, sf)
-    return assemble(base, names, notes, ndm).dataframe
+    return assemble(base, names, notes, ndm, json_cols=standins.NDM_PAYLOAD).dataframe
 
 
 def first_row_of_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,7 +294,7 @@ def collection_union(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship_features(spark: SparkSession, sf: str) -> DataFrame:
     base, names, pieces, ndm = _four(spark, sf)
-    table = assemble(base, names, pieces, ndm).dataframe
+    table = assemble(base, names, pieces, ndm, json_cols=standins.NDM_PAYLOAD).dataframe
     return table.withColumn("AREA", wkb.wkb_area("geometry")).drop("geometry")
 
 

@@ -50,24 +50,22 @@ def names_array(names: DataFrame, cell_items: int = DEFAULT_CELL_ITEMS) -> DataF
     return parts.select(KEY, "NAMES_PART", array.alias("NAMES_ARRAY"))
 
 
-def json_payload_columns(ndm: DataFrame) -> list[str]:
-    """The payload columns of an NDM table: FEATURE_PROTO, METADATA and every ``*_EDITS``."""
-    return [c for c in ndm.columns if c in ("FEATURE_PROTO", "METADATA") or c.endswith("_EDITS")]
-
-
 def ndm_attributes(
     ndm: DataFrame,
-    json_cols: Sequence[str] | None = None,
+    json_cols: Sequence[str],
     exclude_cols: Sequence[str] | None = None,
     pair_duplicates: bool = False,
 ) -> DataFrame:
-    """Key, payload columns, then all other kept columns with the measures renamed.
+    """Key, the payload columns ``json_cols``, then all other kept columns with the measures renamed.
+
+    A payload column that the table lacks is an error. What is left out besides is ``exclude_cols``, by default the
+    payload and NDM_DROPPED.
 
     The key identifies an NDM row, so this is one projection. A null key has null
     attributes, as it never matches itself. ``pair_duplicates`` joins the payloads to the
     attributes instead, which gives n*n rows for a key held by n rows.
     """
-    payload = list(json_cols if json_cols is not None else json_payload_columns(ndm))
+    payload = list(json_cols)
     require_columns(ndm, [KEY, *payload])
     excluded = set(exclude_cols if exclude_cols is not None else [*payload, *NDM_DROPPED])
     kept = strict_rename(ndm.select(*[col(c) for c in ndm.columns if c not in excluded]), NDM_RENAMED)

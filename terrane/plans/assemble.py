@@ -62,12 +62,15 @@ def assemble(
     stay as the joins give them; a feature with more than ``hot_rows`` territory rows is
     joined in several tasks.
 
+    ``json_cols`` names the payload columns of the NDM table and must be given with one.
     ``declared`` describes the table searched for the geometry. NAMES_PART and
     GEOMETRY_PART number the rows of a feature too large for one cell; both are 0 in
     ordinary rows.
     """
     if territory is None:
         raise ValueError("A territory table is needed.")
+    if ndm is not None and json_cols is None:
+        raise ValueError("json_cols must name the payload columns of the NDM table.")
     if geometry is not None:
         base, found = scan(territory), None
         shapes, found_in = prepare_spatial(geometry, declared)

@@ -84,6 +84,10 @@ def pieces(spark: SparkSession, sf_dir: str, width: int = 1) -> DataFrame:
     )
 
 
+#: Payload columns of the table that ``ndm`` gives.
+NDM_PAYLOAD = ["FEATURE_PROTO", "METADATA", "MANUAL_EDITS"]
+
+
 def ndm(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").filter(F.col("p_partkey") % 3 != 0)
     return part.select(

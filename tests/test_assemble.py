@@ -43,7 +43,9 @@ def test_all_four_tables(spark, jts, territory, names, shapes):
         "FEATURE_ID bigint, SHAPE binary, NAME string",
     )
     ndm = spark.createDataFrame([(1, "{}", "m", 1, 2, 3, "ndm"), (1, "{}", "m", 1, 2, 3, "other")], NDM)
-    result = assemble(territory, names, geometry, ndm)
+    with pytest.raises(ValueError, match="json_cols"):
+        assemble(territory, names, geometry, ndm)
+    result = assemble(territory, names, geometry, ndm, json_cols=["FEATURE_PROTO", "METADATA"])
     assert result.is_spatial and result.geometry_col == "SHAPE" and result.joined_tables == {}
     assert result.dataframe.columns == [
         "FEATURE_ID", "geometry", "NAME", "NAMES_PART", "NAMES_ARRAY", "NAME_GEOMETRY", "FEATURE_PROTO", "METADATA",

@@ -71,28 +71,39 @@ NDM = (
 )
 
 
+PAYLOAD = ["FEATURE_PROTO", "METADATA", "X_EDITS"]
+
+
 def test_ndm_columns(spark):
     df = spark.createDataFrame([(1, "{}", "m", "e", "p", 1, 2, 3, "o"), (None, "{}", "m", "e", "p", 1, 2, 3, "o")], NDM)
-    found = ndm_attributes(df)
+    found = ndm_attributes(df, PAYLOAD)
     assert found.columns == ["FEATURE_ID", "FEATURE_PROTO", "METADATA", "X_EDITS", "LENGTH_NDM", "AREA_NDM", "PERIMETER_NDM", "OTHER"]
     rows = {r["FEATURE_ID"]: r for r in found.collect()}
     assert rows[1]["LENGTH_NDM"] == 1
     assert rows[None]["LENGTH_NDM"] is None and rows[None]["METADATA"] == "m"
-    paired = ndm_attributes(df, pair_duplicates=True)
+    paired = ndm_attributes(df, PAYLOAD, pair_duplicates=True)
     assert paired.columns == found.columns
     assert sorted(map(str, paired.collect())) == sorted(map(str, found.collect()))
 
 
 def test_ndm_duplicates_can_be_paired(spark):
     df = spark.createDataFrame([(1, "{}", "m", "e", "p", 1, 2, 3, "o")] * 3, NDM)
-    assert ndm_attributes(df).count() == 3
-    assert ndm_attributes(df, pair_duplicates=True).count() == 9
+    assert ndm_attributes(df, PAYLOAD).count() == 3
+    assert ndm_attributes(df, PAYLOAD, pair_duplicates=True).count() == 9
 
 
 def test_ndm_without_measures_is_an_error(spark):
     df = spark.createDataFrame([(1, "{}", "m")], "FEATURE_ID bigint, FEATURE_PROTO string, METADATA string")
     with pytest.raises(ValueError, match="AREA, LENGTH, PERIMETER"):
-        ndm_attributes(df)
+        ndm_attributes(df, PAYLOAD[:2])
+
+
+def test_ndm_payload_is_strict(spark):
+    df = spark.createDataFrame([(1, "{}", "m", "e", "p", 1, 2, 3, "o")], NDM)
+    with pytest.raises(ValueError, match="Y_EDITS"):
+        ndm_attributes(df, [*PAYLOAD, "Y_EDITS"])
+    found = ndm_attributes(df, ["METADATA"])  # other columns that look like a payload are attributes
+    assert found.columns == ["FEATURE_ID", "METADATA", "FEATURE_PROTO", "X_EDITS", "LENGTH_NDM", "AREA_NDM", "PERIMETER_NDM", "OTHER"]
 
 
 def test_strict_rename(spark):
