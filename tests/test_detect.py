@@ -170,3 +170,31 @@ def test_geography_type(spark, square):
         assert texts == {"POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))"}
     finally:
         spark.conf.unset("spark.sql.geospatial.enabled")
+
+
+def test_values_of_one_header_are_judged_together(monkeypatch):
+    """Malformed values with the same header are not read one by one, and are judged as the reader judges them."""
+    import struct
+
+    import pyarrow as pa
+
+    from terrane.functions import wkb
+
+    square = struct.pack("<BIII10d", 1, 3, 1, 5, 0, 0, 1, 0, 1, 1, 0, 1, 0, 0)
+    body = square[5:]
+    kinds = [
+        square, square + b"\0", square[:60], b"\x01" + struct.pack("<I", 99) + body, b"\x05" + square[1:],
+        b"\x01" + struct.pack("<II", 0x20000003, 4326) + body, square[:77] + struct.pack("<2d", 7, 7), square[:4], b"",
+        struct.pack(">BII4d", 0, 2, 2, 0, 0, 1, 1), struct.pack("<BII2d", 1, 2, 1, 0, 0), struct.pack("<BI2d", 1, 1, 0, 0),
+    ]
+    values = [None, *kinds] * 50
+    expected = [None if v is None else wkb.is_valid(v) for v in values]
+    assert True in expected and False in expected
+
+    def one_by_one(value):
+        raise AssertionError("a value was read by itself")
+
+    monkeypatch.setattr(wkb, "is_valid", one_by_one)
+    assert wkb.wkb_valid.func(pa.array(values, pa.binary())).to_pylist() == expected
+    texts = [None if v is None else v.hex() for v in values]
+    assert wkb.wkb_valid.func(pa.array(texts)[1:]).to_pylist() == expected[1:]
