@@ -3,6 +3,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.functions.wkb import Reader, to_text, wkb_area
@@ -312,3 +313,33 @@ def test_pieces_are_decoded_once(spark):
     pieces = spark.range(1000).select((F.col("id") % 70).alias("FEATURE_ID"), rectangle_wkb(x, x, watched(x + 1.0), x + 1.0).alias("geometry"))
     assert len(union_features(pieces).collect()) == 70
     assert seen.value == 2 * 1000
+
+
+def test_small_features_are_made_by_one_task(spark, monkeypatch):
+    """Only pieces of large features become segments in the shuffle; both ways give the same unions."""
+    from terrane.functions.wkb import rectangle_wkb, wkb_area
+
+    x = (F.col("id") % 5).cast("double")
+    pieces = spark.range(300).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("FEATURE_ID"),
+        F.when(F.col("id") % 3 > 0, rectangle_wkb(x, x, x + 1.5, x + 1.0)).alias("geometry"),
+    )
+    empty = spark.sql("select 100L FEATURE_ID, cast(null as binary) geometry")
+    # A null, an empty collection, and copies of one geometry.
+    more = spark.sql("select 101L FEATURE_ID, unhex('010700000000000000') geometry")
+    copies = pieces.filter("FEATURE_ID = 1 and geometry is not null").select(F.lit(102).cast("long").alias("FEATURE_ID"), F.max("geometry").over(W.partitionBy()).alias("geometry"))
+    every = pieces.unionByName(empty).unionByName(more).unionByName(copies)
+
+    def found(strip_segments):
+        made = union_features(every, strip_segments=strip_segments)
+        return sorted(made.select("FEATURE_ID", "GEOMETRY_PART", "geometry", F.round(wkb_area("geometry"), 9)).collect(), key=str)
+
+    small, by_segment = found(4000), found(1)
+    assert len(small) == 10 and [r[:2] for r in small] == [r[:2] for r in by_segment]
+    assert [r[3] for r in small] == [r[3] for r in by_segment]
+    assert next(r[2] for r in small if r[0] == 100) is None
+
+    seen = []
+    monkeypatch.setattr(union, "in_strips", lambda net, *rest, f=union.in_strips: seen.append(net) or f(net, *rest))
+    union_features(every).collect()
+    assert seen and seen[0].count() == 0
