@@ -417,11 +417,20 @@ def role_one_hot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    records = _training(spark, sf)
+    records = _kept_records(_training(spark, sf))
     vocabulary = duration.role_vocabulary(records)
     return duration.training_rows(records, vocabulary), duration.feature_names(vocabulary)
 
 
+def _kept_records(records: DataFrame) -> DataFrame:
+    """What a model learns from, written once to the shared folder: the roles, the fold borders, the fold sizes and the rows are a pass each."""
+    spark = records.sparkSession
+    folder = f"{shared_folder(spark)}/training"
+    kept = records.select("id", "duration", *duration.PREDICT_REQUIRED, "is_spatial")
+    kept.write.parquet(folder)
+    return spark.read.schema(kept.schema).parquet(folder)
+
+
 def contiguous_fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = _model_rows(spark, sf)
     return contiguous_folds(rows, "id", duration.FOLDS).groupBy("fold").agg(

@@ -211,3 +211,16 @@ def test_ranks_start_no_job_and_follow_the_partitions(spark):
             spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
             spark.conf.set("spark.sql.shuffle.partitions", before)
     assert ordered_rank(df.where("false"), "id").count() == 0
+
+
+def test_fold_queries_make_their_records_once(spark, sf, monkeypatch):
+    """The passes over the training records do not join the history anew."""
+    import __spark_entry__ as entry
+
+    made = []
+    monkeypatch.setattr(entry, "_training", lambda *of, f=entry._training: made.append(f(*of)) or made[-1])
+    for query in (entry.contiguous_fold_sizes, entry.shuffled_fold_of_record, entry.ridge_fold_stats):
+        folds = query(spark, sf)
+        assert not [f for f in folds.inputFiles() if "lineitem" in f or "orders" in f]
+        assert sum(r[0] for r in folds.groupBy("fold").count().select("count").collect()) > 0
+    assert len(made) == 3
