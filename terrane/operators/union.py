@@ -146,7 +146,9 @@ def dissolve_collections(df: DataFrame, geometry: str = "geometry", row_key: str
     is_collection = F.coalesce(type_code(col(geometry)) == COLLECTION, F.lit(False))
     members = df.filter(is_collection).select(col(row_key).alias(KEY), col(geometry).alias("geometry"))
     unions = merge_pieces(members, cell_segments=ONE_CELL).select(KEY, F.col("geometry").alias("__union"))
-    joined = df.join(unions.withColumnRenamed(KEY, "__key"), col(row_key) == F.col("__key"), "left")
+    # The unions are as many as the collections: sent to all tasks they would pass whole through the driver.
+    dealt = unions.withColumnRenamed(KEY, "__key").hint("merge")
+    joined = df.join(dealt, col(row_key) == F.col("__key"), "left")
     value = F.when(is_collection, F.coalesce("__union", F.lit(EMPTY_COLLECTION))).otherwise(col(geometry))
     return joined.withColumn(geometry, value).select(*[col(c) for c in df.columns])
 

@@ -343,3 +343,12 @@ def test_small_features_are_made_by_one_task(spark, monkeypatch):
     monkeypatch.setattr(union, "in_strips", lambda net, *rest, f=union.in_strips: seen.append(net) or f(net, *rest))
     union_features(every).collect()
     assert seen and seen[0].count() == 0
+
+
+def test_unions_of_collections_are_not_sent_to_the_driver(spark):
+    rows = spark.sql("select id as ROW_ID, unhex(concat('0107000000010000000101000000', repeat('00', 16))) geometry from range(20)")
+    dissolved = dissolve_collections(rows)
+    assert len(dissolved.collect()) == 20
+    top = dissolved._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    first_join = next(line for line in top.splitlines() if "Join" in line)
+    assert "SortMergeJoin" in first_join
