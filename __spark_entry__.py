@@ -500,7 +500,8 @@ def status_event_stream(spark: SparkSession, sf: str) -> DataFrame:
     arriving.write.partitionBy("part").parquet(f"{folder}/in")
     files = len(spark.read.parquet(f"{folder}/in").inputFiles())
     events = status_stream.read_events(spark, f"{folder}/in", max_files_per_trigger=-(-files // 3))
-    pages = event_time.status_pages(events, bucket_seconds=6 * 3600, delay="12 hours")
+    shares = event_time.shares_for(spark.read.schema(status_stream.EVENT_SCHEMA).parquet(f"{folder}/in"), 6 * 3600)
+    pages = event_time.status_pages(events, bucket_seconds=6 * 3600, delay="12 hours", shares=shares)
     query = event_time.write_pages(pages, f"{folder}/pages", f"{folder}/check", available_now=True)
     query.awaitTermination()
     numbered = event_time.revisions(spark.read.schema(event_time.PAGE_SCHEMA).parquet(f"{folder}/pages"))

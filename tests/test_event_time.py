@@ -73,3 +73,23 @@ def test_store_setting_is_put_back(spark, tmp_path, setting):
         assert after == setting or (setting is None and "HDFS" in str(after))
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_workers_of_a_share_make_one_state_and_page(spark, tmp_path):
+    # One event a worker and bucket, as in a wide table: calls and states grow with the events, not with the workers.
+    rows = [(START + datetime.timedelta(seconds=i % 50), i, f"A_{i}", "IDLE" if i % 5 else "FAILED") for i in range(200)]
+    frame = spark.createDataFrame(rows, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    assert event_time.shares_for(frame, 86400) == 1
+    pages = streamed(spark, tmp_path, [rows], bucket_seconds=86400, shares=1)
+    assert [tuple(r) for r in pages.select("share", "kind", "events").distinct().collect()] == [(0, "open", 200)]
+    assert numbered(pages) == expected(rows)
+
+
+def test_null_ids_and_ids_beyond_floats_come_back(spark, tmp_path):
+    at = [START + datetime.timedelta(seconds=s) for s in range(4)]
+    rows = [(at[0], 2**60 + 1, "A_1", "X"), (at[1], None, "A_1", None), (at[2], 2**60 + 3, None, "Y"), (at[1], 2**60 + 5, "A_1", "Z")]
+    pages = streamed(spark, tmp_path, [rows], bucket_seconds=60)
+    found = event_time.revisions(pages).select("worker_id", "event_id", "status", "revision").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(
+        [("A_1", 2**60 + 1, "X", 1), ("A_1", None, None, 2), ("A_1", 2**60 + 5, "Z", 3), (None, 2**60 + 3, "Y", 1)], key=str
+    )
