@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -81,11 +81,11 @@ def state_of(events: DataFrame) -> DataFrame:
     )
 
 
-def fold(settled: DataFrame | None, fresh: DataFrame) -> DataFrame:
+def fold(settled: DataFrame | None, fresh: DataFrame, fields: Collection[str] = tuple(FIELDS)) -> DataFrame:
     """One state a run: each field from the greatest step that set it, and all status steps.
 
     Folding may happen in any order and more than once. Where a step is there twice, as after a repeated append, what
-    is settled stays.
+    is settled stays. ``fresh`` sets no fields but ``fields``; the others come from the one settled row of a run, together.
     """
     both = fresh.withColumn("__settled", F.lit(False))
     if settled is not None:
@@ -99,7 +99,10 @@ def fold(settled: DataFrame | None, fresh: DataFrame) -> DataFrame:
     listed = F.array_sort(F.flatten(F.collect_list(F.transform("steps", lambda s: F.struct(s["step"].alias("step"), (~F.col("__settled")).alias("fresh"), s["status"].alias("status"))))))
     once = F.filter(listed, lambda s, i: (i == 0) | (s["step"] != F.element_at(listed, F.greatest(i, F.lit(1)))["step"]))
     steps = F.transform(once, lambda s: F.struct(s["step"].alias("step"), s["status"].alias("status")))
-    return both.groupBy("id").agg(F.max("last_step").alias("last_step"), steps.alias("steps"), *[newest(n) for n in FIELDS])
+    others = [n for n in FIELDS if n not in fields]
+    kept = [F.max_by(F.struct(*others), F.when(F.col("__settled"), F.lit(1))).alias("__kept")] if others else []
+    folded = both.groupBy("id").agg(F.max("last_step").alias("last_step"), steps.alias("steps"), *[newest(n) for n in FIELDS if n in fields], *kept)
+    return folded.select("id", "last_step", "steps", *[n if n in fields else F.col(f"__kept.{n}") for n in FIELDS])
 
 
 class RunLog:
@@ -184,11 +187,11 @@ class RunLog:
         """Folded state of every run, or of one: that reads the part of the snapshot with its id, and its own events."""
         base, folded = self._base()
         settled = self._snapshot(base)
-        if run_id is None:
-            return fold(settled, state_of(self._events(self._tail(folded))))
-        of_run = F.col("id") == F.lit(run_id).cast("long")
-        own = self._events(self._tail(folded, f"{run_id}-*"))
-        return fold(None if settled is None else settled.filter(of_run), state_of(own))
+        if run_id is not None and settled is not None:
+            settled = settled.filter(F.col("id") == F.lit(run_id).cast("long"))
+        names = self._tail(folded, "*" if run_id is None else f"{run_id}-*")
+        # Without events since, the snapshot is the state: it has one row a run.
+        return settled if settled is not None and not names else fold(settled, state_of(self._events(names)))
 
     def compact(self) -> str | None:
         """Fold the tail into a new snapshot; returns its name, or None where there is nothing to fold.
@@ -208,12 +211,15 @@ class RunLog:
         shaped = events.select(*[(F.col(n) if n in given else F.lit(None)).cast(t).alias(n) for n, t in types.items()])
         base, folded = self._base()
         names = self._tail(folded)
-        return self._settle(base, folded, names, state_of(shaped).unionByName(state_of(self._events(names))))
+        fresh = state_of(shaped)
+        if not names:
+            return self._settle(base, folded, names, fresh, [n for n in FIELDS if n in given])
+        return self._settle(base, folded, names, fresh.unionByName(state_of(self._events(names))))
 
-    def _settle(self, base: str | None, folded: list[str], names: list[str], fresh: DataFrame) -> str:
+    def _settle(self, base: str | None, folded: list[str], names: list[str], fresh: DataFrame, fields: Collection[str] = tuple(FIELDS)) -> str:
         version = 1 if base is None else int(base.split("-")[0]) + 1
         name = f"{version:012d}-{uuid.uuid4().hex}"
-        state = fold(self._snapshot(base), fresh)
+        state = fold(self._snapshot(base), fresh, fields)
         state.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/snapshots/{name}")
         for gone in folded:
             self._folder.delete(f"tail/{gone}")

@@ -131,3 +131,14 @@ def test_empty_log_and_given_id(spark, tmp_path):
     first = log.run(5)
     assert log.register(table_set, 5) == 5 and log.run(5) == first
     assert first["fetch_timestamp"] is not None and timedelta(0) == first["fetch_timestamp"] - first["sf_data_timestamp"]
+
+
+def test_load_folds_only_its_fields_and_a_log_without_tail_is_its_snapshot(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "log"))
+    log.load(spark.createDataFrame([(1, 1, "A", 5.0, "p"), (2, 1, "A", None, None)], "id long, step long, status string, duration double, output_path string"))
+    log.load(spark.createDataFrame([(1, 2, "B"), (3, 1, "C")], "id long, step long, status string"))
+    frame = log.state()
+    assert "Aggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+    found = {r["id"]: (r["status"], r["duration"], r["output_path"]) for r in log.runs().collect()}
+    assert found == {1: ("B", 5.0, "p"), 2: ("A", None, None), 3: ("C", None, None)}
+    assert log.run(1)["status"] == "B" and log.run(9) is None
