@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -128,6 +129,34 @@ def test_repeats_match_brute_force(docs, nothing, rows, monkeypatch, part_rows):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+def test_groups_of_starts_may_be_compared_one_by_one(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COMPARED", 1)
+    monkeypatch.setattr(suffix_dedup, "PART_ROWS", 3)
+    found = suffix_dedup.spans_removed(docs, length=256).collect()
+    assert sorted(map(tuple, found)) == removed([(r[0], r[1]) for r in rows], 256)
+
+
+def test_starts_of_a_text_take_one_hash_whatever_its_anchors(spark, monkeypatch):
+    # A worker counts how often the starts are hashed: twice for the pairs of ranks, once for all starts of the text.
+    text = " ".join(f"word{i * i}" for i in range(800))
+    anchor, low, high, *_ = suffix_dedup._pairs(np.frombuffer(text.encode(), dtype=np.uint8), 400)
+    held = spark.createDataFrame([(5, text, [(int(a), 2) for a in anchor[::-1]])], "tid long, text string, left array<struct<anchor:long,parts:long>>")
+    calls = spark.sparkContext.accumulator(0)
+    plain = suffix_dedup._hash
+
+    def counted(*args):
+        calls.add(1)
+        return plain(*args)
+
+    monkeypatch.setattr(suffix_dedup, "_hash", counted)
+    got = suffix_dedup._starts(held, 400).collect()
+    assert len(anchor) > 20 and sorted((r["anchor"], r["low"], len(r["packed"])) for r in got) == sorted(
+        (int(a), int(x), 6 * int(y - x + 1)) for a, x, y in zip(anchor, low, high, strict=True)
+    )
+    assert all(r["part"] == (5 ^ r["anchor"]) % 2 and r["parts"] == 2 for r in got)
+    assert calls.value <= 3
+
+
 def grouped(rows):
     sets = []
     for i, text in rows:
