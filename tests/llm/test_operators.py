@@ -187,6 +187,48 @@ def test_near_copies_match_brute_force(spark, docs, nothing, rows, monkeypatch,
     assert sorted(map(tuple, found)) == grouped(chain)
 
 
+def test_tiles_of_the_same_classes_are_opened_once(spark):
+    rows = [(tile, kind, 10) for tile in (1, 2) for kind in (7, 8, 9)] + [(3, kind, 10) for kind in (7, 8, 10)]
+    found = spark.createDataFrame([], "kind long, label long")
+    got = ngram_join._open_rows(spark.createDataFrame(rows, "tile long, kind long, n long"), found).collect()
+    assert sorted((r["tile"], r["kind"]) for r in got) == [(1, 7), (1, 8), (1, 9), (3, 7), (3, 8), (3, 10)]
+
+
+@pytest.mark.parametrize("sent", [0, 1_000])
+def test_few_classes_are_sent_to_the_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(ngram_join, "SENT_ROWS", sent)
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "__key long, __text string")
+    classes = spark.createDataFrame([(i + 100, i) for i in range(6)], "kind long, first long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = ngram_join._chosen(spark.createDataFrame([(102,), (105,)], "kind long"), classes, texts)
+        assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == (sent > 0)
+        assert sorted(map(tuple, found.collect())) == [(102, "text 2"), (105, "text 5")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("best", [False, True])
+def test_pairs_of_tiles_do_not_depend_on_how_many_are_made_at_a_time(spark, monkeypatch, best):
+    rng = np.random.default_rng(5)
+    held = []
+    for k in range(40):  # sets of several widths of signature, in groups of near ones
+        base = np.unique(rng.integers(1 << 62, size=[600, 1_000, 1_040, 2_200][k % 4], dtype=np.int64).view(np.uint64))
+        held += [base, np.sort(np.concatenate([base[20:], rng.integers(1 << 62, size=20, dtype=np.int64).view(np.uint64)]))]
+    kinds = [(k, len(h), bytearray(ngram_join.signature(h, ngram_join.WIDER))) for k, h in enumerate(held)]
+    rows = [(tile, k, n, k // 8 if tile else k, 1 + 2 * tile) for tile in range(2) for k, n, _ in kinds]
+    open_rows = spark.createDataFrame(rows, "tile long, kind long, n long, label long, parts int")
+    wide = spark.createDataFrame(kinds, "kind long, n long, signature binary")
+    near = {(2 * k, 2 * k + 1) for k in range(40)}
+    found = []
+    for pairs, size in ((200_000, 8 << 20), (3, 1)):
+        monkeypatch.setattr(ngram_join, "PAIRS_COMPARED", pairs)
+        monkeypatch.setattr(ngram_join, "BYTES_COMPARED", size)
+        found.append(sorted(map(tuple, ngram_join._second_pairs(open_rows, wide, 80, best).collect())))
+    assert found[0] == found[1] and near <= set(found[0])
+
+
 def test_bound_is_never_below_the_overlap():
     import numpy as np
 
