@@ -194,6 +194,25 @@ def test_tiles_of_the_same_classes_are_opened_once(spark):
     assert sorted((r["tile"], r["kind"]) for r in got) == [(1, 7), (1, 8), (1, 9), (3, 7), (3, 8), (3, 10)]
 
 
+def test_common_ngrams_are_found_on_a_share_of_the_documents(spark, monkeypatch):
+    # A sample of 100 has 2 of the 60 documents with the passage, one of a twelfth some 5; its n-grams then make no tile.
+    monkeypatch.setattr(ngram_join, "SAMPLE", 100)
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = prose(8)
+    rows = [(i, f"{prose(40)} {passage if i % 50 == 0 else prose(8)} {prose(10)}") for i in range(3_000)]
+    texts = spark.createDataFrame(rows, "__key long, __text string").repartition(2)
+    described = ngram_join._described(texts, 5, 80, ngram_join._common(texts, 5))
+    assert ngram_join._tiles(described, 80).count() == 0
+
+
+def test_prefixes_end_with_the_commonest_ngrams():
+    held = np.array([2, 3, 5, 7, 11], dtype=np.uint64)
+    common, often = np.array([2, 5, 6, 11], dtype=np.uint64), np.array([9, 3, 50, 4], dtype=np.int32)
+    assert ngram_join.ordered(held, common, often).tolist() == [3, 7, 5, 11, 2]
+    assert ngram_join.ordered(held, common[:0], often[:0]).tolist() == held.tolist()
+
+
 @pytest.mark.parametrize("sent", [0, 1_000])
 def test_few_classes_are_sent_to_the_texts(spark, monkeypatch, sent):
     monkeypatch.setattr(ngram_join, "SENT_ROWS", sent)
