@@ -37,12 +37,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    # Rows are told apart by numbers of their own: ids may be null, or shared by different texts.
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    classes = ngram_join.join(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__row")).alias("first")
-    stays = classes.join(numbered.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first).select("first.__row")
-    return numbered.join(stays, "__row", "left_semi").select(docs.columns)
+    # Rows are told apart by a hash of id and text, so that no numbered copy of all texts stays: ids may be null, or shared by different texts.
+    hashed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    joined = ngram_join.join(hashed.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
+    classes = joined.groupBy("__row").agg(*[F.first(c).alias(c) for c in ("n_shingles", "component_id")], F.count(F.lit(1)).alias("rows"))
+    ids = hashed.select("__row", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__row", "n_shingles", "rows")).alias("first")
+    stays = written(classes.join(ids, "__row").groupBy("component_id").agg(first).select("first.__row", "first.n_shingles", "first.rows"))
+    # Of rows with the same id and text any one stays, and all of those without words.
+    several = F.expr("rows > 1 and n_shingles > 0")
+    single = hashed.join(stays.where(~several), "__row", "left_semi")
+    repeated = hashed.join(stays.where(several), "__row", "left_semi").dropDuplicates(["__row"])
+    return single.unionByName(repeated).select(docs.columns)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

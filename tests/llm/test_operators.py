@@ -1,7 +1,9 @@
 """The operators of terrane.llm against brute force on small tables with nulls, ties, copies, long texts and odd columns."""
 
 import hashlib
+import os
 import random
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -129,6 +131,23 @@ def test_repeats_match_brute_force(docs, nothing, rows, monkeypatch, part_rows):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+def test_tables_on_the_way_are_deleted(spark, docs, rows, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from terrane.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path / uuid.uuid4().hex))
+    for words in (None, 51):
+        before = set(os.listdir(tmp_path))
+        suffix_dedup.texts_cleaned(docs, words=words)
+        assert len(set(os.listdir(tmp_path)) - before) <= 3  # the result and the lists of large groups
+    held = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    before = set(os.listdir(tmp_path))
+    kept = corpus_pipeline.ngram_jaccard(spark, held, "")
+    assert kept.count() < len(rows)
+    left = [spark.read.parquet(str(tmp_path / d)) for d in set(os.listdir(tmp_path)) - before]
+    assert not {"text", "__text", "signature", "grams"} & {c for t in left for c in t.columns}
+
+
 def test_groups_of_starts_may_be_compared_one_by_one(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "COMPARED", 1)
     monkeypatch.setattr(suffix_dedup, "PART_ROWS", 3)
