@@ -12,9 +12,11 @@ its own words and pairs are taken off ``count`` there, or it would be recognised
 symbols and the totals, which are tables of fixed size, keep them.
 
 The fixed tables are sent to the tasks, which add up all that they decide. For the rest each text becomes one row of
-numbers a distinct pair with a rarer word: hashes of both words and the text, and counts. They are shuffled once, by the
-rarer word (the second if both are), and sorted by (word, other word); a word's and a pair's counts are then sums over runs, from which each row gets what it adds
-to its text. A word that has no symbol of its own has at most 1 / (WORDS + 1) of all tokens, so no run is larger than that.
+numbers a distinct pair with a rarer word: hashes of both words and the text, and counts. They are shuffled once, as blocks of
+columns, by the rarer word (the second if both are), to parts of some WORDS_A_PART rows that grow in number with the input. A
+part is sorted by (word, other word); a word's and a pair's counts are then sums over runs, from which each row gets what it adds
+to its text. These sums go back as blocks to where the texts of a block meet, so that Spark sees a row a text. A word that has no symbol of its own has at most 1 / (WORDS + 1) of all tokens, so no run is larger than that, and a
+part is larger by such runs at most.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
@@ -44,11 +45,14 @@ PRIOR = 50.0
 REMEMBERED = 300_000
 #: Words of the texts that a task turns into rows at a time.
 WORDS_A_CHUNK = 200_000
+#: Rows that a task gathers before it deals them out in blocks, and rows of a part.
+ROWS_A_FLUSH, WORDS_A_PART = 1_000_000, 1_000_000
 #: What is known of a row: its text is a target text, is counted, is scored; the pair ends its text; the word does.
 TARGET, COUNTED, ASKED, LAST, FINAL = 1, 2, 4, 8, 16
 FLAG_BITS, COUNT_BITS = 5, 29
 #: The other word of a row: a rarer word before, a word with a symbol of its own before, or such a word after.
 BEFORE, KNOWN, AFTER = 0, 1, 2
+BY_BITS = 32
 LOW = (1 << 32) - 1
 #: So many keys of the target are sent to the tasks (some 50 MB); more are joined by a shuffle.
 SENT_KEYS = 1_000_000
@@ -216,87 +220,220 @@ def count_symbols(marked: DataFrame, vocabulary: list[str], counted: DataFrame)
     return made
 
 
-def _pair_rows(marked: DataFrame, vocabulary: list[str], use: int) -> DataFrame:
+def _packed(column: np.ndarray) -> bytes:
+    """Numbers with their bytes by place: the upper ones, mostly zero, come together and compress."""
+    return column.view(np.uint8).reshape(-1, column.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def _pair_rows(chunk: Chunk) -> tuple[np.ndarray, ...]:
     """(at, by, text, more): a row for each text and distinct pair of words of which one has no symbol of its own.
 
     ``at`` is the hash of that word, of the second if both are such; ``by`` the hash or symbol of the other one and what
-    it is; ``more`` how often the text has the pair and the word, and flags.
+    it is; ``text`` the place of the text in the chunk; ``more`` how often the text has the pair and the word, and flags.
     """
+    hashes, symbols = np.array(chunk.held.hashes, dtype=np.uint64), np.array(chunk.held.symbols, dtype=np.int64)
+    bits = len(symbols).bit_length()
+    key = (chunk.text << 2 * bits) | (chunk.now << bits) | chunk.before
+    last = key[chunk.ends - 1]
+    found, n = np.unique(key, return_counts=True)
+    starts = np.flatnonzero(np.append(True, (found[1:] >> bits) != (found[:-1] >> bits)))
+    said = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(found))))
+    mask = (1 << bits) - 1
+    text, w, v = found >> 2 * bits, (found >> bits) & mask, found & mask
+    known = (symbols[v] < WORDS) | (v == 0)
+    rarer = symbols[w] >= WORDS
+    kept = rarer | ~known
+    flags = chunk.flags[text] + np.where(last[text] == found, LAST, 0) + np.where(last[text] >> bits == found >> bits, FINAL, 0)
+    low = (hashes & np.uint64(LOW)).astype(np.int64)
+    by = np.where(rarer, np.where(known, KNOWN << BY_BITS | symbols[v], low[v]), AFTER << BY_BITS | symbols[w])
+    at = np.where(rarer, hashes[w], hashes[v])
+    more = (n << COUNT_BITS + FLAG_BITS) | (said << FLAG_BITS) | flags
+    return at[kept], by[kept], text[kept], more[kept]
+
+
+def _blocks(marked: DataFrame, vocabulary: list[str], use: int, tables: dict[str, Symbols], parts: int) -> DataFrame:
+    """Blocks of the rows of pairs by part of ``at``; and blocks of scored texts with their tokens and what the fixed tables add to their losses."""
+    # Of fixed size.
+    shared = marked.sparkSession.sparkContext.broadcast((vocabulary, tables["wanted"], _seen(tables["wanted"]), _seen(tables["every"])))
+    columns = ["part", "flush", "words", "runs", "by", "place", "more", "names", "own", "fixed"]
 
-    def rows_of(chunk: Chunk) -> pd.DataFrame:
-        hashes, symbols = np.array(chunk.held.hashes, dtype=np.uint64), np.array(chunk.held.symbols, dtype=np.int64)
-        bits = len(symbols).bit_length()
-        key = (chunk.text << 2 * bits) | (chunk.now << bits) | chunk.before
-        last = key[chunk.ends - 1]
-        found, n = np.unique(key, return_counts=True)
-        starts = np.flatnonzero(np.append(True, (found[1:] >> bits) != (found[:-1] >> bits)))
-        said = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(found))))
-        mask = (1 << bits) - 1
-        text, w, v = found >> 2 * bits, (found >> bits) & mask, found & mask
-        known = (symbols[v] < WORDS) | (v == 0)
-        rarer = symbols[w] >= WORDS
-        kept = rarer | ~known
-        flags = chunk.flags[text] + np.where(last[text] == found, LAST, 0) + np.where(last[text] >> bits == found >> bits, FINAL, 0)
-        low = (hashes & np.uint64(LOW)).astype(np.int64)
-        by = np.where(rarer, np.where(known, KNOWN << 32 | symbols[v], low[v]), AFTER << 32 | symbols[w])
-        at = np.where(rarer, hashes[w], hashes[v]).view(np.int64)
-        more = (n << COUNT_BITS + FLAG_BITS) | (said << FLAG_BITS) | flags
-        names = np.array(chunk.names, dtype=np.int64)
-        return pd.DataFrame({"at": at[kept], "by": by[kept], "text": names[text[kept]], "more": more[kept]})
+    def fixed(chunk: Chunk, own: np.ndarray) -> np.ndarray:
+        _, wanted, *seen = shared.value
+        codes = chunk.codes()
+        sums = np.array([chunk.ends - chunk.starts, *[np.add.reduceat(table[codes], chunk.starts) for table in seen]], dtype=np.float64)
+        for i in np.flatnonzero(own):
+            sums[1, i] = _left_out(codes[chunk.starts[i] : chunk.ends[i]], wanted)
+        return sums
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["__text", "__t", "__in"]
-        rows = ((t, name, use + TARGET * i) for batch in batches for t, name, i in batch[columns].itertuples(index=False))
-        for chunk in chunks(rows, vocabulary):
-            yield rows_of(chunk)
+        held: list[tuple] = []
+        names: list[np.ndarray] = []
+        owns: list[np.ndarray] = []
+        sums: list[np.ndarray] = []
+        size = texts = 0
+
+        def shown() -> pd.DataFrame:
+            nonlocal size, texts
+            at, by, text, more = (np.concatenate(c) for c in zip(*held, strict=True))
+            # Texts are known by their place among those gathered; equal lists of texts may share a name, as their sums are added up.
+            name, own = np.concatenate(names).tobytes(), np.concatenate(owns).tobytes()
+            flush = xxhash.xxh64_intdigest(name + own) - (1 << 63)
+            order = np.argsort(at)
+            at, by, text, more = at[order], by[order], text[order], more[order]
+            # Parts are ranges of the upper half of the hash.
+            edges = np.searchsorted(at >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64) * np.uint64((1 << 32) // parts + 1))
+            out, empty = [], b""
+            for part, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                if i == j:
+                    continue
+                new = np.flatnonzero(np.append(True, at[i + 1 : j] != at[i : j - 1]))
+                runs = np.diff(np.append(new, j - i))
+                out.append((part, flush, _packed(at[i:j][new]), _packed(runs), _packed(by[i:j]), _packed(text[i:j].astype(np.uint32)), _packed(more[i:j]), empty, empty, empty))
+            if use & ASKED:
+                out.append((flush % parts, flush, empty, empty, empty, empty, empty, name, own, np.concatenate(sums, axis=1).tobytes()))
+            for kept in (held, names, owns, sums):
+                kept.clear()
+            size = texts = 0
+            return pd.DataFrame(out, columns=columns)
+
+        rows = ((t, name, use + TARGET * i) for batch in batches for t, name, i in batch[["__text", "__t", "__in"]].itertuples(index=False))
+        for chunk in chunks(rows, shared.value[0]):
+            at, by, text, more = _pair_rows(chunk)
+            own = (chunk.flags & (COUNTED | TARGET)) == (COUNTED | TARGET)
+            held.append((at, by, text + texts, more))
+            names.append(np.array(chunk.names, dtype=np.int64))
+            owns.append(own)
+            if use & ASKED:
+                sums.append(fixed(chunk, own))
+            size += len(at)
+            texts += len(own)
+            if size >= ROWS_A_FLUSH:
+                yield shown()
+        if held:
+            yield shown()
 
     rows = marked.where("__text is not null").select("__text", "__t", "__in")
-    return rows.mapInPandas(run, "at long, by long, text long, more long")
-
-
-def _added(rows: DataFrame, tables: dict[str, Symbols]) -> DataFrame:
-    """(text, own, said, target, background): what pairs with rarer words add to each scored text, and the tokens that are rarer words."""
-    flag = lambda f: F.col("more").bitwiseAND(F.lit(f)) == f
-    of_word, of_pair = W.partitionBy("at"), W.partitionBy("at", "by")
-    is_word = F.shiftrightunsigned("by", 32) != AFTER
-    sums = {}
-    for name, held in (("every", flag(COUNTED)), ("wanted", flag(COUNTED | TARGET))):
-        n = F.when(held, F.shiftrightunsigned("more", COUNT_BITS + FLAG_BITS)).otherwise(0)
-        sums[f"{name}_word"] = F.sum(F.when(is_word, n).otherwise(0)).over(of_word)
-        sums[f"{name}_ends"] = F.sum(F.when(is_word & held & flag(LAST), 1).otherwise(0)).over(of_word)
-        sums[f"{name}_pair"] = F.sum(n).over(of_pair)
-    met = rows.repartition("at").sortWithinPartitions("at", "by").withColumns(sums).where(flag(ASKED))
+    binary = ", ".join(f"{c} binary" for c in columns[2:])
+    return rows.mapInPandas(run, f"part int, flush long, {binary}")
+
+
+SUMS = ["flush", "place", "target", "background", "names", "own", "fixed"]
+
+
+def _sums_of(rows: pd.DataFrame, tables: dict[str, tuple]) -> pd.DataFrame:
+    """(flush, place, target, background, ...) by block of one part: what its pairs add to each text; blocks of texts go on as they are."""
+    whole = rows["names"].map(len).to_numpy() > 0
+    passed, rows = rows[whole], rows[~whole]
+    empty = [b""] * len(passed)
+    out = [pd.DataFrame({"flush": passed["flush"], "place": empty, "target": empty, "background": empty, **{c: passed[c] for c in SUMS[4:]}})]
+    if not len(rows):
+        return out[0]
+    read = lambda c, kind: [_unpacked(x, kind) for x in rows[c]]
+    at = np.concatenate([np.repeat(w, r) for w, r in zip(read("words", np.uint64), read("runs", np.int64), strict=True)])
+    by = np.concatenate(read("by", np.int64))
+    places = [p.astype(np.int64) for p in read("place", np.uint32)]
+    ends_of = np.cumsum([p.max() + 1 for p in places])
+    starts_of = np.append(0, ends_of[:-1])
+    place = np.concatenate([p + x for p, x in zip(places, starts_of, strict=True)])
+    more = np.concatenate(read("more", np.int64))
+    made = {}
+    if len(at):
+        order = np.argsort(at)
+        key = (np.cumsum(np.append(0, np.diff(at[order]) != 0)) << BY_BITS + 2) | by[order]
+        again = np.argsort(key)
+        key, order = key[again], order[again]
+        at, by, place, more = at[order], by[order], place[order], more[order]
+        pairs = np.append(True, key[1:] != key[:-1])
+        words_ = np.append(True, key[1:] >> BY_BITS + 2 != key[:-1] >> BY_BITS + 2)
+        has = lambda f: (more & f) == f
+        kind, other, shared_symbol = by >> BY_BITS, by & LOW, WORDS + (at & np.uint64(LOW)).astype(np.int64) % SHARED
+        is_word = rarer = kind != AFTER
+        n = more >> COUNT_BITS + FLAG_BITS
+
+        def over(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(values, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+        counts = {}
+        for name, held in (("every", has(COUNTED)), ("wanted", has(COUNTED | TARGET))):
+            counted = np.where(held, n, 0)
+            ends = (is_word & held & has(LAST)).astype(np.int64)
+            counts[name] = over(counted, pairs), over(np.where(is_word, counted, 0), words_), over(ends, words_)
+        asked = np.flatnonzero(has(ASKED))
+        said = (more >> FLAG_BITS) & ((1 << COUNT_BITS) - 1)
+        n, said, kind, other, shared_symbol, rarer, place = (x[asked] for x in (n, said, kind, other, shared_symbol, rarer, place))
+        symbol = np.where(rarer, shared_symbol, other)
+        first = np.where(rarer, np.where(kind == KNOWN, other, WORDS + other % SHARED), shared_symbol)
+        code = first * SIZE + symbol
+        last, final, taken = has(LAST)[asked], has(FINAL)[asked], has(COUNTED | TARGET)[asked]
+        for name, own in (("wanted", taken), ("every", np.False_)):
+            losses, totals = tables[name]
+            in_pair, in_word, ends = (x[asked] for x in counts[name])
+            before = in_word - ends - own * (said - final)
+            of_word = np.where(rarer, totals[np.maximum(symbol - WORDS, 0)] - np.log1p(np.where(rarer, in_word - own * said, 0.0)), 0.0)
+            prior = np.exp(-(losses[code].astype(np.float64) + of_word))
+            of_before = np.where(rarer, (n - last) * np.log1p(np.where(rarer, before, 0.0) / PRIOR), 0.0)
+            added = n * of_word + of_before - n * np.log1p((in_pair - own * n) / (PRIOR * prior))
+            made[name] = np.bincount(place, weights=added, minlength=int(ends_of[-1])).astype(np.float32)
+        met = np.flatnonzero(np.bincount(place, minlength=int(ends_of[-1])))
+        cuts = np.searchsorted(met, np.append(starts_of, ends_of[-1])).tolist()
+        found = [(flush, met[i:j] - x, met[i:j]) for flush, x, i, j in zip(rows["flush"].tolist(), starts_of, cuts, cuts[1:]) if i < j]
+        of_pairs = [(flush, _packed(p.astype(np.uint32)), made["wanted"][m].tobytes(), made["every"][m].tobytes(), b"", b"", b"") for flush, p, m in found]
+        out.append(pd.DataFrame(of_pairs, columns=SUMS))
+    return pd.concat(out, ignore_index=True)
+
+
+def _of_texts(rows: pd.DataFrame) -> pd.DataFrame:
+    """(text, own, copies, tokens, target, background) of the texts of one flush from all blocks of their sums."""
+    whole = rows["names"].map(len).to_numpy() > 0
+    texts = rows[whole]
+    names = np.frombuffer(texts["names"].iloc[0], dtype=np.int64)
+    tokens, *sums = sum(np.frombuffer(x).reshape(3, -1) for x in texts["fixed"])
+    pairs = rows[~whole]
+    if len(pairs):
+        place = np.concatenate([_unpacked(x, np.uint32) for x in pairs["place"]]).astype(np.int64)
+        for i, name in enumerate(("target", "background")):
+            added = np.frombuffer(b"".join(pairs[name]), dtype=np.float32).astype(np.float64)
+            sums[i] = sums[i] + np.bincount(place, weights=added, minlength=len(names))
+    own = np.frombuffer(texts["own"].iloc[0], dtype=bool)
+    return pd.DataFrame({"text": names, "own": own, "copies": len(texts), "tokens": tokens.astype(np.int64), "target": sums[0], "background": sums[1]})
+
+
+def _together(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """All rows of a key at a time; they come sorted by it."""
+    wait: list[pd.DataFrame] = []
+    for batch in batches:
+        for value, rows in batch.groupby(key, sort=True):
+            if wait and wait[0][key].iloc[0] != value:
+                yield pd.concat(wait, ignore_index=True)
+                wait = []
+            wait.append(rows)
+    if wait:
+        yield pd.concat(wait, ignore_index=True)
+
+
+def _added(blocks: DataFrame, tables: dict[str, Symbols]) -> DataFrame:
+    """(text, own, copies, tokens, target, background): sums of tokens and losses of each scored text over its copies."""
     # Of fixed size.
-    shared = rows.sparkSession.sparkContext.broadcast({c: (t.losses, np.log(t.totals)) for c, t in tables.items()})
+    shared = blocks.sparkSession.sparkContext.broadcast({c: (t.losses, np.log(t.totals)) for c, t in tables.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            more, by, at = (batch[c].to_numpy() for c in ("more", "by", "at"))
-            n = (more >> COUNT_BITS + FLAG_BITS).astype(np.float64)
-            said = ((more >> FLAG_BITS) & ((1 << COUNT_BITS) - 1)).astype(np.float64)
-            kind, other, shared_symbol = by >> 32, by & LOW, WORDS + (at & LOW) % SHARED
-            rarer = kind != AFTER
-            symbol = np.where(rarer, shared_symbol, other)
-            before = np.where(rarer, np.where(kind == KNOWN, other, WORDS + other % SHARED), shared_symbol)
-            code = before * SIZE + symbol
-            has = lambda f: (more & f) == f
-            made = {}
-            for name, own in (("wanted", has(COUNTED | TARGET)), ("every", np.False_)):
-                losses, totals = shared.value[name]
-                in_pair = batch[f"{name}_pair"].to_numpy() - own * n
-                in_word = batch[f"{name}_word"].to_numpy() - own * said
-                before = batch[f"{name}_word"].to_numpy() - batch[f"{name}_ends"].to_numpy() - own * (said - has(FINAL))
-                of_word = np.where(rarer, totals[np.maximum(symbol - WORDS, 0)] - np.log1p(np.where(rarer, in_word, 0.0)), 0.0)
-                prior = np.exp(-(losses[code].astype(np.float64) + of_word))
-                of_before = np.where(rarer, (n - has(LAST)) * np.log1p(np.where(rarer, before, 0.0) / PRIOR), 0.0)
-                made[name] = n * of_word + of_before - n * np.log1p(in_pair / (PRIOR * prior))
-            yield pd.DataFrame({
-                "text": batch["text"], "own": has(COUNTED | TARGET), "said": np.where(rarer, n, 0).astype(np.int64),
-                "target": made["wanted"], "background": made["every"],
-            })
-
-    each = met.mapInPandas(run, "text long, own boolean, said long, target double, background double")
-    return each.groupBy("text", "own").agg(*[F.sum(c).alias(c) for c in ("said", "target", "background")])
+        for rows in _together(batches, "part"):
+            yield _sums_of(rows, shared.value)
+
+    def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _together(batches, "flush"):
+            yield _of_texts(rows)
+
+    dealt = blocks.repartition("part").sortWithinPartitions("part")
+    back = dealt.mapInPandas(run, "flush long, " + ", ".join(f"{c} binary" for c in SUMS[1:]))
+    dealt = back.repartition("flush").sortWithinPartitions("flush")
+    each = dealt.mapInPandas(of_texts, "text long, own boolean, copies long, tokens long, target double, background double")
+    return each.groupBy("text", "own").agg(*[F.sum(c).alias(c) for c in ("copies", "tokens", "target", "background")])
 
 
 def _seen(table: Symbols) -> np.ndarray:
@@ -320,29 +457,6 @@ def _left_out(codes: np.ndarray, table: Symbols) -> float:
     return float(table.losses[codes].sum(dtype=np.float64) + (m * np.log1p((table.before[first] - m) / PRIOR)).sum() - of_pairs)
 
 
-def _of_symbols(tables: dict[str, Symbols], vocabulary: list[str], counted: bool, df: DataFrame) -> Column:
-    """(n_tokens, said, target, background) of a text: its tokens, those that are rarer words, and what the fixed tables add to its losses."""
-    # Of fixed size.
-    shared = df.sparkSession.sparkContext.broadcast((vocabulary, tables["wanted"], _seen(tables["wanted"]), _seen(tables["every"])))
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        vocabulary, wanted, *seen = shared.value
-        for texts, insides in batches:
-            sizes, rarer = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-            sums = np.zeros((2, len(texts)))
-            for chunk in chunks(zip(texts, range(len(texts)), insides, strict=True), vocabulary):
-                codes, at = chunk.codes(), np.array(chunk.names)
-                sizes[at] = chunk.ends - chunk.starts
-                rarer[at] = np.add.reduceat((codes % SIZE >= WORDS).astype(np.int64), chunk.starts)
-                for i, table in enumerate(seen):
-                    sums[i, at] = np.add.reduceat(table[codes], chunk.starts)
-                for i in np.flatnonzero(chunk.flags) if counted else ():
-                    sums[0, at[i]] = _left_out(codes[chunk.starts[i] : chunk.ends[i]], wanted)
-            yield pd.DataFrame({"n_tokens": sizes, "said": rarer, "target": sums[0], "background": sums[1]})
-
-    return F.pandas_udf(run, "n_tokens long, said long, target double, background double")(F.col("__text"), F.col("__in"))
-
-
 def score(df: DataFrame, target: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``n_tokens``, ``target_loss``, ``background_loss`` (means a token, in nats) and ``score``, their difference.
 
@@ -377,18 +491,17 @@ def score(df: DataFrame, target: DataFrame, corpus: DataFrame | None = None, key
     vocabulary = _vocabulary(counted)
     tables = count_symbols(held, vocabulary, counted)
     dropped(counted)
-    rows = _pair_rows(held, vocabulary, COUNTED | ASKED if alone else COUNTED)
+    parts = max(1, int(tables["every"].counts.sum()) // WORDS_A_PART)
+    blocks = _blocks(held, vocabulary, COUNTED | ASKED if alone else COUNTED, tables, parts)
     if not alone:
-        rows = rows.unionByName(_pair_rows(asked, vocabulary, ASKED))
-    added = written(_added(rows, tables)).select(
-        F.col("text").alias("__t"), F.col("own").alias("__own"), *[(F.col(c) / F.col("said")).alias(f"__{c}") for c in ("target", "background")]
-    )
-    # What rarer words add is the same for all copies of a text, so it is a mean of them; texts without any have no row.
-    priced = asked.withColumns({"__made": _of_symbols(tables, vocabulary, alone, df), "__own": F.col("__in") & F.lit(alone)})
-    mean = lambda c: (F.col(f"__made.{c}") + F.coalesce(F.col(f"__{c}") * F.col("__made.said"), F.lit(0.0))) / F.col("__made.n_tokens")
-    losses = [F.when(F.col("__made.n_tokens") > 0, mean(c)).alias(f"{c}_loss") for c in ("target", "background")]
+        blocks = blocks.unionByName(_blocks(asked, vocabulary, ASKED, tables, parts))
+    # Copies of a text come together, so its means are theirs; texts without words have no row.
+    added = written(_added(blocks, tables)).where("copies > 0").select(F.col("text").alias("__t"), F.col("own").alias("__own"), *[F.col(c).alias(f"__{c}") for c in ("copies", "tokens", "target", "background")])
+    n_tokens = F.coalesce(F.expr("__tokens div __copies"), F.lit(0).cast("long")).alias("n_tokens")
+    losses = [(F.col(f"__{c}") / F.col("__tokens")).alias(f"{c}_loss") for c in ("target", "background")]
     return (
-        priced.join(added, ["__t", "__own"], "left")
-        .select(*[F.col(f"`{c}`") for c in plain.columns], F.col("__made.n_tokens").alias("n_tokens"), *losses)
+        asked.withColumn("__own", F.col("__in") & F.lit(alone))
+        .join(added, ["__t", "__own"], "left")
+        .select(*[F.col(f"`{c}`") for c in plain.columns], n_tokens, *losses)
         .withColumn("score", F.col("target_loss") - F.col("background_loss"))
     )

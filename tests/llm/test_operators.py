@@ -429,6 +429,7 @@ def test_lm_scores_are_recounted_word_by_word(spark, docs, nothing, rows, own_wo
 
     monkeypatch.setattr(lm_scoring, "WORDS_A_CHUNK", 50)
     monkeypatch.setattr(lm_scoring, "SENT_KEYS", 2 if own_words == 3 else 1_000_000)
+    monkeypatch.setattr(lm_scoring, "WORDS_A_PART", 100 if own_words == 3 else 1_000_000)
     counted = Counter(w for r in rows for w in lm_scoring.words(r[1]))
     common = sorted(counted, key=lambda w: (-counted[w], w))[:own_words]
     if own_words == 3:  # the other words share symbols
@@ -452,6 +453,25 @@ def test_lm_scores_are_recounted_word_by_word(spark, docs, nothing, rows, own_wo
     assert lm_scoring.score(nothing, nothing).count() == 0 and lm_scoring.score(docs, nothing).where("score is not null").count() > 10
 
 
+def test_texts_come_back_once_however_many_parts_their_pairs_meet_in(docs, monkeypatch):
+    # Blocks of few rows travel, and what is added up by Spark has a row a text.
+    seen = {}
+    plain = lm_scoring._added
+
+    def added(blocks, tables):
+        seen["blocks"], seen["parts"] = blocks.count(), blocks.select("part").distinct().count()
+        return plain(blocks, tables)
+
+    monkeypatch.setattr(lm_scoring, "_added", added)
+    monkeypatch.setattr(lm_scoring, "_vocabulary", lambda counted: ["of1", "the2"])  # the other words are rarer ones
+    target = docs.where("doc_id < 5").select("doc_id")
+    whole = {r["doc_id"]: r for r in lm_scoring.score(docs, target).collect()}
+    monkeypatch.setattr(lm_scoring, "WORDS_A_PART", 100)
+    for r in lm_scoring.score(docs, target).collect():
+        assert r["score"] is None if whole[r["doc_id"]]["score"] is None else abs(r["score"] - whole[r["doc_id"]]["score"]) < 1e-5
+    assert seen["parts"] > 10 and seen["blocks"] <= (seen["parts"] + 1) * 3
+
+
 def test_pairs_of_rarer_words_are_told_apart(spark):
     import numpy as np
 
