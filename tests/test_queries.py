@@ -31,3 +31,27 @@ def test_every_query_has_sql():
 
 def test_entry_runs(spark):
     assert registered.entry(spark).count() == 200
+
+
+def test_only_the_geometry_waits_for_the_worker(spark, sf):
+    """Variants are arguments of the judging step: Spark holds one geometry a row for it, and each value is judged once."""
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    plan = registered.wkb_validity(spark, sf)._jdf.queryExecution().optimizedPlan()
+    asked = [n for n in nodes(plan) if n.nodeName() == "ArrowEvalPython"]
+    assert sum(n.udfs().toString().count("wkb_valid(") for n in asked) == 7
+    for n in asked:
+        below = n.children().apply(0)
+        assert "Generate" not in [x.nodeName() for x in nodes(below)]
+        held = [below.output().apply(i).dataType().simpleString() for i in range(below.output().size())]
+        assert len([t for t in held if t in ("binary", "string")]) <= 1
+
+
+def test_an_empty_table_has_no_variants(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/lineitem.parquet").limit(0).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = registered.wkb_validity(spark, str(tmp_path))
+    assert found.columns == ["variant", "values", "valid_values", "all_valid"] and found.collect() == []
